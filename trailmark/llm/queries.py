@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._shared import fresh
 from .decontaminate import decontaminate
+from .media import read_ogg, to_ogg
+from .packing import pack
 from .quality import quality
 from .sharding import shard
+from .token_counts import token_counts
+from .token_ids import token_ids
 from .toxicity import toxicity
 
 
+def vocabulary_file(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +40,22 @@ def op4_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(_table(spark, sf_dir, "documents"), fresh(spark, "token-ids"), vocabulary_file("byte_bpe_50k.json"))
+
+
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ogg(to_ogg(_table(spark, sf_dir, "documents")))
+
+
+def op9_cutting_stock_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
 def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,6 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_shards": op2_ring_shards,
     "op3_winnow_decontaminate": op3_winnow_decontaminate,
     "op4_fm_toxicity": op4_fm_toxicity,
+    "op5_trie_token_counts": op5_trie_token_counts,
+    "op7_token_ids": op7_token_ids,
+    "op8_ogg_media": op8_ogg_media,
+    "op9_cutting_stock_pack": op9_cutting_stock_pack,
     "op10_zstd_quality": op10_zstd_quality,
 }
 
