@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import fresh
 from .decontaminate import decontaminate
+from .html_extract import extract
 from .media import read_ogg, to_ogg
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality
 from .sharding import shard
@@ -28,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,10 @@ def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
+def op6_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), fresh(spark, "token-ids"), vocabulary_file("byte_bpe_50k.json"))
 
@@ -61,10 +71,12 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_extract": op1_suffix_extract,
     "op2_ring_shards": op2_ring_shards,
     "op3_winnow_decontaminate": op3_winnow_decontaminate,
     "op4_fm_toxicity": op4_fm_toxicity,
     "op5_trie_token_counts": op5_trie_token_counts,
+    "op6_fragment_join": op6_fragment_join,
     "op7_token_ids": op7_token_ids,
     "op8_ogg_media": op8_ogg_media,
     "op9_cutting_stock_pack": op9_cutting_stock_pack,
