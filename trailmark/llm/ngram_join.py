@@ -316,7 +316,7 @@ def links(docs: DataFrame, light: DataFrame, *, k: int, num: int, den: int) -> D
     first = pairs.select("cluster", "i", "j", F.col("i").alias("block"))
     second = pairs.where("i < j").select("cluster", "i", "j", F.col("j").alias("block"))
     groups = placed.join(first.unionAll(second), ["cluster", "block"]).select("cluster", "i", "j", "node")
-    texts = docs.join(cluster.select("doc_id", "node"), "doc_id")
+    texts = docs.join(cluster.select("doc_id", "node").hint("merge"), "doc_id")  # grows with the input: never broadcast
     grams = texts.select("node", "text").mapInArrow(_setter(k), "node long, grams binary")
     work = groups.join(grams, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return work.mapInArrow(_counter(num, den), "a long, b long")
