@@ -99,31 +99,43 @@ def scan(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | heads[1:-1]
     end = np.flatnonzero(ends) + 1
+    return Words(mix(hash_spans(data, start, end, _BYTE)), np.searchsorted(start, offsets))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each span of bytes (spans rise and don't overlap); ``table`` gives a value for each byte."""
     out = np.empty(len(start), np.uint64)
     at = 0
     with np.errstate(over="ignore"):
         while at < len(start):
             base = start[at]
             to = int(np.searchsorted(end, base + PIECE, "right"))
-            if to <= at:  # one word longer than a piece
-                out[at] = _long_word(data[base : end[at]])
+            if to <= at:  # one span longer than a piece
+                out[at] = _long_word(data[base : end[at]], table)
                 at += 1
                 continue
             span = data[base : end[to - 1]]
             total = np.zeros(len(span) + 1, np.uint64)
-            np.cumsum(_BYTE[span] * _POW[: len(span)], out=total[1:])
+            np.cumsum(table[span] * _POW[: len(span)], out=total[1:])
             a, b = start[at:to] - base, end[at:to] - base
             out[at:to] = (total[b] - total[a]) * _INV[a]
             at = to
-    return Words(mix(out), np.searchsorted(start, offsets))
+    return out
+
+
+def hash_strings(column: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit hash of each string, upper and lower case apart; other seeds give independent hashes."""
+    data, offsets = utf8(column)
+    table = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
+    return mix(hash_spans(data, offsets[:-1], offsets[1:], table) ^ np.uint64(seed))
 
 
-def _long_word(span: np.ndarray) -> np.uint64:
+def _long_word(span: np.ndarray, table: np.ndarray) -> np.uint64:
     value = np.uint64(0)
     for i in range(0, len(span), PIECE):
         part = span[i : i + PIECE]
         shift = np.uint64(pow(_STEP, i, 1 << 64))
-        value += (_BYTE[part] * _POW[: len(part)]).sum(dtype=np.uint64) * shift
+        value += (table[part] * _POW[: len(part)]).sum(dtype=np.uint64) * shift
     return value
 
 

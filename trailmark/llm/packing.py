@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._encode import encoder
+from ._encode import encoded, encoder
 from ._shared import written
 
 CAPACITY, UNIT, CELLS = 2048, 8, 512
@@ -122,25 +122,22 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     """``doc_id, start, length, ids_crc32, doc_tokens``: every document cut into full sequences, a half and a rest."""
 
     def run(batches):
-        tokens = encoder(tokenizer, False)
-        for batch in batches:
-            for part in X.slices(batch, "text"):
-                ids, edge = tokens.encode(part.column("text").to_pylist())
-                flat = np.insert(ids, edge[1:], end_id).astype("<u4")
-                begin = edge[:-1] + np.arange(part.num_rows)
-                total = np.diff(edge) + 1
-                full, rest = total // capacity, total % capacity
-                n = full + (rest > 0) + (rest > capacity // 2)
-                doc = np.repeat(np.arange(part.num_rows), n)
-                nth = X.expand(np.zeros(len(n), np.int64), n)
-                start = np.minimum(nth, full[doc]) * capacity + (nth > full[doc]) * (capacity // 2)
-                length = np.append(start[1:], 0)
-                last = np.cumsum(n) - 1
-                length[last] = total
-                length -= start
-                at = begin[doc] + start
-                crc = [zlib.crc32(flat[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
-                yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for part, ids, edge in encoded(batches, encoder(tokenizer, False)):
+            flat = np.insert(ids.astype("<u4"), edge[1:], end_id)
+            begin = edge[:-1] + np.arange(part.num_rows)
+            total = np.diff(edge) + 1
+            full, rest = total // capacity, total % capacity
+            n = full + (rest > 0) + (rest > capacity // 2)
+            doc = np.repeat(np.arange(part.num_rows), n)
+            nth = X.expand(np.zeros(len(n), np.int64), n)
+            start = np.minimum(nth, full[doc]) * capacity + (nth > full[doc]) * (capacity // 2)
+            length = np.append(start[1:], 0)
+            last = np.cumsum(n) - 1
+            length[last] = total
+            length -= start
+            at = begin[doc] + start
+            crc = [zlib.crc32(flat[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()

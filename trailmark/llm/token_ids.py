@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._encode import encoder
+from ._encode import encoded, encoder
 
 MAGIC = b"TMIDX1\n"
 LEVELS, ROOM = 48, 2.0
@@ -181,15 +181,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
 
         def chunks():
             nonlocal wrote
-            for batch in batches:
-                for part in X.slices(batch, "text"):
-                    ids, edge = tokens.encode(part.column("text").to_pylist())
-                    n_ids = np.diff(edge)
-                    out = np.insert(ids, edge[1:], end_id).astype(f"<u{width}")
-                    keys.append(part.column("doc_id").to_numpy())
-                    sizes.append(n_ids + 1)
-                    wrote += len(out)
-                    yield out.tobytes()
+            for part, ids, edge in encoded(batches, tokens):
+                out = np.insert(ids.astype(f"<u{width}", copy=False), edge[1:], end_id)
+                keys.append(part.column("doc_id").to_numpy())
+                sizes.append(np.diff(edge) + 1)
+                wrote += len(out)
+                yield out.tobytes()
 
         _put(folder, f"{name}.ids", chunks())
         doc_ids = np.concatenate(keys) if keys else np.zeros(0, np.int64)
