@@ -159,6 +159,25 @@ def decontaminate(
     return out.mapInArrow(_summary, final)
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, kgram: int = KGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows in which no item's window occurs, with all their columns; no row moves."""
+    out = docs
+    for block in _blocks(items, item_id, item_text, block_bytes):
+        index = broadcast_value(docs.sparkSession, index_items(block, window, kgram))
+        out = out.mapInArrow(_passer(index, window, kgram, text), docs.schema)
+    return out
+
+
+def _passer(index, window: int, kgram: int, text: str):
+    def run(batches):
+        for batch in batches:
+            for part in X.slices(batch, text):
+                found = hits(X.scan(*X.utf8(part.column(text)), X.ALNUM), index.value, window, kgram)[1]
+                yield part.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return run
+
+
 def _blocks(items: DataFrame, item_id: str, text: str, limit: int):
     block, size = [], 0
     rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as X
 from ._shared import written
@@ -322,6 +323,16 @@ def links(docs: DataFrame, light: DataFrame, *, k: int, num: int, den: int) -> D
     return work.mapInArrow(_counter(num, den), "a long, b long")
 
 
+def _membership(base: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``doc_id, n_shingles, node, root, least``: each row's set, its component and the least id there."""
+    kind = base.schema["doc_id"].dataType.simpleString()
+    light = written(base.mapInArrow(_light(k), f"doc_id {kind}, n_shingles long, node long"), "sets")
+    roots = components(links(base, light, k=k, num=num, den=den))
+    mapped = light.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = mapped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
+    return mapped.join(least, "root", "left")
+
+
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row, for links at a Jaccard similarity of num / den or more.
 
@@ -331,9 +342,35 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     table gives no rows.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    light = written(base.mapInArrow(_light(k), f"doc_id {kind}, n_shingles long, node long"), "sets")
-    roots = components(links(base, light, k=k, num=num, den=den))
-    mapped = light.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = mapped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return mapped.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return _membership(base, k, num, den).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without their near duplicates: of each component the row with the least id stays.
+
+    Rows without words are in no component and stay.  Where rows share that least id, one of them stays.
+    All columns are kept.
+    """
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = written(_membership(base, k, num, den), "members")
+    gone = found.where(F.col("root").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    again = found.where(F.col("root").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    # equal ids with different texts: rows are told apart by their sets, and each component keeps one row
+    chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("one")).select("one.node").distinct()
+    tagged = docs.mapInArrow(_tagger(k, text), StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    bare = tagged.where(F.col("_node").isNull())
+    worded = tagged.join(chosen.withColumnRenamed("node", "_node"), "_node").dropDuplicates(["_node"])
+    return bare.unionByName(worded).drop("_node")
+
+
+def _tagger(k: int, text: str):
+    def run(batches):
+        for batch in batches:
+            for part in X.slices(batch, text):
+                grams, first = sets(*X.utf8(part.column(text)), k)
+                yield part.append_column("_node", pa.array(nodes(grams, first), pa.int64(), mask=np.diff(first) == 0))
+
+    return run

@@ -134,6 +134,20 @@ def classify(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str
     return base.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: dict, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows that the model does not reject, with all their columns; no row moves."""
+    shared = broadcast_value(docs.sparkSession, model)
+
+    def run(batches):
+        m = shared.value
+        sizes = Sizes(m["good"], m["bad"])
+        for batch in batches:
+            for part in X.slices(batch, text):
+                yield part.filter(pa.array(apply(m["calibration"], sizes.features(_encoded(part.column(text)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
     """Fit on the labelled rows that are not held out, and classify every document."""
     return classify(docs, train(docs, labels, **names), **{k: v for k, v in names.items() if k in ("doc_id", "text")})
