@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Column functions: codes, geometry, projections, closed-form algebra."""

@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Relational operators over long-format tracks, samples, predictions and lane graphs."""

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import motion, windows  # noqa: F401
+from .plans.views import ORACLE_SQL, QUERIES  # noqa: F401
