@@ -77,6 +77,24 @@ def utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, C
     return F.lit(500000.0) + F.lit(K0 * radius) * east, F.lit(K0 * radius) * north
 
 
+def utm_inverse(east: Column, north: Column, zone: int) -> tuple[Column, Column]:
+    """Latitude and longitude of UTM coordinates of the northern hemisphere, by the inverse series."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = north / F.lit(K0 * radius), (east - F.lit(500000.0)) / F.lit(K0 * radius)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - F.lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+        y = y - F.lit(b) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + F.lit(d) * F.sin(chi * (2 * j))
+    return F.degrees(phi), F.lit(float(zone * 6 - 183)) + F.degrees(F.atan2(F.sinh(y), F.cos(x)))
+
+
 def enu_to_ecef(e: Column, n: Column, u: Column, lat: float, lon: float, height: float = 0.0) -> tuple[Column, Column, Column]:
     """Local east, north, up about a point (degrees) to earth-centred coordinates."""
     e2 = FLATTENING * (2 - FLATTENING)
