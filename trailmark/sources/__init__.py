@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Readers of recordings and maps into the engine's long schemas, and writers of samples."""
