@@ -131,3 +131,17 @@ def test_ego_frame_faces_forward(spark):
 def test_thinning_is_relative_to_the_last_kept_point(spark):
     p = spark.createDataFrame([(0, 0, i, x, 0.0) for i, x in enumerate([0.0, 0.6, 1.2, 1.8, 2.4])], "map_id long, line_id long, pos int, x double, y double")
     assert sorted(r.pos for r in G.thin(p, 1.0).collect()) == [0, 2, 4]
+
+
+def test_plugins_and_configurations(tmp_path):
+    from trailmark.functions.plugins import configuration, load
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.yml").write_text("fz: 25\n")
+    try:
+        assert configuration("a", str(tmp_path)) == {"fz": 25}
+    except ModuleNotFoundError:
+        pass
+    with pytest.raises(FileNotFoundError):
+        configuration("b", str(tmp_path))
+    assert load("math", "sqrt")(4) == 2

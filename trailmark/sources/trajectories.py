@@ -202,7 +202,8 @@ def token_tables(spark: SparkSession, path: str, ego: bool = True) -> DataFrame:
 
 def staged_scenes(spark: SparkSession, path: str, ego: bool = True) -> DataFrame:
     """Scenes staged as CSV; without ``ego``, a second ego vehicle is left out."""
-    t = _csv(spark, path, "frame int, track_id string, x double, y double, agent_type string, full_category string, status string, full_status string, map string, scene_name string", "*.csv")
+    columns = "frame int, track_id string, x double, y double, agent_type string, full_category string, status string, full_status string, map string, scene_name string"
+    t = _named_csv(spark, path, "*.csv", "()", _columns(columns)).drop("rec_id")
     return t if ego else t.where(F.col("full_category") != "vehicle.ego")
 
 

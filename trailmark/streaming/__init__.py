@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Metrics over streams of predictions."""
