@@ -30,14 +30,11 @@ def list_order(rows: DataFrame, scene: str, time: str, token: str, following: st
 
 
 def union_with_offset(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both sets of tracks; the second's ids follow the first's greatest, in the order in which they appear.
-
-    Ids are few beside rows (one for each track), so ranking them in one place is cheap.
-    """
+    """Both sets of tracks; the second's ids follow the first's greatest, in the order in which they appear."""
     top = first.agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("_top"))
     ids = second.groupBy("track_id").agg(F.min("frame").alias("_f"))
-    ids = ids.select("track_id", F.dense_rank().over(W.orderBy("_f", "track_id")).alias("_r")).crossJoin(F.broadcast(top))  # one row
-    moved = second.join(ids, "track_id").withColumn("track_id", F.col("_top") + F.col("_r")).drop("_top", "_r")
+    ids = ranked(ids, "_f", "track_id", name="_rank").drop("_f").crossJoin(F.broadcast(top))  # one row
+    moved = second.join(ids, "track_id").withColumn("track_id", F.col("_top") + F.col("_rank") + 1).drop("_top", "_rank")
     return first.unionByName(moved, allowMissingColumns=True)
 
 
@@ -76,14 +73,20 @@ def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
-def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``batch`` numbers of rows in the order of a key, without gathering them: rows are ranked within ranges.
+def ranked(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
+    """``rank`` of rows from 0 in the order of keys, without gathering them: rows are ranked within ranges.
 
-    Ranges of the key are numbered by their partition, counted, and each row's rank is its place in the
-    range plus the rows of the ranges before.
+    Ranges of the keys are numbered by their partition, counted, and each row's rank is its place in the
+    range plus the rows of the ranges before.  The number of ranges is fixed, so that both uses of them agree.
     """
-    ranged = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row per partition
-    here = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
-    return here.join(F.broadcast(before), "_p").withColumn("batch", F.floor((F.col("_b") + F.col("_r")) / size).cast("int")).drop("_p", "_r", "_b")
+    before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row per range
+    here = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys)) - 1)
+    return here.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+
+
+def batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``batch`` numbers of rows in the order of a key."""
+    return ranked(df, key, name="batch").withColumn("batch", F.floor(F.col("batch") / size).cast("int"))
