@@ -25,9 +25,8 @@ def cell_of(*key: Column) -> Column:
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
     """``arc, cell, orders``: virtual nodes by their cell, each with all shards in clockwise order from it."""
-    nodes = spark.range(shards * vnodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"), cell_of(F.lit("node"), F.col("id")).alias("cell")
-    )
+    shard, replica = F.floor(F.col("id") / vnodes), F.col("id") % vnodes
+    nodes = spark.range(shards * vnodes).select(shard.cast("int").alias("shard"), cell_of(F.lit("node"), shard, replica).alias("cell"))
     nodes = nodes.groupBy("cell").agg(F.min("shard").alias("shard"))
     whole = nodes.agg(F.array_sort(F.collect_list(F.struct("cell", "shard"))).alias("ring"))
     n = F.size("ring")
