@@ -115,6 +115,24 @@ def test_every_linked_pair_shares_a_segment():
                     assert set(s[who == 0].tolist()) & set(s[who == 1].tolist())
 
 
+def test_screen_keeps_every_linked_pair():
+    rng = np.random.default_rng(8)
+    for num in (80, 90):
+        for n in (1, 12, 90, 130, 700, 9000):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for part in (0, 0.03, 0.1, 0.15, 0.5):
+                gone = int(n * part)
+                b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**64, int(gone * rng.random()), dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                rows = J.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                found = J.screen([1, 2], [(len(a), rows[0]), (len(b), rows[1])], num, 100)
+                if 100 * both >= num * (len(a) + len(b) - both):
+                    assert found == [(1, 2)]
+                elif part == 0.5 and n > 50:
+                    assert not found
+    assert J.screen([1, 2], [(900, b""), (900, b"x" * 256)], 80, 100) == [(1, 2)]
+
+
 def test_keep_one(docs_of):
     rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, ""), (4, "p q r s t u v"), (5, None), (1, "k l m n o p")]
     kept = sorted((r.doc_id, r.text) for r in J.keep_one(docs_of(rows)).collect() if r.text)

@@ -5,13 +5,16 @@ segments that fall in them.  Two sets that reach the threshold differ in at most
 from their sizes, so of more than k fragments one at least is the same in both.  Sets meet where a
 segment is equal (the number of fragments depends on the class of size; a set is also cut as the next class is, if
 a partner can be there).  Segments of few n-grams would bring strangers together: sets have a few more
-fragments than needed and leave out the short ones, unless too many of them are short.
+fragments than needed and leave out the short ones, unless too many of them are short.  N-grams that many
+documents share (passages, licence lines) are left out too, of sets that have enough others.
 
-Sets that meet, directly or through others, form a cluster.  Within a cluster the overlap of all pairs is
-counted fragment by fragment (a product of incidence matrices for each fragment of the order) and summed
+Sets that meet, directly or through others, form a cluster.  Clusters are first screened by sketches: the
+numbers of n-grams in cells of the order bound the difference of two sets from below, so
+pairs that cannot reach the threshold no longer hold a cluster together.  In the clusters that remain the
+overlap of all pairs is counted fragment by fragment (a product of incidence matrices for each fragment of the order) and summed
 per pair, and a spanning forest of the pairs that reach the threshold is kept: components need no
 more, so copies are never expanded into pairs.  Clusters of more than ``BLOCK`` sets are cut, ordered by
-size, into blocks, and pairs of blocks whose sizes can match are worked on apart.
+size, into blocks both times, and pairs of blocks whose sizes can match are worked on apart.
 
 Equal sets are one node from the start.
 """
@@ -19,6 +22,7 @@ Equal sets are one node from the start.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as X
-from ._shared import written
+from ._shared import broadcast_value, written
 from .components import components
 
-BLOCK = 512
+BLOCK, LEAST = 512, 1024
+#: A sketch has two to the power of at least and at most so many cells; sets have two to four n-grams a cell.
+CELL_BITS = (5, 13)
+#: Text handled at once when segments are dealt out.
+DEAL_BYTES = 8 << 20
+#: How many documents make an n-gram a common one; n-grams counted to find those, and bits of their map.
+COMMON, MARK_SAMPLE, MARK_BITS = 64, 1 << 24, 26
 #: Columns of an incidence matrix worked on at once: one vertical fragment in counting.
 WIDTH = 4096
 
@@ -91,19 +101,51 @@ def scheme(size_class: int, num: int, den: int) -> tuple[int, int, int, int, int
 
 @lru_cache(maxsize=4096)
 def _bounds(size_class: int, num: int, den: int) -> tuple[int, int]:
-    step = (den / num) ** 3
+    step = (den / num) ** 2
     return math.ceil(step**size_class), math.ceil(step ** (size_class + 1)) - 1
 
 
 def _class_of(n: int, num: int, den: int) -> int:
-    c = max(0, int(math.log(n) / math.log(den / num) / 3) - 1)
+    c = max(0, int(math.log(n) / math.log(den / num) / 2) - 1)
     while _bounds(c, num, den)[1] < n:
         c += 1
     return c
 
 
-def segments(grams: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """``signature, set``: of every set the segments by which others can meet it."""
+def _cut(grams: np.ndarray, owner: np.ndarray, table: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signature, set, long enough`` of the segments of sorted n-grams; ``table`` has each set's class, parts, spare, least."""
+    c, parts, _, least = table[owner].T
+    piece = ((grams >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
+    new = np.ones(len(grams), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    count = np.diff(np.append(at, len(grams)))
+    total = np.add.reduceat(X.mix(grams ^ np.uint64(0xA0761D6478BD642F)), at)
+    return X.mix(total ^ _tag(c[at], piece[at], salt)), owner[at], count >= least[at]
+
+
+def _tag(size_class, piece: np.ndarray, salt: int) -> np.ndarray:
+    return X.mix((np.asarray(size_class).astype(np.uint64) << np.uint64(40)) ^ (piece + np.uint64(1)) ^ (np.uint64(salt) << np.uint64(60)))
+
+
+def _empty(rows: np.ndarray, table: np.ndarray, grams: np.ndarray, owner: np.ndarray, salt: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of the empty segments of some sets."""
+    for i in rows.tolist():
+        g = grams[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
+        have = np.unique(((g >> np.uint64(32)) * np.uint64(table[i, 1])) >> np.uint64(32))
+        gone = np.setdiff1d(np.arange(table[i, 1], dtype=np.uint64), have)
+        yield X.mix(_tag(table[i, 0], gone, salt)), np.full(len(gone), i)
+
+
+def segments(grams: np.ndarray, first: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``signature, set``: of every set the segments by which others can meet it.
+
+    ``common`` is a bitmap of n-grams that many documents have.  Sets that differ in at most k n-grams differ
+    in no more of the others, so segments of the others alone will do for sets that have enough of them
+    (whatever n-grams the bitmap marks); the rest are cut with all their n-grams as well.
+    """
     size = np.diff(first)
     lookup = {}
     for n in np.unique(size[size > 0]).tolist():
@@ -112,42 +154,102 @@ def segments(grams: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[
         if n * den // num >= _bounds(c + 1, num, den)[0]:
             own.append(c + 1)
         lookup[n] = own
-    signatures, owners = [], []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for turn in (0, 1):
         plans = {n: (cs[turn], *scheme(cs[turn], num, den)[2:]) for n, cs in lookup.items() if len(cs) > turn}
         plans = {n: p for n, p in plans.items() if p[1]}
         if not plans:
             continue
-        table = np.zeros((int(size.max()) + 1, 4), np.int64)
+        by_size = np.zeros((int(size.max()) + 1, 4), np.int64)
         for n, p in plans.items():
-            table[n] = p
-        rows = np.flatnonzero(table[size, 1] > 0)
+            by_size[n] = p
+        table = by_size[size]
+        rows = np.flatnonzero(table[:, 1] > 0)
         which = np.repeat(rows, size[rows])
         g = grams[X.expand(first[rows], size[rows])]
-        c, parts, spare, least = table[size[which]].T
-        piece = ((g >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
-        new = np.ones(len(g), bool)
-        new[1:] = (which[1:] != which[:-1]) | (piece[1:] != piece[:-1])
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(g)))
-        total = np.add.reduceat(X.mix(g ^ np.uint64(0xA0761D6478BD642F)), at)
-        tag = (c[at].astype(np.uint64) << np.uint64(40)) ^ (piece[at] + np.uint64(1))
-        signature = X.mix(total ^ X.mix(tag))
-        owner, long_ = which[at], count >= least[at]
-        n_long = np.bincount(owner[long_], minlength=len(size))
-        weak = table[size, 1] - n_long > table[size, 2]  # too many short segments: all count, empty ones too
-        keep = long_ | weak[owner]
-        signatures.append(signature[keep])
-        owners.append(owner[keep])
-        for i in np.flatnonzero(weak & (table[size, 1] > 0)).tolist():
-            have = piece[at][owner == i]
-            gone = np.setdiff1d(np.arange(table[size[i], 1], dtype=np.uint64), have)
-            tag = (np.uint64(table[size[i], 0]) << np.uint64(40)) ^ (gone + np.uint64(1))
-            signatures.append(X.mix(X.mix(tag)))
-            owners.append(np.full(len(gone), i))
-    if not signatures:
+        for salt, some in enumerate((None, common)[: 1 if common is None else 2][::-1]):
+            rare = np.ones(len(g), bool) if some is None else ~_marked(g, some)
+            signature, owner, long_ = _cut(g[rare], which[rare], table, salt)
+            n_long = np.bincount(owner[long_], minlength=len(size))
+            weak = table[:, 1] - n_long > table[:, 2]  # too many short segments: all of them count
+            keep = long_ | weak[owner]
+            out.append((signature[keep], owner[keep]))
+            if some is None:
+                out += _empty(np.flatnonzero(weak & (table[:, 1] > 0)), table, g, which, salt)
+            else:  # only the weak ones are cut again, with all they have
+                g, which = g[weak[which]], which[weak[which]]
+                table = table * weak[:, None]
+    if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(signatures), np.concatenate(owners)
+    return np.concatenate([s for s, _ in out]), np.concatenate([o for _, o in out])
+
+
+def _marked(grams: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = grams >> np.uint64(64 - MARK_BITS)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def common_grams(docs: DataFrame, light: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of the n-grams that more than about ``COMMON`` documents have: a hint, which changes no result.
+
+    It is counted on all documents, or on as many, chosen by the hashes of their sets, as have ``MARK_SAMPLE``
+    n-grams between them.  The bitmap has a fixed size; an n-gram that shares a bit with a common one
+    counts as common.
+    """
+    spark = docs.sparkSession
+    total = light.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    rate = min(1.0, MARK_SAMPLE / max(total, 1))
+    least = max(4, math.ceil(COMMON * rate))
+    limit = np.uint64(min(2**64 - 1, int(rate * 2**64)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches):
+        for batch in batches:
+            for whole in X.slices(batch, "text", DEAL_BYTES):
+                found = []
+                for part in X.slices(whole, "text"):
+                    grams, first = sets(*X.utf8(part.column("text")), k)
+                    chosen = X.mix(nodes(grams, first).view(np.uint64)) <= limit
+                    found.append(grams[np.repeat(chosen, np.diff(first))] >> np.uint64(64 - MARK_BITS))
+                bits, count = np.unique(np.concatenate(found), return_counts=True)
+                edge = np.searchsorted(bits * np.uint64(parts) >> np.uint64(MARK_BITS), np.arange(parts + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(edge))
+                spans = [(edge[i], edge[i + 1]) for i in full.tolist()]
+                cols = [pa.array([x[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()) for x in (bits, count)]
+                yield pa.record_batch([pa.array(full, pa.int32()), *cols], ["part", "bits", "counts"])
+
+    def add(batches):
+        bits, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for batch in batches:
+            bits += [np.frombuffer(x, np.uint32) for x in batch.column("bits").to_pylist()]
+            counts += [np.frombuffer(x, np.uint32) for x in batch.column("counts").to_pylist()]
+        at, place = np.unique(np.concatenate(bits), return_inverse=True)
+        at = at[np.bincount(place, np.concatenate(counts), minlength=len(at)) >= least]
+        yield pa.record_batch([pa.array([at.astype(np.uint32).tobytes()], pa.binary())], ["bits"])
+
+    dealt = docs.select("text").mapInArrow(deal, "part int, bits binary, counts binary").repartition(parts, "part")
+    flags = np.zeros(1 << MARK_BITS, bool)
+    for row in dealt.mapInArrow(add, "bits binary").toLocalIterator():  # at most MARK_SAMPLE / least numbers in all
+        flags[np.frombuffer(row[0], np.uint32)] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many n-grams of each set lie in each cell; large sets have more cells, always a power of two.
+
+    A set with a cell of more than 255 has an empty sketch, which bounds nothing.
+    """
+    size = np.diff(first)
+    out = [b""] * len(size)
+    levels = np.clip(np.ceil(np.log2(np.maximum(size, 1) / 4)), *CELL_BITS).astype(np.int64)
+    for level in np.unique(levels[size > 0]).tolist():
+        rows = np.flatnonzero((levels == level) & (size > 0))
+        for some in np.array_split(rows, -(-(len(rows) << level) >> 22)):
+            cell = ((grams[X.expand(first[some], size[some])] >> np.uint64(8)) & np.uint64((1 << level) - 1)).astype(np.int64)
+            count = np.bincount((np.repeat(np.arange(len(some)), size[some]) << level) + cell, minlength=len(some) << level).reshape(len(some), -1)
+            for i, row, most in zip(some.tolist(), count.astype(np.uint8), count.max(axis=1).tolist(), strict=True):
+                out[i] = row.tobytes() if most <= 255 else b""
+    return out
 
 
 def _light(k: int):
@@ -157,45 +259,62 @@ def _light(k: int):
                 grams, first = sets(*X.utf8(part.column("text")), k)
                 n = np.diff(first)
                 node = pa.array(nodes(grams, first), pa.int64(), mask=n == 0)
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), node], ["doc_id", "n_shingles", "node"])
+                blobs = sketches(grams, first)
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), node, pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
     return run
 
 
-def _dealer(k: int, num: int, den: int, parts: int):
-    """Packed segments, one row for each part of a batch; equal sets of a batch count once."""
+def _dealer(k: int, num: int, den: int, parts: int, common):
+    """Packed segments, one row for each part of some texts; equal sets among those count once.
+
+    A row has the 48 low bits of its signatures (the part has the high ones) and, for each, the place of its
+    set in a list of sets.  Signatures that are equal by chance only add candidates.
+    """
 
     def run(batches):
         for batch in batches:
-            sig, node = [], []
-            for part in X.slices(batch, "text"):
-                grams, first = sets(*X.utf8(part.column("text")), k)
-                s, i = segments(grams, first, num, den)
-                sig.append(s)
-                node.append(nodes(grams, first)[i])
-            s, v = (np.concatenate(sig), np.concatenate(node)) if sig else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            order = np.lexsort((v, s))
-            s, v = s[order], v[order]
-            new = np.ones(len(s), bool)
-            new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-            s, v = s[new], v[new]
-            p = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with s
-            edge = np.searchsorted(p, np.arange(parts + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(edge))
-            yield pa.record_batch(
-                [pa.array(full, pa.int32()), pa.array([s[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary()), pa.array([v[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())],
-                ["part", "signatures", "nodes"],
-            )
+            for whole in X.slices(batch, "text", DEAL_BYTES):
+                sig, node = [], []
+                for part in X.slices(whole, "text"):
+                    grams, first = sets(*X.utf8(part.column("text")), k)
+                    s, i = segments(grams, first, num, den, common.value)
+                    sig.append(s)
+                    node.append(nodes(grams, first)[i])
+                yield _packed(np.concatenate(sig), np.concatenate(node), parts)
 
     return run
 
 
+def _packed(s: np.ndarray, v: np.ndarray, parts: int) -> pa.RecordBatch:
+    order = np.lexsort((v, s))
+    s, v = s[order], v[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
+    s, v = s[new], v[new]
+    p = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with s
+    edge = np.searchsorted(p, np.arange(parts + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(edge))
+    low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint16)
+    cols: list[list[bytes]] = [[], [], [], []]
+    for i in full.tolist():
+        a, b = edge[i], edge[i + 1]
+        held, place = np.unique(v[a:b], return_inverse=True)
+        place = place.astype(np.uint16 if len(held) <= 1 << 16 else np.uint32)
+        for col, x in zip(cols, (low[a:b], high[a:b], place, held), strict=True):
+            col.append(x.tobytes())
+    return pa.record_batch([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "low", "high", "place", "held"])
+
+
 def _meet(batches):
     """Star edges of the sets with equal segments: the least of them, and each other."""
     sig, node = [], []
     for batch in batches:
-        sig += [np.frombuffer(x, np.uint64) for x in batch.column("signatures").to_pylist()]
-        node += [np.frombuffer(x, np.int64) for x in batch.column("nodes").to_pylist()]
+        for part, low, high, place, held in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "high", "place", "held")), strict=True):
+            low = np.frombuffer(low, np.uint32)
+            sig.append((np.uint64(part) << np.uint64(48)) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)) | low)
+            held = np.frombuffer(held, np.int64)
+            node.append(held[np.frombuffer(place, np.uint16 if len(held) <= 1 << 16 else np.uint32)])
     if not sig:
         return
     s, v = np.concatenate(sig), np.concatenate(node)
@@ -208,24 +327,40 @@ def _meet(batches):
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(s)))
     least = np.repeat(np.minimum.reduceat(v, at), size)
-    pair = np.unique(np.column_stack([least, v])[least != v], axis=0) if len(v) else np.zeros((0, 2), np.int64)
+    pair = np.unique(np.column_stack([least, v])[least != v], axis=0)
     for i in range(0, len(pair), 100_000):
         yield pa.record_batch([pa.array(pair[i : i + 100_000, 0]), pa.array(pair[i : i + 100_000, 1])], ["a", "b"])
 
 
 def _setter(k: int):
+    """The n-grams of each text's set, once for each group that its set works in."""
+
     def run(batches):
         for batch in batches:
             for part in X.slices(batch, "text"):
                 grams, first = sets(*X.utf8(part.column("text")), k)
                 same = nodes(grams, first) == part.column("node").to_numpy()
-                rows = np.flatnonzero(same)
-                blobs = [grams[first[i] : first[i + 1]].tobytes() for i in rows.tolist()]
-                yield pa.record_batch([part.column("node").take(pa.array(rows)), pa.array(blobs, pa.binary())], ["node", "grams"])
+                cluster, i, j, node, blobs = [], [], [], [], []
+                for row in np.flatnonzero(same).tolist():
+                    blob = grams[first[row] : first[row + 1]].tobytes()
+                    for at in part.column("work")[row].as_py():
+                        cluster.append(at["cluster"])
+                        i.append(at["i"])
+                        j.append(at["j"])
+                        node.append(part.column("node")[row].as_py())
+                        blobs.append(blob)
+                    if len(blobs) * len(blob) > X.SLICE:
+                        yield _work_rows(cluster, i, j, node, blobs)
+                        cluster, i, j, node, blobs = [], [], [], [], []
+                yield _work_rows(cluster, i, j, node, blobs)
 
     return run
 
 
+def _work_rows(cluster, i, j, node, blobs) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(cluster, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(node, pa.int64()), pa.array(blobs, pa.binary())], ["cluster", "i", "j", "node", "grams"])
+
+
 def overlaps(arrays: list[np.ndarray]) -> np.ndarray:
     """The sizes of the intersections of all pairs, counted fragment by fragment of the order and summed."""
     m = len(arrays)
@@ -272,63 +407,125 @@ def forest(ids: list[int], arrays: list[np.ndarray], num: int, den: int) -> list
     return out
 
 
-def _counter(num: int, den: int):
-    """Rows come ordered by group; a group has at most 2 * BLOCK sets."""
+def _folded(rows: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Lengths of sketches, and for each length the sketches of at least that length, folded to it."""
+    length = np.array([len(x) for x in rows])
+    held = [np.frombuffer(x, np.uint8).astype(np.int16) for x in rows]
+    levels = {}
+    for n in sorted(set(length.tolist()) - {0}, reverse=True):
+        held = [x if len(x) <= n else x.reshape(-1, n).sum(axis=0, dtype=np.int16) for x in held]
+        levels[n] = np.zeros((len(rows), n), np.int16)
+        for i in np.flatnonzero(length >= n).tolist():
+            levels[n][i] = held[i]
+    return length, levels
+
+
+def screen(ids: list[int], rows: list[tuple[int, bytes]], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect all pairs whose sizes and sketches leave the threshold within reach."""
+    size = np.array([n for n, _ in rows])
+    length, levels = _folded([x for _, x in rows])
+    todo, out = np.ones(len(ids), bool), []
+    for root in range(len(ids)):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        front = [root]
+        while front:
+            at = front.pop()
+            rest = np.flatnonzero(todo & (size * den >= size[at] * num) & (size * num <= size[at] * den))
+            both = np.minimum(length[rest], length[at])
+            near = [rest[both == 0]]
+            for n in np.unique(both[both > 0]).tolist():
+                some = rest[both == n]
+                differ = np.abs(levels[n][some] - levels[n][at]).sum(axis=1, dtype=np.int64)
+                near.append(some[differ * (den + num) <= (den - num) * (size[some] + size[at])])
+            found = np.concatenate(near)
+            todo[found] = False
+            out += [(ids[root], ids[i]) for i in found.tolist()]
+            front += found.tolist()
+    return out
+
+
+def _by_group(column, decide):
+    """Rows come ordered by group; a group has two blocks at most."""
 
     def run(batches):
-        key, ids, arrays = None, [], []
-        for batch in batches:
+        key, ids, values = None, [], []
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = []
-            for c, i, j, node, grams in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", "node", "grams")), strict=True):
+            for c, i, j, node, value in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", "node")), column(batch), strict=True):
                 if key != (c, i, j):
-                    out += forest(ids, arrays, num, den) if len(ids) > 1 else []
-                    key, ids, arrays = (c, i, j), [], []
+                    out += decide(ids, values) if len(ids) > 1 else []
+                    key, ids, values = (c, i, j), [], []
                 if not ids or ids[-1] != node:
                     ids.append(node)
-                    arrays.append(np.frombuffer(grams, np.uint64))
+                    values.append(value)
             yield _pairs(out)
-        yield _pairs(forest(ids, arrays, num, den) if len(ids) > 1 else [])
+        yield _pairs(decide(ids, values) if len(ids) > 1 else [])
 
     return run
 
 
+def _screener(num: int, den: int):
+    return _by_group(lambda b: zip(b.column("n").to_pylist(), b.column("sketch").to_pylist(), strict=True), lambda ids, rows: screen(ids, rows, num, den))
+
+
+def _counter(num: int, den: int):
+    return _by_group(lambda b: (np.frombuffer(x, np.uint64) for x in b.column("grams").to_pylist()), lambda ids, arrays: forest(ids, arrays, num, den))
+
+
 def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, light: DataFrame, *, k: int, num: int, den: int) -> DataFrame:
-    """``a, b``: edges between nodes that connect what the links connect.  docs has doc_id, text."""
-    spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("text").mapInArrow(_dealer(k, num, den, parts), "part int, signatures binary, nodes binary")
-    met = dealt.repartition(parts // 2, "part").mapInArrow(_meet, "a long, b long")
-    roots = components(met)
-    cluster = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
-    holders = light.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    cluster = written(cluster.join(holders, "node"), "clusters")
-    spot = F.row_number().over(W.partitionBy("cluster").orderBy("n", "node")) - 1
-    placed = cluster.withColumn("block", F.floor(spot / BLOCK).cast("int"))
+def _groups(clusters: DataFrame, num: int, den: int) -> DataFrame:
+    """``cluster, i, j`` and a cluster's other columns: which sets work together.
+
+    A cluster of one block is one group; else each pair of blocks whose sizes can match is one.  A block has
+    at most BLOCK sets, and fewer large ones: as many as have BLOCK * LEAST n-grams, or one.
+    """
+    weight = F.greatest(F.col("n"), F.lit(LEAST))
+    spot = F.sum(weight).over(W.partitionBy("cluster").orderBy("n", "node")) - weight
+    placed = clusters.withColumn("block", F.floor(spot / (BLOCK * LEAST)).cast("int"))
+    # blocks of several are few: those of clusters with more than BLOCK sets
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     one = blocks.select("cluster", F.col("block").alias("i"), F.col("hi").alias("most"))
     two = blocks.select("cluster", F.col("block").alias("j"), F.col("lo").alias("least"))
-    # blocks are few (a cluster's sets / BLOCK); those with a block of their cluster above or below work in pairs
-    pairs = one.join(two, "cluster").where(((F.col("i") < F.col("j")) & (F.col("least") * num <= F.col("most") * den)) | ((F.col("i") == 0) & (F.col("j") == 0)))
-    pairs = pairs.select("cluster", "i", "j")
-    first = pairs.select("cluster", "i", "j", F.col("i").alias("block"))
-    second = pairs.where("i < j").select("cluster", "i", "j", F.col("j").alias("block"))
-    groups = placed.join(first.unionAll(second), ["cluster", "block"]).select("cluster", "i", "j", "node")
-    texts = docs.join(cluster.select("doc_id", "node").hint("merge"), "doc_id")  # grows with the input: never broadcast
-    grams = texts.select("node", "text").mapInArrow(_setter(k), "node long, grams binary")
-    work = groups.join(grams, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    reach = (F.col("i") < F.col("j")) & (F.col("least") * num <= F.col("most") * den)
+    pairs = one.join(two, "cluster").where(reach | (F.col("i") == F.col("j"))).select("cluster", "i", "j")
+    sides = pairs.withColumn("block", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))))
+    return placed.join(sides, ["cluster", "block"]).drop("block")
+
+
+def _clusters(edges: DataFrame) -> DataFrame:
+    roots = components(edges)
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
+
+
+def links(docs: DataFrame, light: DataFrame, *, k: int, num: int, den: int) -> DataFrame:
+    """``a, b``: edges between nodes that connect what the links connect.  docs has doc_id, text."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = broadcast_value(docs.sparkSession, common_grams(docs, light, k))
+    dealt = docs.select("text").mapInArrow(_dealer(k, num, den, parts, common), "part int, low binary, high binary, place binary, held binary")
+    met = dealt.repartition(parts, "part").mapInArrow(_meet, "a long, b long")
+    holders = light.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    rough = written(_clusters(met).join(holders, "node"), "rough")
+    work = _groups(rough.drop("doc_id"), num, den).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    near = work.select("cluster", "i", "j", "node", "n", "sketch").mapInArrow(_screener(num, den), "a long, b long")
+    fine = written(_clusters(near).join(rough.select("node", "n", "doc_id"), "node"), "fine")
+    todo = _groups(fine, num, den).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("cluster", "i", "j")).alias("work"))
+    texts = docs.join(todo.hint("merge"), "doc_id")  # grows with the input: never broadcast
+    grams = texts.select("node", "work", "text").mapInArrow(_setter(k), "cluster long, i int, j int, node long, grams binary")
+    work = grams.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return work.mapInArrow(_counter(num, den), "a long, b long")
 
 
 def _membership(base: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_shingles, node, root, least``: each row's set, its component and the least id there."""
     kind = base.schema["doc_id"].dataType.simpleString()
-    light = written(base.mapInArrow(_light(k), f"doc_id {kind}, n_shingles long, node long"), "sets")
+    light = written(base.mapInArrow(_light(k), f"doc_id {kind}, n_shingles long, node long, sketch binary"), "sets")
     roots = components(links(base, light, k=k, num=num, den=den))
-    mapped = light.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mapped = light.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = mapped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     return mapped.join(least, "root", "left")
 
@@ -359,10 +556,11 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     if again.isEmpty():
         return kept
     # equal ids with different texts: rows are told apart by their sets, and each component keeps one row
-    chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("one")).select("one.node").distinct()
+    chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("one"))
+    chosen = chosen.select(F.col("one.doc_id").alias("_id"), F.col("one.node").alias("_node"))
     tagged = docs.mapInArrow(_tagger(k, text), StructType([*docs.schema.fields, StructField("_node", LongType())]))
     bare = tagged.where(F.col("_node").isNull())
-    worded = tagged.join(chosen.withColumnRenamed("node", "_node"), "_node").dropDuplicates(["_node"])
+    worded = tagged.join(chosen, "_node").where(F.col(doc_id) == F.col("_id")).drop("_id").dropDuplicates(["_node"])
     return bare.unionByName(worded).drop("_node")
 
 
