@@ -86,11 +86,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     rows = training_rows(docs, labels, label, doc_id=doc_id, text=text, per_class=per_class)
     half = F.xxhash64(F.col("text"), F.lit(3)) % 2 == 0
     size = F.octet_length("text")
-    order = F.xxhash64(F.col("_id"), F.lit(11))
     texts: list[list[bytes]] = []
     for y in (1, 0):
         some = rows.where((F.col("y") == y) & half & (size > 0))
-        some = some.dropDuplicates(["text"]).orderBy(order).limit(DICTIONARY_SAMPLE // 3000).select("text")
+        some = some.select("text").distinct().orderBy(F.xxhash64("text", F.lit(11)), "text").limit(DICTIONARY_SAMPLE // 3000)
         got, total = [], 0
         for row in some.toLocalIterator():
             raw = row[0].encode()
