@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 PIECE = 1 << 20
 SLICE = 4 << 20
@@ -77,8 +79,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _lean() -> None:
+    """In a worker, give memory back to the system instead of keeping it in Arrow's pool."""
+    if TaskContext.get() is not None:
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``limit`` bytes of text, one row at least."""
+    _lean()
     _, offsets = utf8(batch.column(column))
     at = 0
     while at < batch.num_rows:
