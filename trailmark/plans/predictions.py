@@ -82,9 +82,9 @@ _metric(
 
 _L2PI = repr(math.log(2 * math.pi))
 _DENSITY = {
-    "normal": (f"-(dx * dx / 0.25 + dy * dy / 0.64) / 2 - ln(0.5) - ln(0.8) - {_L2PI}", {"sx": F.lit(0.5), "sy": F.lit(0.8)}),
-    "laplace": ("-abs(dx) / 0.5 - abs(dy) / 0.8 - ln(1.0) - ln(1.6)", {"sx": F.lit(0.5), "sy": F.lit(0.8)}),
-    "mvn": (f"-(0.7 * dx * dx - 0.4 * dx * dy + 0.5 * dy * dy) / 0.31 / 2 - ln(0.31) / 2 - {_L2PI}", {"s11": F.lit(0.5), "s12": F.lit(0.2), "s22": F.lit(0.7)}),
+    "normal": (f"-(dx * dx / 0.25 + dy * dy / 0.64) / 2 - ln(0.5) - ln(0.8) - {_L2PI}", {"sx": 0.5, "sy": 0.8}),
+    "laplace": ("-abs(dx) / 0.5 - abs(dy) / 0.8 - ln(1.0) - ln(1.6)", {"sx": 0.5, "sy": 0.8}),
+    "mvn": (f"-(0.7 * dx * dx - 0.4 * dx * dy + 0.5 * dy * dy) / 0.31 / 2 - ln(0.31) / 2 - {_L2PI}", {"s11": 0.5, "s12": 0.2, "s22": 0.7}),
 }
 for _family, (_sql, _scale) in _DENSITY.items():
     _metric(
@@ -92,7 +92,7 @@ for _family, (_sql, _scale) in _DENSITY.items():
         f", l AS (SELECT scenario_id, agent_id, t, {_sql.replace('dx', '(tx - x)').replace('dy', '(ty - y)')} + ln(prob) AS l FROM err JOIN prob USING (scenario_id, agent_id, mode)), "
         "s AS (SELECT scenario_id, agent_id, t, max(l) + ln(sum(exp(l - m))) AS v FROM (SELECT *, max(l) OVER (PARTITION BY scenario_id, agent_id, t) AS m FROM l) GROUP BY ALL) "
         "SELECT round(avg(a), 6) AS nll, count(*) AS n_agents FROM (SELECT -avg(v) AS a FROM s GROUP BY scenario_id, agent_id)",
-        lambda t, p, q, family=_family, scale=_scale: M.nll(p, t, family, scale, q),
+        lambda t, p, q, family=_family, scale=_scale: M.nll(p, t, family, {k: F.lit(v) for k, v in scale.items()}, q),
     )
 
 _EWTA = ", z AS (SELECT scenario_id, agent_id, mode, sum({e}) AS e FROM err GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY e, mode) AS r FROM z) SELECT round(avg(v), 6) AS ewta, count(*) AS n_agents FROM (SELECT avg(e) AS v FROM k WHERE r <= 3 GROUP BY scenario_id, agent_id)"
