@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, on the driver's smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from trailmark.registry import ORACLE_SQL, QUERIES
@@ -18,7 +19,7 @@ def duck():
 
 
 def plain(column):
-    return [None if v is None or v != v else 0.0 if v == 0 else v for v in column.tolist()]
+    return [None if pd.isna(v) else 0.0 if v == 0 else v for v in column.tolist()]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
