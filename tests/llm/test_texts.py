@@ -171,6 +171,24 @@ def test_token_counts_equal_brute_force(docs_of, odd_rows):
     assert T.token_counts(docs_of([]), model).collect() == []
 
 
+def test_long_words_are_scored_whole(docs_of, odd_rows):
+    """Words are split here, not by pretokens()."""
+    model = vocabulary_file("piece_bpe_32k.model")
+    names, scores = T.vocabulary(model)
+    table, longest, low = dict(zip(names, scores.tolist(), strict=True)), max(map(len, names)), float(scores.min()) - T.BYTE_COST
+    rng = random.Random(6)
+    common = [n.decode() for n in names[:3000] if len(n) > 3 and T.MARK not in n]
+    glued = ["".join(rng.choice(common) for _ in range(rng.randrange(60, 900))) for _ in range(8)]
+    rows = list(enumerate([*glued, "a " + "日本語テスト" * 300 + " b", "é" * 257 + " " + "é" * 1000, "QUJD" * 700, " ".join(glued[:3] * 2)])) + [(100, odd_rows[6][1])]
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in T.token_counts(docs_of(rows), model).collect()}
+    for i, t in rows:
+        words = [("▁" + w).encode() for w in t.split(" ")]
+        assert got[i] == (len(words), sum(brute_tokens(w, table, longest, low) for w in words))
+    pieces = T.Pieces(names, scores)
+    short = [("▁" + w).encode() for w in [*common[:200], "naïve", "\U0001f600x", "zqxj"]]
+    assert [T.long_count(w, pieces) for w in short] == T.trie_counts(short, pieces).tolist()
+
+
 def ids_of(texts, name, end):
     e = Encoder(vocabulary_file(name), name.startswith("byte"))
     return [np.array([*x.ids, end], "<u4") for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]

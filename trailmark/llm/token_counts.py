@@ -5,6 +5,7 @@ segmentation is the one of most log-probability.  The best score of a prefix doe
 follows, so distinct pre-tokens are put into a trie and each node is scored once, for all pre-tokens
 that pass it; the node where a pre-token ends keeps its number of tokens.  Levels of the trie are
 processed with numpy, and the pieces that end at a node are found by walking a trie of the vocabulary.
+Pre-tokens of more than ``LONGEST`` bytes share little; each goes through the same forward pass alone.
 
 The vocabulary comes from a sentencepiece file; the model gives the piece of rank r the probability
 proportional to 1 / (r + 1), and a byte that no piece covers costs ``BYTE_COST`` more than the rarest piece.
@@ -23,7 +24,7 @@ from . import _text as X
 
 MARK = "▁".encode()
 BYTE_COST = 10.0
-#: A pre-token of more bytes is cut into pre-tokens of so many (at character borders); only the first has the mark.
+#: A pre-token of more bytes is scored by itself, not in a trie, and not kept.
 LONGEST = 512
 #: Distinct pre-tokens that a worker keeps, and how many go into one trie.
 MOST_WORDS, TRIE_WORDS = 400_000, 20_000
@@ -58,6 +59,7 @@ class Pieces:
                     edges[(at << 8) | byte] = to
                 at = to
             value[at] = max(value.get(at, -np.inf), float(scores[i]))
+        self.edges, self.ends = edges, value
         self.keys = np.array(sorted(edges), np.int64)
         self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
         self.value = np.full(len(state), -np.inf)
@@ -115,20 +117,33 @@ def trie_counts(words: list[bytes], pieces: Pieces) -> np.ndarray:
     return out
 
 
+def long_count(word: bytes, pieces: Pieces) -> int:
+    """The number of tokens of one word of any length: the same scores, keeping those of the last ``longest`` prefixes only."""
+    ring = pieces.longest + 1
+    best, count = [-np.inf] * ring, [0] * ring
+    best[0] = 0.0
+    edges, ends, low = pieces.edges, pieces.ends, pieces.byte
+    for at in range(len(word)):
+        here = at % ring
+        score, tokens = best[here], count[here] + 1
+        best[here] = -np.inf  # free for the prefix of ``ring`` bytes more
+        state = 0
+        for to in range(at, min(at + pieces.longest, len(word))):
+            state = edges.get((state << 8) | word[to])
+            if state is None:
+                break
+            value = ends.get(state)
+            slot = (to + 1) % ring
+            if value is not None and score + value >= best[slot]:  # of equal scores the shortest last piece, as in the trie
+                best[slot], count[slot] = score + value, tokens
+        slot = (at + 1) % ring
+        if score + low >= best[slot]:
+            best[slot], count[slot] = score + low, tokens
+    return count[len(word) % ring]
+
+
 def pretokens(text: str) -> list[bytes]:
-    out = []
-    for word in text.encode().split():
-        if len(word) <= LONGEST:
-            out.append(MARK + word)
-            continue
-        at = 0
-        while at < len(word):
-            to = min(at + LONGEST, len(word))
-            while to < len(word) and word[to] & 0xC0 == 0x80:
-                to -= 1
-            out.append((b"" if at else MARK) + word[at:to])
-            at = to
-    return out
+    return [MARK + word for word in text.encode().split()]
 
 
 class Counter:
@@ -145,16 +160,19 @@ class Counter:
             if text:
                 flat += pretokens(text)
             first[i + 1] = len(flat)
-        fresh = set(flat) - self.known.keys()
+        words = set(flat)
+        long = {w: long_count(w, self.pieces) for w in words if len(w) > LONGEST}
+        words -= long.keys()
+        fresh = words - self.known.keys()
         if len(self.known) + len(fresh) > MOST_WORDS:
             self.known = {}
-            fresh = set(flat)
+            fresh = words
         todo = sorted(fresh)
         for at in range(0, len(todo), TRIE_WORDS):
             part = todo[at : at + TRIE_WORDS]
             self.known.update(zip(part, trie_counts(part, self.pieces).tolist(), strict=True))
         sums = np.zeros(len(flat) + 1, np.int64)
-        np.cumsum(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), out=sums[1:])
+        np.cumsum(np.fromiter((long[w] if len(w) > LONGEST else self.known[w] for w in flat), np.int64, len(flat)), out=sums[1:])
         return np.diff(first), np.diff(sums[first])
 
 
