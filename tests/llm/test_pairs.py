@@ -141,6 +141,51 @@ def test_keep_one(docs_of):
     assert J.keep_one(docs_of(rows)).count() == 5
 
 
+def chain(tag):
+    """Three texts of which the first and the last are linked only through the second."""
+    words = [f"{tag}{i}" for i in range(100)]
+    return [" ".join(words[i : i + 84]) for i in (0, 8, 16)]
+
+
+@pytest.mark.parametrize(
+    ("some", "none"),
+    [
+        ([(2, chain("a")[0]), (1, chain("a")[2]), (9, "p q r s t u v")], [chain("a")[1]]),  # a single null id, no repeats
+        ([(2, chain("a")[0]), (1, chain("a")[2]), (9, "p q r s t u v"), (7, chain("d")[1])], [chain("a")[1], chain("d")[0], *chain("b"), "k l m n o p", "k l m n o p", "p q r s t u v", "", None]),
+        ([(3, "a b c d e f"), (4, "g h i j k l"), (4, "m n o p q r")], [chain("c")[0], chain("c")[1]]),  # with repeated ids
+        ([], [*chain("e"), "x y z", "", None]),  # nothing but null ids
+        ([(3, "a b c d e f"), (5, "a b c d e f"), (5, ""), (6, None)], []),  # an id of a row that goes, and of one without words
+    ],
+)
+def test_null_ids_are_linked_and_lose_nothing(docs_of, some, none):
+    far = 10**9  # brute force sees null ids as the greatest
+    rows = some + [(far + i, t) for i, t in enumerate(none)]
+    null = lambda i: None if i >= far else i
+    key = lambda r: [(x is None, x or 0) for x in r]
+    brute = brute_components(rows, 5, 80, 100)
+    docs = docs_of([(null(i), t) for i, t in rows])
+    got = sorted(map(tuple, J.ngram_join(docs, k=5, num=80, den=100).collect()), key=key)
+    want = sorted(((null(i), n, null(c) if n else null(i)) for i, n, c in brute), key=key)
+    assert got == want
+    kept = [(r.doc_id, r.text) for r in J.keep_one(docs).collect()]
+    assert sum(not t for _, t in kept) == sum(n == 0 for _, n, _ in brute)
+    # of each component one row, with the least id
+    least = [c for _, n, c in brute if n]
+    assert sorted((i for i, t in kept if t and i is not None)) == sorted(i for i in (some_least(rows, least)) if i < far)
+    assert sum(bool(t) and i is None for i, t in kept) == len({c for c in least if c >= far})
+    whole = {t for _, t in kept if t}
+    assert len(whole) == sum(bool(t) for _, t in kept)
+
+
+def some_least(rows, least):
+    """The least ids, once for each component: rows of one id with unlike texts are components of their own."""
+    texts = {}
+    for i, t in rows:
+        if t:
+            texts.setdefault(i, set()).add(t)
+    return [i for i in sorted(set(least)) for _ in range(len(texts[i]))]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 440)]

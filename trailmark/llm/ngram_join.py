@@ -514,8 +514,14 @@ def links(docs: DataFrame, light: DataFrame, *, k: int, num: int, den: int) -> D
     near = work.select("cluster", "i", "j", "node", "n", "sketch").mapInArrow(_screener(num, den), "a long, b long")
     fine = written(_clusters(near).join(rough.select("node", "n", "doc_id"), "node"), "fine")
     todo = _groups(fine, num, den).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("cluster", "i", "j")).alias("work"))
-    texts = docs.join(todo.hint("merge"), "doc_id")  # grows with the input: never broadcast
-    grams = texts.select("node", "work", "text").mapInArrow(_setter(k), "cluster long, i int, j int, node long, grams binary")
+    texts = docs.join(todo.hint("merge"), "doc_id").select("node", "work", "text")  # grows with the input: never broadcast
+    if not light.where(F.col("doc_id").isNull() & F.col("node").isNotNull()).isEmpty():
+        # sets that only rows without an id hold are found by the set itself
+        bare = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(_tagger(k, "text"), "text string, _node long")
+        bare = bare.where(F.col("_node").isNotNull()).dropDuplicates(["_node"])
+        held = todo.where(F.col("doc_id").isNull()).select("node", "work")
+        texts = texts.unionByName(bare.join(held.hint("merge"), F.col("_node") == F.col("node")).select("node", "work", "text"))
+    grams = texts.mapInArrow(_setter(k), "cluster long, i int, j int, node long, grams binary")
     work = grams.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return work.mapInArrow(_counter(num, den), "a long, b long")
 
@@ -535,8 +541,9 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
 
     component_id is the least doc_id reachable by links, the document's own included.  Null texts and texts
     without words have no n-grams and are linked with nothing; fewer than k words make one n-gram.  Rows
-    with equal texts are linked (if they have words); rows with equal ids are rows of their own.  An empty
-    table gives no rows.
+    with equal texts are linked (if they have words); rows with equal ids are rows of their own.  Rows with
+    null ids are linked as others are, but are never the least: component_id is null where all ids are.  An
+    empty table gives no rows.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return _membership(base, k, num, den).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
@@ -546,21 +553,23 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     """The documents without their near duplicates: of each component the row with the least id stays.
 
     Rows without words are in no component and stay.  Where rows share that least id, one of them stays.
-    All columns are kept.
+    Null ids come after all others: a row with one stays only if no row of its component has an id, and then
+    one row does.  All columns are kept.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = written(_membership(base, k, num, den), "members")
     gone = found.where(F.col("root").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")
-    again = found.where(F.col("root").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("root").alias("worded")).where("worded > 0 AND (n > 1 OR doc_id IS NULL)")
     if again.isEmpty():
         return kept
-    # equal ids with different texts: rows are told apart by their sets, and each component keeps one row
-    chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("one"))
+    # equal ids with different texts, or none: rows are told apart by their sets, and each component keeps one row
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("one"))
     chosen = chosen.select(F.col("one.doc_id").alias("_id"), F.col("one.node").alias("_node"))
     tagged = docs.mapInArrow(_tagger(k, text), StructType([*docs.schema.fields, StructField("_node", LongType())]))
     bare = tagged.where(F.col("_node").isNull())
-    worded = tagged.join(chosen, "_node").where(F.col(doc_id) == F.col("_id")).drop("_id").dropDuplicates(["_node"])
+    worded = tagged.join(chosen, "_node").where(F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["_node"])
     return bare.unionByName(worded).drop("_node")
 
 
