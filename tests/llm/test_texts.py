@@ -73,6 +73,32 @@ def test_repeated_runs_are_cut_from_open_pages(spark):
     assert all(got[i] == f"{menu}\n{texts[i]}" for i in (6, 7))  # two pages of a host are not enough
 
 
+def test_copies_and_quotations_stay(spark):
+    rng = random.Random(1)
+    menu = "home about contact imprint help jobs press legal terms"
+    quoted = "to be or not to be that is the question whether"
+    body = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    copy, line = body(), "this text is given away under the licence of the house"
+    pages, want = [], []
+
+    def add(host, shown, text):
+        pages.append((len(pages), f"http://{host}/{len(pages)}", "".join(f"<div>{b}</div>" for b in shown)))
+        want.append("\n".join(text))
+
+    for _ in range(3):
+        add("copies", [menu, copy], [menu, copy])  # copies are one page
+    for i in range(60):  # a host of 60 pages that differ and 4 copies of one more
+        text = body() + (f" {quoted} " if i % 2 else " ") + body()
+        rare = [line] if i < 4 else []  # on more than PAGES pages, but on few of the host's
+        add("hot", [menu, text, *rare], [text, *rare])
+    for _ in range(4):
+        add("hot", [menu, copy], [copy])
+    add("hot", [menu], [menu])  # nothing else is on it
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract(table).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+
+
 def test_suffix_runs_equal_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(50):
