@@ -154,6 +154,18 @@ def test_classifiers_learn_and_keep_the_held_out_apart(spark, docs_of, odd_rows)
     assert kept == {r.doc_id for r in FM.classify(docs, model).collect() if not r.predicted}
 
 
+def test_dictionaries_take_all_short_texts(spark, docs_of, monkeypatch):
+    """Only bytes bound the sample, not rows: here all texts fit."""
+    seen = []
+    monkeypatch.setattr(Q, "_dictionary", lambda texts: seen.append(texts) or b"".join(texts))
+    monkeypatch.setattr(Q, "DICTIONARY_SAMPLE", 30_000)
+    rows = [(i, f"short text number {i}") for i in range(400)]
+    Q.train(docs_of(rows), spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    fitted = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen) == 2 and all(0.35 < 2 * len(texts) / len(fitted) < 0.65 for texts in seen)
+    assert all(len(set(texts)) == len(texts) for texts in seen)
+
+
 def test_classifiers_without_labels(spark, docs_of, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for run in (FM.toxicity, Q.quality):

@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     texts: list[list[bytes]] = []
     for y in (1, 0):
         some = rows.where((F.col("y") == y) & half & (size > 0))
-        some = some.select("text").distinct().orderBy(F.xxhash64("text", F.lit(11)), "text").limit(DICTIONARY_SAMPLE // 3000)
+        some = some.select("text").distinct().orderBy(F.xxhash64("text", F.lit(11)), "text")  # per_class rows at most
         got, total = [], 0
         for row in some.toLocalIterator():
             raw = row[0].encode()
