@@ -82,11 +82,41 @@ def test_metrics_zero_and_order_of_modes(spark):
     assert tuple(M.min_ade(moved, empty).first()) == (None, 0)
 
 
-def test_collisions_exclude_coincidence(spark):
-    rows = [(0, 0, 0, 0.0), (0, 1, 0, 0.0), (0, 2, 0, 0.5)]
-    pred = spark.createDataFrame([(s, a, 0, t, x, 0.0) for s, a, t, x in rows], "scenario_id long, agent_id long, mode int, t int, x double, y double")
-    truth = spark.createDataFrame([(s, a, t, x, 0.0, True) for s, a, t, x in rows], "scenario_id long, agent_id long, t int, x double, y double, valid boolean")
-    assert math.isclose(M.collision_rate(pred, truth).first()[0], 2 / 3)
+def test_collisions_are_summed_over_scenarios(spark):
+    """Scenarios of one, two and five agents; two at one place do not collide; one agent has no valid step."""
+    at = {0: [0.0], 1: [0.0, 0.5], 2: [0.0, 0.0, 0.9, 2.0, 50.0]}
+    rows = [(s, a, t, x) for s, xs in at.items() for a, x in enumerate(xs) for t in range(3)]
+    pred = spark.createDataFrame([(s, a, m, t, x + m * 7.0, 0.0) for s, a, t, x in rows for m in range(2)], "scenario_id long, agent_id long, mode int, t int, x double, y double")
+    truth = spark.createDataFrame([(s, a, t, x, 0.0, not (s == 1 and a == 1)) for s, a, t, x in rows], "scenario_id long, agent_id long, t int, x double, y double, valid boolean")
+    got = M.collision_rate(pred, truth).first()
+    assert (got.n_hits, got.n_pairs) == (3 * (1 + 2), 3 * (0 + 1 + 10)) and math.isclose(got.collision_rate, 9 / 33)
+    assert M.collision_rate(pred, truth, "ADE").first().n_hits == 9
+    one = [d.where("scenario_id = 0") for d in (pred, truth)]
+    assert tuple(M.collision_rate(*one).first()) == (None, 0, 0)
+    far = pred.select("scenario_id", "agent_id").distinct().withColumn("mode", (F.col("agent_id") == 0).cast("int"))
+    assert M.collision_rate(pred, truth, best=far).first().n_hits == 3
+
+
+def test_apde_of_the_chosen_mode(spark):
+    truth = spark.createDataFrame([(0, 0, t, float(t), 0.0, t != 1) for t in range(4)] + [(0, 1, t, 0.0, 0.0, False) for t in range(4)], "scenario_id long, agent_id long, t int, x double, y double, valid boolean")
+    pred = spark.createDataFrame([(0, a, 0, t, t + 1.0, 1.0) for a in range(2) for t in range(4)], "scenario_id long, agent_id long, mode int, t int, x double, y double")
+    # places 1, 3, 4 of valid steps 0, 2, 3 against truths 0, 2, 3; the agent without valid steps does not count
+    want = (math.sqrt(2) + 1 + math.sqrt(2)) / 3
+    got = M.min_apde(pred, truth).first()
+    assert math.isclose(got.min_apde, want) and got.n_agents == 1
+
+
+def test_two_wheelers_at_the_limit(spark):
+    rows = [(0, i, f, v, 0.0, k) for i, v, k in ((1, 2.9, "x"), (2, 3.0, "x"), (3, 3.1, "x"), (4, 9.0, "car")) for f in range(2)]
+    t = spark.createDataFrame(rows, "rec_id long, track_id long, frame int, vx double, vy double, agent_type string")
+    got = {r.track_id: r.agent_type for r in K.two_wheeler_rule(t, joint="x").collect()}
+    assert got == {1: "pedestrian", 2: "bicycle", 3: "bicycle", 4: "car"}
+
+
+def test_lane_model_leaves_the_last_lane_out(spark):
+    rows = [(0, 1, i, 0.0, 3.5 * lane + (40.0 if lane == 4 else 0.0), lane) for i, lane in enumerate([1, 2, 3, 4])]
+    t = spark.createDataFrame(rows, "rec_id long, track_id long, frame int, x double, y double, lane_id int")
+    assert np.allclose([r.y for r in L.lane_model(t).orderBy("bound").collect()], [1.75, 5.25, 8.75, 12.25])
 
 
 def test_decimation_weights_keep_constants_and_last_sample():

@@ -54,11 +54,16 @@ def speed_stats(tracks: DataFrame, by: str = "agent_type") -> DataFrame:
     )
 
 
-def two_wheeler_rule(tracks: DataFrame, threshold: float = 3.0, keys=TRACK) -> DataFrame:
-    """Tracks of the joint pedestrian/bicycle class: a bicycle if it is ever faster than the threshold."""
+def two_wheeler_rule(tracks: DataFrame, threshold: float = 3.0, keys=TRACK, joint: str | None = None) -> DataFrame:
+    """Tracks of the joint pedestrian/bicycle class: a pedestrian if it is always slower than the threshold, else a bicycle.
+
+    ``joint`` names the class that is split, and rows of others keep theirs; without it all rows are of that class.
+    A track without any speed is a bicycle.
+    """
     v = G.speed(F.col("vx"), F.col("vy"))
     top = F.max(v).over(W.partitionBy(*keys))
-    return tracks.withColumn("agent_type", F.when(top > threshold, "bicycle").otherwise("pedestrian"))
+    kind = F.when(top < threshold, "pedestrian").otherwise("bicycle")
+    return tracks.withColumn("agent_type", kind if joint is None else F.when(F.col("agent_type") == joint, kind).otherwise(F.col("agent_type")))
 
 
 def motion_rule(tracks: DataFrame, speed: float = 3.0, acceleration: float = 3.0, turn: float = 0.5, keys=TRACK) -> DataFrame:

@@ -108,10 +108,14 @@ def exit_maneuvers(tracks: DataFrame, fz: int, keys=TRACK) -> DataFrame:
 
 
 def lane_model(tracks: DataFrame, column: str = "lane_id") -> DataFrame:
-    """Medians of y by lane, a line through them, and equidistant lane bounds from it: ``rec_id, bound, y``."""
-    medians = tracks.where(F.col(column).isNotNull()).groupBy("rec_id", column).agg(F.median("y").alias("m"))
-    line = medians.groupBy("rec_id").agg(
-        F.regr_slope("m", column).alias("width"), F.regr_intercept("m", column).alias("base"), F.max(column).alias("n")
-    )
-    bounds = line.withColumn("bound", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    """Equidistant lane bounds, ``rec_id, bound, y``, from a line through the medians of y of the lanes.
+
+    Of n lanes, 1 to n - 1 are fitted: the last one, where vehicles come and go, is left out.  There are n bounds, the
+    first half a lane before the first lane's centre.  With fewer than two lanes to fit, the bounds are null.
+    """
+    lanes = tracks.where(F.col(column).isNotNull()).groupBy("rec_id", column).agg(F.median("y").alias("m"))
+    lanes = lanes.withColumn("n", F.count("*").over(W.partitionBy("rec_id")).cast("int"))  # a row per lane
+    fitted = F.when(F.col(column).between(1, F.col("n") - 1), F.col("m"))
+    line = lanes.groupBy("rec_id").agg(F.regr_slope(fitted, column).alias("width"), F.regr_intercept(fitted, column).alias("base"), F.max("n").alias("n"))
+    bounds = line.withColumn("bound", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return bounds.select("rec_id", "bound", (F.col("base") + F.col("width") / 2 + F.col("width") * F.col("bound")).alias("y"))

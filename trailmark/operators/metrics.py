@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, sigmoid
+from .neighbors import within
 
 AGENT = ("scenario_id", "agent_id")
 
@@ -29,8 +30,13 @@ def mode_errors(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return errors(pred, truth).groupBy(*AGENT, "mode").agg(F.avg("d").alias("ade"), F.max_by("d", "t").alias("fde"))
 
 
-def best_mode(scored: DataFrame, criterion: str, prob: DataFrame | None = None) -> DataFrame:
-    """The chosen mode of each agent, from mode_errors(): least FDE or ADE, or the most likely (ML); first on ties."""
+def best_mode(scored: DataFrame, criterion: str, prob: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
+    """The chosen mode of each agent, from mode_errors(): least FDE or ADE, or the most likely (ML); first on ties.
+
+    ``best(scenario_id, agent_id, mode)`` are modes chosen before; the criterion is not looked at then.
+    """
+    if best is not None:
+        return scored.join(best.select(*AGENT, "mode"), [*AGENT, "mode"])
     if criterion in ("FDE", "ADE"):
         key = F.struct(F.col(criterion.lower()), F.col("mode"))
         return scored.groupBy(*AGENT).agg(F.min_by("mode", key).alias("mode"), F.min_by("ade", key).alias("ade"), F.min_by("fde", key).alias("fde"))
@@ -48,51 +54,89 @@ def mean(values: DataFrame, column: str | Column, name: str) -> DataFrame:
     return values.agg(F.avg(column).alias(name), F.count(column).alias("n_agents"))
 
 
-def min_ade(pred, truth, criterion="FDE", prob=None) -> DataFrame:
-    return mean(best_mode(mode_errors(pred, truth), criterion, prob), "ade", "min_ade")
+def min_ade(pred, truth, criterion="FDE", prob=None, best=None) -> DataFrame:
+    return mean(best_mode(mode_errors(pred, truth), criterion, prob, best), "ade", "min_ade")
 
 
-def min_fde(pred, truth, criterion="FDE", prob=None) -> DataFrame:
-    return mean(best_mode(mode_errors(pred, truth), criterion, prob), "fde", "min_fde")
+def min_fde(pred, truth, criterion="FDE", prob=None, best=None) -> DataFrame:
+    return mean(best_mode(mode_errors(pred, truth), criterion, prob, best), "fde", "min_fde")
 
 
-def miss_rate(pred, truth, criterion="FDE", prob=None, threshold: float = 2.0) -> DataFrame:
-    chosen = best_mode(mode_errors(pred, truth), criterion, prob)
+def miss_rate(pred, truth, criterion="FDE", prob=None, threshold: float = 2.0, best=None) -> DataFrame:
+    chosen = best_mode(mode_errors(pred, truth), criterion, prob, best)
     return mean(chosen, (F.col("fde") > threshold).cast("double"), "miss_rate")
 
 
-def _chosen(pred, truth, criterion, prob) -> DataFrame:
-    return pred.join(best_mode(mode_errors(pred, truth), criterion, prob).select(*AGENT, "mode"), [*AGENT, "mode"])
+def chosen_paths(pred, truth, criterion="FDE", prob=None, best=None) -> DataFrame:
+    """``scenario_id, agent_id, path``: the chosen mode's steps (array of ``t, x, y``) of every agent with a prediction.
+
+    Agents without a valid step are kept: their FDE is that of the last step, their ADE is 0 for all modes.
+    ``best(scenario_id, agent_id, mode)`` are modes chosen before, instead of a criterion.
+    """
+    steps = F.collect_list(F.struct("t", "x", "y")).alias("path")
+    if best is not None:
+        return pred.join(best.select(*AGENT, "mode"), [*AGENT, "mode"]).groupBy(*AGENT).agg(steps)
+    if criterion == "ML":
+        if prob is None:
+            raise ValueError("criterion ML needs probabilities")
+        modes = pred.groupBy(*AGENT, "mode").agg(steps).join(prob, [*AGENT, "mode"]).withColumn("_e", -F.col("prob"))
+    elif criterion in ("FDE", "ADE"):
+        t = truth.select(*AGENT, "t", F.col("x").alias("_tx"), F.col("y").alias("_ty"), F.col("valid").alias("_ok"))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        both = pred.join(t, [*AGENT, "t"], "left").withColumn("_d", distance(F.col("x"), F.col("y"), zero("_tx"), zero("_ty")))
+        ok = F.coalesce("_ok", F.lit(False))
+        last = F.max_by("_d", F.struct(ok, F.col("t")))  # valid steps come after all others
+        error = last if criterion == "FDE" else F.coalesce(F.sum(F.when(ok, F.col("_d"))), F.lit(0.0))
+        modes = both.groupBy(*AGENT, "mode").agg(steps, error.alias("_e"))
+    else:
+        raise ValueError(f"unknown criterion: {criterion}")
+    return modes.groupBy(*AGENT).agg(F.min_by("path", F.struct("_e", "mode")).alias("path"))
+
 
+def _chosen(pred, truth, criterion, prob, best=None) -> DataFrame:
+    """The chosen mode's steps of every agent, a row for each."""
+    return chosen_paths(pred, truth, criterion, prob, best).select(*AGENT, F.inline("path"))
 
-def min_apde(pred, truth, criterion="FDE", prob=None) -> DataFrame:
+
+def min_apde(pred, truth, criterion="FDE", prob=None, best=None) -> DataFrame:
     """Mean over predicted valid steps of the least distance to any valid step of the truth."""
     t = truth.where("valid").select(*AGENT, F.col("t"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    p = _chosen(pred, truth, criterion, prob).join(t.select(*AGENT, "t"), [*AGENT, "t"], "left_semi")
-    near = p.join(t.drop("t"), [*AGENT]).groupBy(*AGENT, "t").agg(F.min(distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))).alias("d"))
-    return mean(near.groupBy(*AGENT).agg(F.avg("d").alias("apde")), "apde", "min_apde")
+    seen = t.groupBy(*AGENT).agg(F.collect_list(F.struct("t", "tx", "ty")).alias("seen"))
+    p = chosen_paths(pred, truth, criterion, prob, best).join(seen, list(AGENT))
+
+    def nearest(step: Column) -> Column:
+        return F.array_min(F.transform("seen", lambda q: distance(step["x"], step["y"], q["tx"], q["ty"])))
+
+    valid = F.filter("path", lambda s: F.exists("seen", lambda q: q["t"] == s["t"]))
+    each = p.select(*AGENT, F.transform(valid, nearest).alias("d")).where(F.size("d") > 0)
+    total = F.aggregate("d", F.lit(0.0), lambda acc, d: acc + d)
+    return mean(each.select((total / F.size("d")).alias("apde")), "apde", "min_apde")
 
 
-def collision_rate(pred, truth, criterion="FDE", prob=None, threshold: float = 1.0) -> DataFrame:
-    """Pairs of agents nearer than the threshold (but not at one place), of all pairs and steps, averaged over scenarios."""
-    c = _chosen(pred, truth, criterion, prob)
+def collision_rate(pred, truth, criterion="FDE", prob=None, threshold: float = 1.0, best=None) -> DataFrame:
+    """Pairs of agents of a scenario nearer than the threshold (but not at one place), over all steps and pairs.
+
+    Hits and pairs are summed over all scenarios and divided once, so a scenario of one agent adds nothing;
+    the mask decides on the mode only.  ``collision_rate`` is null where there is no pair.
+    """
+    paths = chosen_paths(pred, truth, criterion, prob, best)
+    size = paths.groupBy("scenario_id").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("steps"))
+    pairs = size.select(F.lit(0).cast("long").alias("hits"), (F.col("steps") * F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    c = paths.select(*AGENT, F.inline("path"))
     a = c.select("scenario_id", "t", F.col("agent_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = c.select("scenario_id", "t", F.col("agent_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    hits = a.join(b, ["scenario_id", "t"]).where((F.col("a") < F.col("b")) & (d > 0) & (d < threshold)).groupBy("scenario_id").agg(F.count("*").alias("hits"))
-    size = c.groupBy("scenario_id").agg(F.countDistinct("agent_id").alias("n"), F.countDistinct("t").alias("steps"))
-    rate = size.join(hits, "scenario_id", "left").withColumn(
-        "rate", F.coalesce(F.try_divide(F.coalesce("hits", F.lit(0)), F.col("steps") * F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))
-    )
-    return rate.agg(F.avg("rate").alias("collision_rate"), F.count("*").alias("n_scenarios"))
+    near = within(a, b, threshold, ("scenario_id", "t")).where((F.col("a") < F.col("b")) & (F.col("d") > 0) & (F.col("d") < threshold))
+    hits = near.agg(F.count("*").alias("hits")).withColumn("pairs", F.lit(0).cast("long"))
+    both = hits.unionByName(pairs).agg(F.sum("hits").alias("n_hits"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
+    return both.select(F.try_divide("n_hits", "n_pairs").alias("collision_rate"), "n_hits", "n_pairs")
 
 
-def min_brier(pred, truth, prob, criterion="FDE", logits: bool = False) -> DataFrame:
+def min_brier(pred, truth, prob, criterion="FDE", logits: bool = False, best=None) -> DataFrame:
     """``(1 - p) * FDE`` of the chosen mode; logits become probabilities by the logistic function."""
     if prob is None:
         raise ValueError("probabilities are needed")
     p = prob.withColumn("prob", sigmoid(F.col("prob"))) if logits else prob
-    chosen = best_mode(mode_errors(pred, truth), criterion, prob).join(p, [*AGENT, "mode"])
+    chosen = best_mode(mode_errors(pred, truth), criterion, prob, best).join(p, [*AGENT, "mode"])
     return mean(chosen, (1 - F.col("prob")) * F.col("fde"), "min_brier")
 
 
@@ -128,8 +172,22 @@ def log_density(dx: Column, dy: Column, family: str, scale: dict[str, Column]) -
     raise ValueError(f"unknown distribution: {family}")
 
 
-def nll(pred, truth, family: str, scale: dict[str, Column], prob=None) -> DataFrame:
-    """Negative log-likelihood of a mixture over modes at each valid step, averaged over steps, then over agents."""
+def nll(pred, truth, family: str, scale: dict[str, Column], prob=None, masked: bool = True) -> DataFrame:
+    """Negative log-likelihood of a mixture over modes at each valid step, averaged over steps, then over agents.
+
+    ``masked=False`` sums the values of all steps, valid or not, and divides by the number of valid ones.
+    """
+    if not masked:
+        count = truth.groupBy(*AGENT).agg(F.count_if("valid").alias("_n"))
+        every = _step_likelihood(pred, truth.withColumn("valid", F.lit(True)), family, scale, prob)
+        summed = every.groupBy(*AGENT).agg(F.sum("l").alias("_s")).join(count, list(AGENT)).where("_n > 0")
+        return mean(summed.select((-F.col("_s") / F.col("_n")).alias("nll")), "nll", "nll")
+    steps = _step_likelihood(pred, truth, family, scale, prob)
+    return mean(steps.groupBy(*AGENT).agg((-F.avg("l")).alias("nll")), "nll", "nll")
+
+
+def _step_likelihood(pred, truth, family, scale, prob) -> DataFrame:
+    """``l``: the mixture's log-likelihood at each valid step of each agent."""
     e = errors(pred, truth)
     e = e.withColumn("_l", log_density(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), family, scale))
     if prob is None:
@@ -138,8 +196,7 @@ def nll(pred, truth, family: str, scale: dict[str, Column], prob=None) -> DataFr
     else:
         e = e.join(prob, [*AGENT, "mode"]).withColumn("_l", F.col("_l") + F.log("prob"))
     top = F.max("_l").over(W.partitionBy(*AGENT, "t"))
-    steps = e.withColumn("_top", top).groupBy(*AGENT, "t").agg((F.max("_top") + F.log(F.sum(F.exp(F.col("_l") - F.col("_top"))))).alias("l"))
-    return mean(steps.groupBy(*AGENT).agg((-F.avg("l")).alias("nll")), "nll", "nll")
+    return e.withColumn("_top", top).groupBy(*AGENT, "t").agg((F.max("_top") + F.log(F.sum(F.exp(F.col("_l") - F.col("_top"))))).alias("l"))
 
 
 def ewta(pred, truth, winners: int, kind: str = "norm", delta: float = 1.0) -> DataFrame:

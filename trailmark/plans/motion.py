@@ -161,9 +161,10 @@ def lane_change_flags(spark, sf_dir):
     return tracks(spark, sf_dir).groupBy("track_id").agg(F.sum((F.col("y") > 80).cast("int")).alias("n"))
 
 
-@query("lane_model_fit", f"""WITH {LANES}, m AS (SELECT rec_id, lane_id, median(y) AS m FROM ln GROUP BY ALL),
-f AS (SELECT rec_id, regr_slope(m, lane_id) AS w, regr_intercept(m, lane_id) AS b, max(lane_id) AS n FROM m GROUP BY 1)
-SELECT rec_id, bound::INTEGER AS bound, round(b + w / 2 + w * bound, 4) AS y FROM (SELECT *, unnest(range(0, n + 1)) AS bound FROM f)""")
+@query("lane_model_fit", f"""WITH {LANES}, c AS (SELECT rec_id, count(DISTINCT lane_id) AS n FROM ln GROUP BY 1),
+m AS (SELECT rec_id, lane_id, median(y) AS m FROM ln JOIN c USING (rec_id) WHERE lane_id BETWEEN 1 AND n - 1 GROUP BY ALL),
+f AS (SELECT rec_id, regr_slope(m, lane_id) AS w, regr_intercept(m, lane_id) AS b FROM m GROUP BY 1)
+SELECT rec_id, bound::INTEGER AS bound, round((b + w) - w / 2 + w * bound, 4) AS y FROM (SELECT c.rec_id, w, b, unnest(range(0, n)) AS bound FROM c LEFT JOIN f USING (rec_id))""")
 def lane_model_fit(spark, sf_dir):
     return L.lane_model(on_lanes(spark, sf_dir)).select("rec_id", "bound", F.round("y", 4).alias("y"))
 
@@ -191,9 +192,10 @@ def box_centroid(spark, sf_dir):
     return on_lanes(spark, sf_dir).select("track_id", "frame", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("ped_bike_rule", f"WITH {MV} SELECT track_id, frame, CASE WHEN max(sqrt(vx * vx + vy * vy)) OVER (PARTITION BY track_id) > 3000 THEN 'bicycle' ELSE 'pedestrian' END AS agent_type FROM mv")
+@query("ped_bike_rule", f"WITH {MV} SELECT track_id, frame, CASE WHEN event_type <> 'click' THEN event_type WHEN max(sqrt(vx * vx + vy * vy)) OVER (PARTITION BY track_id) < 3000 THEN 'pedestrian' ELSE 'bicycle' END AS agent_type FROM mv")
 def ped_bike_rule(spark, sf_dir):
-    return K.two_wheeler_rule(moving(spark, sf_dir), 3000.0).select("track_id", "frame", "agent_type")
+    t = moving(spark, sf_dir).withColumn("agent_type", F.col("event_type"))
+    return K.two_wheeler_rule(t, 3000.0, joint="click").select("track_id", "frame", "agent_type")
 
 
 @query("ped_bike_motion_rule", f"""WITH {MV}, s AS (SELECT track_id, max(sqrt(vx * vx + vy * vy)) AS v, max(sqrt(ax * ax + ay * ay)) AS a, max((vx * ay - vy * ax) / (sqrt(vx * vx + vy * vy) + 1e-6)) AS w FROM mv GROUP BY 1)

@@ -41,10 +41,10 @@ def mode_ml(spark, sf_dir):
     return _mode(spark, sf_dir, "ML", "fde")
 
 
-def _metric(name: str, sql: str, run):
+def _metric(name: str, sql: str, run, digits: int = 6):
     @query(name, f"WITH {PRED}{sql}")
     def f(spark, sf_dir):
-        return _rounded(run(*prediction_tables(spark, sf_dir)))
+        return _rounded(run(*prediction_tables(spark, sf_dir)), digits)
 
     f.__name__ = name
     return f
@@ -65,13 +65,22 @@ _metric(
 )
 _metric(
     "met_collision",
-    f"{_CH.format(b='best')}, h AS (SELECT a.scenario_id, count(*) AS h FROM ch a JOIN ch b ON a.scenario_id = b.scenario_id AND a.t = b.t AND a.agent_id < b.agent_id "
-    "WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN 1e-300 AND 0.9999999999 GROUP BY 1), s AS (SELECT scenario_id, count(DISTINCT agent_id) AS n, count(DISTINCT t) AS k FROM ch GROUP BY 1) "
-    "SELECT round(avg(CASE WHEN n < 2 THEN 0 ELSE coalesce(h, 0) / (k * n * (n - 1) / 2) END), 6) AS collision_rate, count(*) AS n_scenarios FROM s LEFT JOIN h USING (scenario_id)",
+    ", em AS (SELECT p.*, q.valid, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM pred p JOIN truth q USING (scenario_id, agent_id, t)), "
+    "ms AS (SELECT scenario_id, agent_id, mode, coalesce(arg_max(d, t) FILTER (valid), arg_max(d, t)) AS e FROM em GROUP BY ALL), "
+    "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY e, mode) AS r FROM ms) WHERE r = 1), "
+    "ch AS (SELECT pred.* FROM pred JOIN bs USING (scenario_id, agent_id, mode)), h AS (SELECT count(*) AS h FROM ch a JOIN ch b ON a.scenario_id = b.scenario_id AND a.t = b.t AND a.agent_id < b.agent_id "
+    "WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 1 AND (a.x <> b.x OR a.y <> b.y)), "
+    "s AS (SELECT sum(k * n * (n - 1) // 2)::BIGINT AS c FROM (SELECT count(DISTINCT agent_id) AS n, count(DISTINCT t) AS k FROM ch GROUP BY scenario_id)) "
+    "SELECT round(h / c, 9) AS collision_rate, h AS n_hits, c AS n_pairs FROM h, s",
     lambda t, p, q: M.collision_rate(p, t),
+    9,
 )
 _metric("met_brier", " SELECT round(avg((1 - prob) * fde), 6) AS min_brier, count(*) AS n_agents FROM best JOIN prob USING (scenario_id, agent_id, mode)", lambda t, p, q: M.min_brier(p, t, q))
 _metric("met_brier_logits", " SELECT round(avg((1 - 1 / (1 + exp(-prob))) * fde), 6) AS min_brier, count(*) AS n_agents FROM best JOIN prob USING (scenario_id, agent_id, mode)", lambda t, p, q: M.min_brier(p, t, q, logits=True))
+_metric(
+    "met_precomputed_mode", ", bm AS (SELECT scenario_id, agent_id, (agent_id % 6)::INTEGER AS mode FROM truth GROUP BY ALL) SELECT round(avg(fde), 6) AS min_fde, count(*) AS n_agents FROM me JOIN bm USING (scenario_id, agent_id, mode)",
+    lambda t, p, q: M.min_fde(p, t, best=t.select(*M.AGENT, (F.col("agent_id") % 6).cast("int").alias("mode")).distinct()),
+)
 _metric("met_expde", ", e AS (SELECT scenario_id, agent_id, sum(fde * prob) AS v FROM me JOIN prob USING (scenario_id, agent_id, mode) GROUP BY ALL) SELECT round(avg(v), 6) AS exp_de, count(*) AS n_agents FROM e", lambda t, p, q: M.exp_de(p, t, q))
 _metric("met_expde_uniform", ", e AS (SELECT scenario_id, agent_id, avg(ade) AS v FROM me GROUP BY ALL) SELECT round(avg(v), 6) AS exp_de, count(*) AS n_agents FROM e", lambda t, p, q: M.exp_de(p, t, None, "ADE"))
 _metric(
@@ -95,6 +104,15 @@ for _family, (_sql, _scale) in _DENSITY.items():
         lambda t, p, q, family=_family, scale=_scale: M.nll(p, t, family, {k: F.lit(v) for k, v in scale.items()}, q),
     )
 
+_metric(
+    "loss_gmm_unmasked",
+    ", ue AS (SELECT p.*, q.x AS tx, q.y AS ty, q.valid FROM pred p JOIN truth q USING (scenario_id, agent_id, t)), "
+    f"l AS (SELECT scenario_id, agent_id, t, valid, {_DENSITY['mvn'][0].replace('dx', '(tx - x)').replace('dy', '(ty - y)')} + ln(prob) AS l FROM ue JOIN prob USING (scenario_id, agent_id, mode)), "
+    "s AS (SELECT scenario_id, agent_id, t, bool_or(valid) AS ok, max(l) + ln(sum(exp(l - m))) AS v FROM (SELECT *, max(l) OVER (PARTITION BY scenario_id, agent_id, t) AS m FROM l) GROUP BY ALL) "
+    "SELECT round(avg(a), 6) AS nll, count(*) AS n_agents FROM (SELECT -sum(v) / count_if(ok) AS a FROM s GROUP BY scenario_id, agent_id HAVING count_if(ok) > 0)",
+    lambda t, p, q: M.nll(p, t, "mvn", {k: F.lit(v) for k, v in _DENSITY["mvn"][1].items()}, q, masked=False),
+)
+
 _EWTA = ", z AS (SELECT scenario_id, agent_id, mode, sum({e}) AS e FROM err GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY e, mode) AS r FROM z) SELECT round(avg(v), 6) AS ewta, count(*) AS n_agents FROM (SELECT avg(e) AS v FROM k WHERE r <= 3 GROUP BY scenario_id, agent_id)"
 _HUBER = "CASE WHEN abs({u}) <= 0.5 THEN ({u}) * ({u}) / 2 ELSE 0.5 * (abs({u}) - 0.25) END"
 _metric("loss_ewta", _EWTA.format(e="d"), lambda t, p, q: M.ewta(p, t, 3))
@@ -189,12 +207,12 @@ def input_clamp(spark, sf_dir):
     return moving(spark, sf_dir).select("track_id", "frame", F.round(X.clamp(F.col("ax"), 50), 4).alias("ux"))
 
 
-@query("nearest_vectors", """WITH q AS (SELECT vec_id AS a, embedding AS ea, label FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT a, vec_id AS b, list_inner_product(ea::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> a)
+@query("nearest_vectors", """WITH q AS (SELECT vec_id AS a, embedding AS ea, label FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT a, vec_id AS b, list_inner_product(ea::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> a)
 SELECT a, b, nbr_rank::INTEGER AS nbr_rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS nbr_rank FROM p) WHERE nbr_rank <= 3""")
 def nearest_vectors(spark, sf_dir):
-    """A stated query set (every fiftieth vector) against all vectors of its label."""
+    """A search: the vectors whose id is divisible by 20 are the queries, against all vectors of their label."""
     e = table(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label")
+    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label")
     b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label")
     dot = F.aggregate(F.zip_with("ea", "eb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     pairs = a.join(b, "label").where("a <> b").withColumn("d", -F.round(dot, 9))
