@@ -54,6 +54,32 @@ def test_prefix_stop_loses_later_starts(spark):
     assert sorted(r.start for r in S.starts(t, spec, prefix=False).collect()) == [1, 2, 3, 20, 21, 22]
 
 
+def test_steps_of_tracks_with_gaps_and_repeats(spark):
+    t = tracks(spark, [(0, 1, f, float(f), 0.0) for f in (0, 1, 2, 3)] + [(0, 2, f, 10.0 + f, 1.0) for f in (1, 3, 3)] + [(0, 3, 1, None, 2.0)])
+    spec = S.Windows(2, 2, 1)
+    rows = S.steps(S.agents(S.starts(t, S.Windows(2, 1, 1)).where("track_id = 1 AND start = 0"), t), t, spec).collect()
+    got = {(r.track_id, r.t): (r.part, r.x, r.y) for r in rows}
+    assert [got[2, i] for i in range(4)] == [("inp", None, None), ("inp", 11.0, 1.0), ("trg", None, None), ("trg", 13.0, 1.0)]
+    assert got[3, 1] == ("inp", None, 2.0) and got[3, 0] == ("inp", None, None) and len(rows) == 12
+
+
+def test_nearest_of_those_that_can_be_scored(spark):
+    """The nearest agent stands still and takes no place among the k nearest."""
+    t = tracks(spark, [(0, i, f, i + (0.0 if i == 2 else f * 0.1), 0.0) for i in (1, 2, 3, 4) for f in range(6)])
+    spec = S.Windows(3, 3, 9)
+    rows = S.with_masks(S.agent_steps(S.agents(S.starts(t, S.Windows(3, 2, 9)).where("track_id = 1"), t), t, spec), spec, least_future=3, k=2)
+    got = {r.track_id: r for r in rows.collect()}
+    assert [any(got[i].ma_mask) for i in (1, 2, 3, 4)] == [True, False, True, False]
+    assert all(got[1].sa_mask) and not any(got[3].sa_mask)
+    sample = S.nested(rows, spec).first()
+    assert (sample.num_nodes, sample.ids, sample.ta_index) == (4, [1, 2, 3, 4], 0) and sample.trg_x[2] == [3.0 + 0.1 * f for f in (3, 4, 5)]
+    assert S.SAMPLING["waymo"].windows() == S.Windows(11, 80, 1) and S.SAMPLING["highD"].windows(keep=True).stride == 25
+    nodes = spark.createDataFrame([(0, 0, 1.0, 2.0, 1)], "map_id long, node_idx int, x double, y double, node_type int")
+    edges = spark.createDataFrame([(0, 0, 0, 6)], "map_id long, src int, dst int, edge_type int")
+    both = S.with_map(S.nested(rows, spec).withColumn("map_id", F.explode(F.array(F.lit(0), F.lit(7)))), nodes, edges).orderBy("map_id").collect()
+    assert [len(r.map_points) for r in both] == [1, 0] and both[0].map_edges[0].edge_type == 6
+
+
 def test_last_lane_change_decides(spark):
     lanes = [1] * 6 + [2] * 3 + [1] * 3
     t = spark.createDataFrame([(0, 1, i, v, 1) for i, v in enumerate(lanes)], "rec_id long, track_id long, frame int, lane_id int, driving_direction int")

@@ -61,44 +61,96 @@ def agents(windows: DataFrame, tracks: DataFrame, same_direction: bool = False)
     return own.unionByName(near).withColumn("agent_idx", (F.row_number().over(order) - 1).cast("int"))
 
 
+def track_arrays(tracks: DataFrame, features=("x", "y")) -> DataFrame:
+    """``rec_id, track_id, first, path``: one row per track; ``path`` has a struct for each frame from ``first`` on.
+
+    Frames that a track lacks are null; of rows with equal frames the least counts.  A track is one row: some tens
+    of bytes for each of its frames.
+    """
+    whole = tracks.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("frame", *features))).alias("_rows"))
+    whole = whole.withColumn("_rows", F.filter("_rows", lambda r, i: (i == 0) | (F.get("_rows", i - 1)["frame"] < r["frame"])))
+    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
+    none = F.lit(None).cast(f"struct<{','.join(f'{f}:{kinds[f]}' for f in features)}>")
+
+    def filled(r, i):
+        gap = F.coalesce(F.get("_rows", i + 1)["frame"] - r["frame"] - 1, F.lit(0)).cast("int")
+        return F.concat(F.array(F.struct(*(r[f].alias(f) for f in features))), F.array_repeat(none, gap))
+
+    return whole.select(*TRACK, F.col("_rows")[0]["frame"].alias("first"), F.flatten(F.transform("_rows", filled)).alias("path"))
+
+
+def agent_steps(members: DataFrame, tracks: DataFrame, spec: Windows, features=("x", "y")) -> DataFrame:
+    """Members with ``steps``: an array of ``spec.last`` structs of features, null where the agent is missing.
+
+    Members meet whole tracks by an equality of ids; steps are cut out by their place and never exploded.
+    """
+    at = lambda t: F.get("path", (F.col("start") + t - F.col("first")).cast("int"))
+    grid = F.sequence(F.lit(0), F.lit(spec.last - 1))
+    return members.join(track_arrays(tracks, features), list(TRACK)).withColumn("steps", F.transform(grid, at)).drop("path", "first")
+
+
+def long(rows: DataFrame, spec: Windows, features=("x", "y")) -> DataFrame:
+    """One row for each agent and step, ``t`` and ``part``; arrays of masks become columns."""
+    masks = [c for c in MASKS if c in rows.columns]
+    keep = [c for c in rows.columns if c not in ("steps", *masks)]
+    flat = rows.select(*keep, F.posexplode(F.arrays_zip("steps", *masks)).alias("t", "_s"))
+    part = F.when(F.col("t") < spec.history, "inp").otherwise("trg")
+    return flat.select(*keep, "t", part.alias("part"), *(F.col("_s.steps")[f].alias(f) for f in features), *(F.col("_s")[m].alias(m) for m in masks))
+
+
 def steps(members: DataFrame, tracks: DataFrame, spec: Windows, features=("x", "y")) -> DataFrame:
     """One row for each agent and step of each window; features are null where the agent is missing."""
-    grid = members.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(spec.last - 1)))).withColumn("frame", F.col("start") + F.col("t"))
-    return grid.join(tracks.select("rec_id", "track_id", "frame", *features), ["rec_id", "track_id", "frame"], "left").withColumn(
-        "part", F.when(F.col("t") < spec.history, "inp").otherwise("trg")
-    )
+    return long(agent_steps(members, tracks, spec, features), spec, features)
 
 
 SAMPLE = ("rec_id", "target_id", "start")
 AGENT = (*SAMPLE, "track_id")
+MASKS = ("mask", "sa_mask", "ma_mask")
 
 
-def with_masks(rows: DataFrame, spec: Windows, least_future: int, k: int = 8, threshold: int = 3, features=("x", "y")) -> DataFrame:
-    """input, valid, single-agent and multi-agent masks of sample steps.
+def with_masks(rows: DataFrame, spec: Windows, least_future: int, k: int = 8, threshold: int = 3, features=("x", "y"), category: str | None = None, skip_static: bool = False) -> DataFrame:
+    """Masks of agent_steps() as arrays by step: ``mask`` (all features there), ``sa_mask`` (of the target), ``ma_mask``.
 
-    An agent is scored if it has ``least_future`` valid future steps, moves (more than ``threshold`` distinct x,
-    each missing one counting as distinct), and is among the k nearest to the target at the last history step.
+    An agent can be scored if it has ``least_future`` valid future steps and moves: more than ``threshold`` distinct x,
+    those of history and future added up, each missing one counting as distinct.  Of those that can, the k nearest to
+    the target at the last history step are, the target included; missing places are farthest and ties go by id.
+    With ``category``, agents of a category above 1 are scored instead.  ``skip_static`` leaves out the samples whose
+    target does not move.  Rows are ranked by sample, one for each agent, whatever the number of steps.
     """
-    present = F.lit(True)
-    for f in features:
-        present = present & F.col(f).isNotNull()
-    agent = W.partitionBy(*AGENT)
-    part = W.partitionBy(*AGENT, "part")
-    out = rows.withColumn("valid", present)
-    spread = F.size(F.collect_set("x").over(part)) + F.sum(F.col("x").isNull().cast("int")).over(part)
-    out = out.withColumns({"_spread": spread, "_future": F.sum((F.col("valid") & (F.col("part") == "trg")).cast("int")).over(agent)})
-    out = out.withColumn("_moves", F.max(F.when(F.col("part") == "inp", F.col("_spread"))).over(agent) + F.max(F.when(F.col("part") == "trg", F.col("_spread"))).over(agent) > threshold)
-    last = F.col("t") == spec.history - 1
-    sample = W.partitionBy(*SAMPLE)
-    at = lambda c: F.max(F.when(last & (F.col("track_id") == F.col("target_id")), F.col(c))).over(sample)
-    out = out.withColumns({"_tx": at("x"), "_ty": at("y")})
-    away = F.max(F.when(last, distance(F.col("x"), F.col("y"), F.col("_tx"), F.col("_ty")))).over(agent)
-    out = out.withColumn("_away", away)
-    rank = F.dense_rank().over(sample.orderBy(F.col("_away").asc_nulls_last(), F.col("track_id")))
-    scored = (F.col("_future") >= least_future) & F.col("_moves") & (rank <= k)
+
+    def present(s):
+        ok = s[features[0]].isNotNull()
+        for f in features[1:]:
+            ok = ok & s[f].isNotNull()
+        return F.coalesce(ok, F.lit(False))
+
+    def spread(part):
+        xs = F.transform(part, lambda s: s["x"])
+        return F.size(F.array_distinct(F.filter(xs, lambda x: x.isNotNull()))) + F.size(F.filter(xs, lambda x: x.isNull()))
+
+    history, future = F.slice("steps", 1, spec.history), F.slice("steps", spec.history + 1, spec.future)
     own = F.col("track_id") == F.col("target_id")
-    out = out.withColumn("sa_mask", own & F.col("valid")).withColumn("ma_mask", scored & F.col("valid"))
-    return out.withColumnRenamed("valid", "mask").drop("_spread", "_future", "_moves", "_tx", "_ty", "_away")
+    last = F.get("steps", F.lit(spec.history - 1))
+    out = rows.withColumns({"mask": F.transform("steps", present), "_moves": spread(history) + spread(future) > threshold, "_x": last["x"], "_y": last["y"]})
+    if category is None:
+        seen = F.size(F.filter(F.slice("mask", spec.history + 1, spec.future), lambda m: m))
+        out = out.withColumn("_can", (seen >= least_future) & F.col("_moves"))
+    else:
+        out = out.withColumn("_can", F.coalesce(F.col(category) > 1, F.lit(False)))
+    sample = W.partitionBy(*SAMPLE)
+    of_target = lambda c: F.max(F.when(own, F.col(c))).over(sample)
+    out = out.withColumns({"_tx": of_target("_x"), "_ty": of_target("_y")} | ({"_tm": of_target("_moves")} if skip_static else {}))
+    if skip_static:
+        out = out.where("_tm").drop("_tm")
+    scored = F.col("_can")
+    if category is None:
+        away = distance(F.col("_x"), F.col("_y"), F.col("_tx"), F.col("_ty"))
+        rank = F.row_number().over(sample.orderBy(F.col("_can").desc(), away.asc_nulls_last(), F.col("track_id")))
+        out = out.withColumn("_r", rank)
+        scored = scored & (F.col("_r") <= k)
+    chosen = out.withColumn("_s", scored)
+    chosen = chosen.withColumns({"sa_mask": F.transform("mask", lambda m: m & own), "ma_mask": F.transform("mask", lambda m: m & F.col("_s"))})
+    return chosen.drop("_moves", "_x", "_y", "_can", "_tx", "_ty", "_r", "_s")
 
 
 def balanced_starts(windows: DataFrame, maneuver: Column, keys=TRACK, keep_code: int = 3) -> DataFrame:
@@ -147,10 +199,81 @@ def pedestrian_windows(tracks: DataFrame, observe: int, predict: int, skip: int
     return out.select(scene, "start", F.col("track_id").alias("target_id"), "n_agents")
 
 
-def nested(rows: DataFrame, features=("x", "y")) -> DataFrame:
-    """One row per sample: its agents as structs with arrays ordered by step, missing values as zeros."""
-    by = ["mask", "sa_mask", "ma_mask"]
-    step = F.struct("t", *(F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features), *by)
-    inside = rows.groupBy(*SAMPLE, "agent_idx", "track_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    member = F.struct("agent_idx", "track_id", *(F.col("steps")[c].alias(c) for c in (*features, *by)))
-    return inside.groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(member)).alias("agents"))
+def nested(rows: DataFrame, spec: Windows, features=("x", "y"), extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per sample of with_masks() rows: agents in the order of their index, the target first.
+
+    ``num_nodes, ta_index, ids``, then for each feature ``inp_<feature>`` and ``trg_<feature>`` (arrays by agent and
+    step, missing values as zeros), ``input_mask``, ``valid_mask``, ``sa_mask`` and ``ma_mask`` (the last three of future
+    steps), and an array by agent of each of ``extra`` (such as agent types or intentions).
+    """
+    last = (spec.history + 1, spec.future)
+    filled_with = lambda f: F.transform("steps", lambda s: F.coalesce(s[f], F.lit(0.0)))
+    cut = {}
+    for f in features:
+        filled = filled_with(f)
+        cut |= {f"inp_{f}": F.slice(filled, 1, spec.history), f"trg_{f}": F.slice(filled, *last)}
+    cut |= {"input_mask": F.slice("mask", 1, spec.history), "valid_mask": F.slice("mask", *last), "sa_mask": F.slice("sa_mask", *last), "ma_mask": F.slice("ma_mask", *last)}
+    member = F.struct("agent_idx", "track_id", *(c.alias(n) for n, c in cut.items()), *extra)
+    whole = rows.groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(member)).alias("_a"))
+    return whole.select(*SAMPLE, F.size("_a").alias("num_nodes"), F.lit(0).alias("ta_index"), F.col("_a.track_id").alias("ids"), *(F.col("_a")[c].alias(c) for c in (*cut, *extra)))
+
+
+def with_map(samples: DataFrame, nodes: DataFrame, edges: DataFrame, key: str = "map_id") -> DataFrame:
+    """Samples with their map: ``map_points`` (``x, y, node_type`` in the order of node_idx) and ``map_edges`` (``src, dst, edge_type``).
+
+    A sample whose map is missing has empty arrays.
+    """
+    points = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_idx", "x", "y", "node_type"))).alias("_p"))
+    points = points.select(key, F.transform("_p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["node_type"].alias("node_type"))).alias("map_points"))
+    lines = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "edge_type"))).alias("map_edges"))
+    both = samples.join(points.join(lines, key, "left"), key, "left")
+    return both.withColumns({"map_points": F.coalesce("map_points", F.array()), "map_edges": F.coalesce("map_edges", F.array())})
+
+
+@dataclass(frozen=True)
+class Sampling:
+    """How a kind of recording is sampled: rate (Hz), seconds of history and future, strides in frames."""
+
+    rate: float
+    downsample: float
+    history: float
+    future: float
+    stride: int
+    keep_stride: int | None = None
+    ego_only: bool = False
+    more_history: int = 0
+
+    def windows(self, keep: bool = False) -> Windows:
+        """The windows; with ``keep`` the stride of lane-keeping targets."""
+        stride = self.keep_stride if keep and self.keep_stride else self.stride
+        return Windows(int(self.rate * self.history) + self.more_history, int(self.rate * self.future), stride)
+
+
+# Sampling of each kind of recording (a stride of 1 where there is one window for each case, file or scene).
+SAMPLING = {
+    "rounD": Sampling(25, 5, 3, 5, 12), "inD": Sampling(25, 5, 3, 5, 25), "uniD": Sampling(25, 5, 3, 5, 25), "SIND": Sampling(10, 2, 3, 5, 25),
+    "highD": Sampling(25, 5, 2, 5, 12, 25), "exiD": Sampling(25, 5, 2, 5, 12, 25), "A43": Sampling(10, 2, 2, 5, 10, 25), "i80": Sampling(10, 2, 2, 5, 10, 40),
+    "us101": Sampling(10, 2, 2, 5, 10, 40), "ad4che": Sampling(30, 6, 2, 5, 30, 45), "interact": Sampling(10, 2, 1, 3, 1), "argoverse": Sampling(10, 2, 2, 3, 1),
+    "av2": Sampling(10, 2, 5, 6, 1), "waymo": Sampling(10, 2, 1, 8, 1, more_history=1), "nuscenes": Sampling(5, 1, 2, 6, 1), "vod": Sampling(10, 2, 0.5, 3, 5),
+    "lyft": Sampling(10, 2, 2, 5, 20, ego_only=True), "openDD": Sampling(30, 6, 2, 5, 75), "apollo": Sampling(5, 1, 2, 3, 10),
+}
+
+
+def fixed_windows(targets: DataFrame, spec: Windows, start: Column | int = 0) -> DataFrame:
+    """One window for each target (``rec_id, track_id``), from a fixed frame or a column such as the target's first frame."""
+    first = F.lit(start) if isinstance(start, int) else start
+    return targets.select(*TRACK, first.cast("int").alias("start"), (first + spec.history).cast("int").alias("pred_frame"))
+
+
+def present_agents(windows: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The target (agent_idx 0) and every other agent of its recording that appears before the prediction frame, by id."""
+    first = tracks.groupBy(*TRACK).agg(F.min("frame").alias("_f")).select("rec_id", F.col("track_id"), "_f")
+    target = windows.withColumnRenamed("track_id", "target_id")
+    both = target.join(first, "rec_id").where((F.col("_f") < F.col("pred_frame")) | (F.col("track_id") == F.col("target_id")))
+    order = W.partitionBy("rec_id", "target_id", "start").orderBy(F.col("track_id") != F.col("target_id"), "track_id")
+    return both.select("rec_id", "target_id", "start", "pred_frame", "track_id").withColumn("agent_idx", (F.row_number().over(order) - 1).cast("int"))
+
+
+def only_ego(targets: DataFrame, ego_only: bool, ego: int = 0) -> DataFrame:
+    """The ego vehicle alone, or all targets."""
+    return targets.where(F.col("track_id") == ego) if ego_only else targets

@@ -97,10 +97,10 @@ STEPS = f"""{AG}, ss AS (SELECT ag.*, t, CASE WHEN t < 6 THEN 'inp' ELSE 'trg' E
   LEFT JOIN tr ON tr.rec_id = ag.rec_id AND tr.track_id = ag.track_id AND tr.frame = ag.start + ag.t)"""
 
 
-@query("sample_steps", f"WITH {STEPS} SELECT part, count(*) AS n, count(x) AS present, round(sum(x), 2) AS sx, round(sum(y), 2) AS sy, target_id FROM ss GROUP BY part, target_id")
+@query("sample_steps", f"WITH {STEPS} SELECT target_id, start, track_id, agent_idx::INTEGER AS agent_idx, t, part, x, y FROM ss")
 def sample_steps(spark, sf_dir):
     t, members = _members(spark, sf_dir)
-    return S.steps(members, t, LONG).groupBy("part", "target_id").agg(F.count("*").alias("n"), F.count("x").alias("present"), F.round(F.sum("x"), 2).alias("sx"), F.round(F.sum("y"), 2).alias("sy"))
+    return S.steps(members, t, LONG).select("target_id", "start", "track_id", "agent_idx", "t", "part", "x", "y")
 
 
 MASKS = f"""{STEPS}, a0 AS (SELECT rec_id, target_id, start, track_id,
@@ -108,34 +108,74 @@ MASKS = f"""{STEPS}, a0 AS (SELECT rec_id, target_id, start, track_id,
   count(*) FILTER (part = 'trg' AND x IS NOT NULL AND y IS NOT NULL) AS future, max(x) FILTER (t = 5) AS lx, max(y) FILTER (t = 5) AS ly FROM ss GROUP BY ALL),
 a1 AS (SELECT a0.*, sqrt((a0.lx - z.lx) * (a0.lx - z.lx) + (a0.ly - z.ly) * (a0.ly - z.ly)) AS away FROM a0 JOIN a0 z
   ON z.rec_id = a0.rec_id AND z.target_id = a0.target_id AND z.start = a0.start AND z.track_id = a0.target_id),
-a2 AS (SELECT *, row_number() OVER (PARTITION BY rec_id, target_id, start ORDER BY away NULLS LAST, track_id) AS r FROM a1),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY rec_id, target_id, start, future >= 6 AND spread > 3 ORDER BY away NULLS LAST, track_id) AS r FROM a1),
 mk AS (SELECT ss.*, x IS NOT NULL AND y IS NOT NULL AS mask, ss.track_id = ss.target_id AND x IS NOT NULL AND y IS NOT NULL AS sa_mask,
   future >= 6 AND spread > 3 AND r <= 4 AND x IS NOT NULL AND y IS NOT NULL AS ma_mask FROM ss JOIN a2 USING (rec_id, target_id, start, track_id))"""
 
 
-def _masked(spark, sf_dir):
+def _masked(spark, sf_dir, **more):
     t, members = _members(spark, sf_dir)
-    return S.with_masks(S.steps(members, t, LONG), LONG, least_future=6, k=4)
+    return S.with_masks(S.agent_steps(members, t, LONG), LONG, least_future=6, k=4, **more)
 
 
-@query("sample_masks", f"WITH {MASKS} SELECT target_id, start, part, count(*) AS n, count_if(mask)::BIGINT AS valid, count_if(sa_mask)::BIGINT AS sa, count_if(ma_mask)::BIGINT AS ma FROM mk GROUP BY ALL")
+@query("sample_masks", f"WITH {MASKS} SELECT target_id, start, track_id, t, part, x, y, mask, sa_mask, ma_mask FROM mk")
 def sample_masks(spark, sf_dir):
-    """The flagship: tracks to windows to agents to steps to masks, counted by sample and part."""
-    return _masked(spark, sf_dir).groupBy("target_id", "start", "part").agg(
-        F.count("*").alias("n"), F.count_if("mask").alias("valid"), F.count_if("sa_mask").alias("sa"), F.count_if("ma_mask").alias("ma")
-    )
+    """The flagship: tracks to windows to agents to steps to masks."""
+    return S.long(_masked(spark, sf_dir), LONG).select("target_id", "start", "track_id", "t", "part", "x", "y", "mask", "sa_mask", "ma_mask")
+
+
+@query("sample_moving_targets", f"""WITH {MASKS.replace("future >= 6 AND spread > 3", "future >= 6 AND spread > 16")}, sk AS (SELECT rec_id, target_id, start FROM a0 WHERE track_id = target_id AND spread > 16)
+SELECT target_id, start, track_id, t, ma_mask FROM mk JOIN sk USING (rec_id, target_id, start)""")
+def sample_moving_targets(spark, sf_dir):
+    """Samples whose target has more than 16 distinct places; the others are skipped."""
+    return S.long(_masked(spark, sf_dir, threshold=16, skip_static=True), LONG).select("target_id", "start", "track_id", "t", "ma_mask")
 
 
 @query("sample_ma_topk", f"WITH {MASKS} SELECT DISTINCT target_id, start, track_id FROM mk WHERE ma_mask")
 def sample_ma_topk(spark, sf_dir):
-    return _masked(spark, sf_dir).where("ma_mask").select("target_id", "start", "track_id").distinct()
+    return _masked(spark, sf_dir).where(F.array_contains("ma_mask", True)).select("target_id", "start", "track_id")
+
+
+@query("sample_category_masks", f"WITH {STEPS} SELECT target_id, start, track_id, t, track_id % 4 > 1 AND x IS NOT NULL AND y IS NOT NULL AS ma_mask FROM ss")
+def sample_category_masks(spark, sf_dir):
+    """Agents are scored by their category."""
+    t, members = _members(spark, sf_dir)
+    rows = S.agent_steps(members.withColumn("category", F.col("track_id") % 4), t, LONG)
+    return S.long(S.with_masks(rows, LONG, 6, category="category"), LONG).select("target_id", "start", "track_id", "t", "ma_mask")
 
 
-@query("sample_nested", f"""WITH {MASKS} SELECT target_id, start, count(DISTINCT track_id)::INTEGER AS n_agents, round(sum(coalesce(x, 0)), 2) AS sx FROM mk GROUP BY ALL""")
+@query("sample_nested", f"""WITH {MASKS}, al AS (SELECT rec_id, target_id, start, agent_idx, track_id, part, list(coalesce(x, 0) ORDER BY t) AS x, list(mask ORDER BY t) AS m, list(ma_mask ORDER BY t) AS ma FROM mk GROUP BY ALL)
+SELECT target_id, start, count(*)::INTEGER AS num_nodes, to_json(list(track_id ORDER BY agent_idx)) AS ids, to_json(list(track_id % 3 ORDER BY agent_idx)) AS intention, round(sum(list_sum(i.x)), 4) AS inp, round(sum(list_sum(o.x)), 4) AS trg,
+  to_json(list(i.m ORDER BY agent_idx)) AS input_mask, to_json(list(o.m ORDER BY agent_idx)) AS valid_mask, to_json(list(o.ma ORDER BY agent_idx)) AS ma_mask
+FROM al i JOIN (SELECT rec_id, target_id, start, track_id, x, m, ma FROM al WHERE part = 'trg') o USING (rec_id, target_id, start, track_id) WHERE i.part = 'inp' GROUP BY target_id, start""")
 def sample_nested(spark, sf_dir):
-    whole = S.nested(_masked(spark, sf_dir))
-    total = F.aggregate("agents", F.lit(0.0), lambda acc, a: acc + F.aggregate(a["x"], F.lit(0.0), lambda s, v: s + v))
-    return whole.select("target_id", "start", F.size("agents").alias("n_agents"), F.round(total, 2).alias("sx"))
+    whole = S.nested(_masked(spark, sf_dir).withColumn("intention", F.col("track_id") % 3), LONG, extra=("intention",))
+    total = lambda c: F.round(F.aggregate(F.flatten(c), F.lit(0.0), lambda acc, v: acc + v), 4)
+    return whole.select("target_id", "start", "num_nodes", F.to_json("ids").alias("ids"), F.to_json("intention").alias("intention"), total("inp_x").alias("inp"), total("trg_x").alias("trg"), *(F.to_json(c).alias(c) for c in ("input_mask", "valid_mask", "ma_mask")))
+
+
+_FIXED = f"""{TR}, tg AS (SELECT rec_id, min(track_id) AS target_id FROM tr GROUP BY 1), fa AS (SELECT rec_id, track_id, min(frame) AS f FROM tr WHERE y > 30 GROUP BY ALL)"""
+
+
+@query("sample_fixed", f"""WITH {_FIXED}, ag AS (SELECT rec_id, target_id, track_id, row_number() OVER (PARTITION BY rec_id ORDER BY track_id <> target_id, track_id) - 1 AS i FROM tg JOIN (SELECT rec_id, track_id, min(f) AS f FROM fa GROUP BY ALL) USING (rec_id) WHERE f < 20 OR track_id = target_id)
+SELECT target_id, ag.track_id, i::INTEGER AS agent_idx, t, part, x FROM (SELECT *, unnest(range(0, 50))::INTEGER AS t, CASE WHEN t < 20 THEN 'inp' ELSE 'trg' END AS part FROM ag) ag LEFT JOIN tr ON tr.track_id = ag.track_id AND tr.frame = t AND tr.y > 30""")
+def sample_fixed(spark, sf_dir):
+    """One window per recording at a fixed place, with every agent that appears in its history."""
+    spec = S.SAMPLING["argoverse"].windows()
+    t = tracks(spark, sf_dir)
+    shown = t.where("y > 30")
+    targets = t.groupBy("rec_id").agg(F.min("track_id").alias("track_id"))
+    members = S.present_agents(S.fixed_windows(targets, spec), shown)
+    return S.steps(members, shown, spec).select("target_id", "track_id", "agent_idx", "t", "part", "x")
+
+
+@query("sample_ego_only", f"WITH {TR} SELECT rec_id, track_id FROM tr WHERE track_id % 10 = 0 GROUP BY ALL")
+def sample_ego_only(spark, sf_dir):
+    """The first track of a recording is its ego vehicle, and the only target."""
+    t = tracks(spark, sf_dir).withColumn("track_id", F.col("track_id") - F.col("rec_id") * 10)
+    targets = t.select("rec_id", "track_id").distinct()
+    own = S.only_ego(targets, S.SAMPLING["lyft"].ego_only)
+    return own.select("rec_id", (F.col("track_id") + F.col("rec_id") * 10).alias("track_id"))
 
 
 _EGO = f"""{MV}, {_starts_sql('rec_id, track_id', 'tr', 16, 4, True)}, p AS (SELECT st.rec_id, st.track_id, start, x AS x0, y AS y0, psi AS h FROM st JOIN mv ON mv.track_id = st.track_id AND mv.frame = start + 5)"""
