@@ -15,6 +15,83 @@ from ..functions.geometry import distance
 LINE = ("map_id", "line_id")
 
 
+def interpolation(interpolate: bool, interp_distance: float | None) -> float | None:
+    """The distance to interpolate to, or None; both or neither of the settings must be given."""
+    if interpolate and interp_distance is None:
+        raise ValueError("a distance is needed to interpolate")
+    if not interpolate and interp_distance is not None:
+        raise ValueError("a distance without interpolation")
+    return interp_distance
+
+
+def place(x: Column, y: Column, key: str = "map_id") -> Column:
+    """A node's number from its map and place: points at one place are one node."""
+    return F.xxhash64(F.col(key), x + F.lit(0.0), y + F.lit(0.0))  # adding 0 makes -0.0 and 0.0 one
+
+
+def graph(points: DataFrame, interpolate: bool = False, interp_distance: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``nodes(map_id, node, x, y, node_type)`` and ``edges(map_id, src, dst, edge_type)`` of polylines.
+
+    ``points(map_id, line_id, pos, x, y, edge_type)``: a point's type is that of the edge to the next point of its line;
+    polygons end with their first point again, and a line of one point is a node without edges.  Edges run one way,
+    are distinct by ends and type, and none joins a place to itself.  Edges longer than the distance are cut into equal
+    pieces.  Node types are NONE.  Points without coordinates are left out before lines are joined.
+    """
+    target = interpolation(interpolate, interp_distance)
+    w = W.partitionBy(*LINE).orderBy("pos")
+    known = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ends = known.select("map_id", "edge_type", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"))
+    lines = ends.where(F.col("x1").isNotNull() & ((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))))
+    if target is not None:
+        cut = interpolate_edges(lines, target)
+        own = ["map_id", "edge_type"]
+        lines = cut.select(*own, F.col("xa").alias("x0"), F.col("ya").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    spots = known.select("map_id", "x", "y")
+    if target is not None:
+        spots = spots.unionByName(lines.select("map_id", F.col("x1").alias("x"), F.col("y1").alias("y")))
+    nodes = spots.withColumn("node", place(F.col("x"), F.col("y"))).groupBy("map_id", "node").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    edges = lines.select("map_id", place(F.col("x0"), F.col("y0")).alias("src"), place(F.col("x1"), F.col("y1")).alias("dst"), "edge_type").distinct()
+    return nodes.withColumn("node_type", F.lit(EDGE_TYPES["NONE"])), edges
+
+
+def interpolate_edges(edges: DataFrame, target: float) -> DataFrame:
+    """interpolate() with both ends of each piece: ``xa, ya`` to ``x, y``; the last piece ends exactly at the far node."""
+    cut = interpolate(edges, target)
+    part = (F.col("piece") - 1) / F.col("pieces")
+    last = F.col("piece") == F.col("pieces")
+    out = {"xa": F.col("x0") + (F.col("x1") - F.col("x0")) * part, "ya": F.col("y0") + (F.col("y1") - F.col("y0")) * part}
+    return cut.withColumns(out | {"x": F.when(last, F.col("x1")).otherwise(F.col("x")), "y": F.when(last, F.col("y1")).otherwise(F.col("y"))})
+
+
+def normalized(nodes: DataFrame, edges: DataFrame, return_if_empty: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Maps with nodes and edges; a map that lacks either is empty.  Without any map left: an error, or empty tables."""
+    whole = nodes.join(edges.select("map_id").distinct(), "map_id", "left_semi")
+    lines = edges.join(nodes.select("map_id").distinct(), "map_id", "left_semi")
+    if not return_if_empty and whole.isEmpty():
+        raise ValueError("a map has no nodes or no edges")
+    return whole, lines
+
+
+def renamed_types(edges: DataFrame, table: dict[int, int]) -> DataFrame:
+    """Edges whose types have other numbers by a table; those not in it stay."""
+    kind = F.col("edge_type")
+    for old, new in table.items():
+        kind = F.when(F.col("edge_type") == old, new).otherwise(kind)
+    return edges.withColumn("edge_type", kind.cast("int"))
+
+
+def box_subgraph(nodes: DataFrame, edges: DataFrame, center: tuple[float, float] | None = None, width: float | None = None, height: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The part of each map within a box, borders included; by default about its nodes' mean place, a tenth of its extent."""
+    ext = nodes.groupBy("map_id").agg(
+        (F.avg("x") if center is None else F.lit(float(center[0]))).alias("_cx"), (F.avg("y") if center is None else F.lit(float(center[1]))).alias("_cy"),
+        ((F.max("x") - F.min("x")) * 0.1 if width is None else F.lit(float(width))).alias("_w"), ((F.max("y") - F.min("y")) * 0.1 if height is None else F.lit(float(height))).alias("_h"),
+    )
+    at = nodes.join(ext, "map_id")
+    inside = in_box(F.col("x"), F.col("y"), F.col("_cx"), F.col("_cy"), F.col("_w") / 2, F.col("_h") / 2)
+    kept, lines = subgraph(at, edges, inside)
+    return kept.drop("_cx", "_cy", "_w", "_h"), lines
+
+
 def line_edges(points: DataFrame, closed: bool = False, node: str = "node") -> DataFrame:
     """``map_id, line_id, src, dst, edge_type``: consecutive points of each line; closed adds last to first."""
     w = W.partitionBy(*LINE).orderBy("pos")
@@ -117,8 +194,12 @@ def highway_grid(spark: SparkSession, markings: list[float], x_min: float, x_max
     return nodes.drop("i"), ahead.unionByName(back)
 
 
-def lane_borders(points: DataFrame, half: float = 1.9, keys=LINE) -> DataFrame:
-    """Left and right borders of a centre line: its points moved along the normal of the local direction."""
+def lane_borders(points: DataFrame, half: float = 1.9, keys=LINE, exchange: bool = True) -> DataFrame:
+    """Left and right borders of a centre line: its points moved along the normal of the local direction.
+
+    ``exchange``: where the line runs exactly along the positive x or y axis the two sides change places, as they do
+    in the border files that samples are compared with; without it left is always left.
+    """
     w = W.partitionBy(*keys).orderBy("pos")
 
     def slope(c: str) -> Column:
@@ -126,9 +207,11 @@ def lane_borders(points: DataFrame, half: float = 1.9, keys=LINE) -> DataFrame:
         return F.coalesce((after - before) / 2, after - F.col(c), F.col(c) - before, F.lit(0.0))
 
     way = points.withColumns({"_dx": slope("x"), "_dy": slope("y")}).withColumn("_h", F.atan2("_dy", "_dx"))
+    along_axis = ((F.col("_dy") == 0) & (F.col("_dx") > 0)) | ((F.col("_dx") == 0) & (F.col("_dy") > 0))
+    side = F.when(along_axis, -half).otherwise(half) if exchange else F.lit(half)
     shift = {
-        "left_x": F.col("x") - half * F.sin("_h"), "left_y": F.col("y") + half * F.cos("_h"),
-        "right_x": F.col("x") + half * F.sin("_h"), "right_y": F.col("y") - half * F.cos("_h"),
+        "left_x": F.col("x") - side * F.sin("_h"), "left_y": F.col("y") + side * F.cos("_h"),
+        "right_x": F.col("x") + side * F.sin("_h"), "right_y": F.col("y") - side * F.cos("_h"),
     }
     return way.withColumns(shift).drop("_dx", "_dy", "_h")
 
@@ -141,6 +224,12 @@ def boundary_changes(segments: DataFrame, keys=LINE) -> DataFrame:
     return segments.withColumns({"offset": at, "_b": before}).where(~F.col("kind").eqNullSafe(F.col("_b"))).select(*keys, "pos", "offset", "kind")
 
 
+def mirrored(nodes: DataFrame, x_max: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Nodes of an image's map for the lower lanes (y turned over) and the upper ones (x turned about x_max)."""
+    lower = nodes.withColumn("y", -F.col("y"))
+    return lower, nodes.withColumn("x", F.lit(float(x_max)) - F.col("x"))
+
+
 def link_lanes(ends: DataFrame, starts: DataFrame, most: float = 1.0) -> DataFrame:
     """Edges from a lane's last point to its successors' first, where those are nearer than ``most``.
 

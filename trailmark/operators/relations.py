@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def interval_join(ranges: DataFrame, rows: DataFrame, lo: str, hi: str, position: str) -> DataFrame:
     """Rows whose position lies in ``[lo, hi)``: each range is exploded, so that the join is an equality."""
@@ -29,12 +31,22 @@ def list_order(rows: DataFrame, scene: str, time: str, token: str, following: st
     return out.withColumn("ordinal", F.when(F.col("_broken"), F.raise_error(F.lit("links disagree with times"))).otherwise(F.col("ordinal"))).drop("_broken")
 
 
-def union_with_offset(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both sets of tracks; the second's ids follow the first's greatest, in the order in which they appear."""
-    top = first.agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("_top"))
-    ids = second.groupBy("track_id").agg(F.min("frame").alias("_f"))
-    ids = ranked(ids, "_f", "track_id", name="_rank").drop("_f").crossJoin(F.broadcast(top))  # one row
-    moved = second.join(ids, "track_id").withColumn("track_id", F.col("_top") + F.col("_rank") + 1).drop("_top", "_rank")
+def union_with_offset(first: DataFrame, second: DataFrame, key: str | None = None) -> DataFrame:
+    """Both sets of tracks; the second's ids follow the first's greatest, in the order in which they appear.
+
+    With ``key``, ids are counted within each of its values (recordings), and tracks are ranked there.
+    """
+    if key is None:
+        top = first.agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("_top"))
+        ids = second.groupBy("track_id").agg(F.min("frame").alias("_f"))
+        ids = ranked(ids, "_f", "track_id", name="_rank").drop("_f").crossJoin(F.broadcast(top))  # one row
+        moved = second.join(ids, "track_id")
+    else:
+        top = first.groupBy(key).agg(F.max("track_id").alias("_top"))
+        ids = second.groupBy(key, "track_id").agg(F.min("frame").alias("_f"))
+        ids = ids.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy("_f", "track_id")) - 1).drop("_f")
+        moved = second.join(ids, [key, "track_id"]).join(top, key, "left").fillna({"_top": 0})
+    moved = moved.withColumn("track_id", F.col("_top") + F.col("_rank") + 1).drop("_top", "_rank")
     return first.unionByName(moved, allowMissingColumns=True)
 
 
@@ -76,11 +88,12 @@ def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
 def ranked(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
     """``rank`` of rows from 0 in the order of keys, without gathering them: rows are ranked within ranges.
 
-    Ranges of the keys are numbered by their partition, counted, and each row's rank is its place in the
-    range plus the rows of the ranges before.  The number of ranges is fixed, so that both uses of them agree.
+    Rows are written once with the number of their range of the keys; counting the ranges and ranking rows both read
+    that table, so they agree whatever is lost and run again.  A row's rank is its place in its range plus the rows
+    of the ranges before.  Rows that agree in all keys are ranked in any order.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row per range
     here = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys)) - 1)

@@ -110,8 +110,10 @@ def graph_grid(spark, sf_dir):
 
 
 @query("lane_borders", f"""WITH {POLY}, s AS (SELECT *, coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w, 0) AS dx,
- coalesce((lead(y) OVER w - lag(y) OVER w) / 2, lead(y) OVER w - y, y - lag(y) OVER w, 0) AS dy FROM poly WINDOW w AS (PARTITION BY line_id ORDER BY pos))
-SELECT line_id, pos, round(x - 1.9 * sin(atan2(dy, dx)), 5) AS left_x, round(y + 1.9 * cos(atan2(dy, dx)), 5) AS left_y, round(x + 1.9 * sin(atan2(dy, dx)), 5) AS right_x FROM s""")
+ coalesce((lead(y) OVER w - lag(y) OVER w) / 2, lead(y) OVER w - y, y - lag(y) OVER w, 0) AS dy FROM poly WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+th AS (SELECT *, CASE WHEN dy <> 0 THEN atan(-dx / dy) WHEN dx < 0 THEN pi() / 2 ELSE -pi() / 2 END AS th FROM s),
+sw AS (SELECT *, CASE WHEN ((dx > 0 AND dy <> 0)::INTEGER + (sin(th) > 0)::INTEGER + (dx <> 0 OR dy <> 0)::INTEGER) % 2 = 0 THEN 1.9::DOUBLE ELSE -1.9::DOUBLE END AS side FROM th)
+SELECT line_id, pos, round(x - side * cos(th), 5) AS left_x, round(y - side * sin(th), 5) AS left_y, round(x + side * cos(th), 5) AS right_x FROM sw""")
 def lane_borders(spark, sf_dir):
     b = G.lane_borders(polylines(spark, sf_dir))
     return b.select("line_id", "pos", *(F.round(c, 5).alias(c) for c in ("left_x", "left_y", "right_x")))

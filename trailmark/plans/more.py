@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window as W
@@ -12,6 +11,7 @@ from ..functions import geometry
 from ..operators import filters as P
 from ..operators import metrics as M
 from ..operators import sampling as S
+from ..session import fresh as scratch
 from ..sources import sinks
 from ..sources import trajectories as T
 from ..streaming import metrics as stream
@@ -19,12 +19,6 @@ from .motion import _r
 from .views import LANES, PRED, TR, on_lanes, prediction_tables, query, table, tracks
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailmark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("src_whitespace_text", f"WITH {TR} SELECT frame, track_id, CASE WHEN y < 50 THEN 'car' ELSE 'pedestrian' END AS agent_type, x, y FROM tr")
 def src_whitespace_text(spark, sf_dir):
     """Tracks written as blank-separated text and read again."""

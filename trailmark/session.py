@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -17,3 +20,30 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of ``spark.checkpoint.dir``.
+
+    Where that is unset and executors run in the driver's process (tests), a temporary folder of this session; on a
+    cluster it must be set, for files in a machine's own folder would be lost without notice.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("trailmark.shared.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
+        found = tempfile.mkdtemp(prefix="trailmark-")
+        spark.conf.set("trailmark.shared.dir", found)
+    return found.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read from there: its lineage ends here."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

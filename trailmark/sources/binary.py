@@ -39,7 +39,7 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, object]]:
-    """``number, wire type, value`` of a protobuf message; nested messages are bytes."""
+    """``number, wire type, value`` of a protobuf message; nested messages and fixed-width values are bytes."""
     at = 0
     while at < len(data):
         key, at = _varint(data, at)
@@ -49,14 +49,30 @@ def fields(data: bytes) -> Iterator[tuple[int, int, object]]:
         elif kind == 2:
             n, at = _varint(data, at)
             value, at = data[at : at + n], at + n
-        elif kind in (1, 5):
+        elif kind in (1, 5):  # fixed width: left as bytes
             n = 8 if kind == 1 else 4
-            value, at = struct.unpack_from("<d" if kind == 1 else "<f", data, at)[0], at + n
+            value, at = data[at : at + n], at + n
         else:
             raise ValueError(f"unknown wire type {kind}")
         yield number, kind, value
 
 
+def real(kind: int, value) -> float:
+    """A number of any wire type as a float."""
+    return struct.unpack("<d" if kind == 1 else "<f", value)[0] if kind in (1, 5) else float(value)
+
+
+def packed(kind: int, value) -> list[int]:
+    """The integers of a repeated field, which may be packed."""
+    if kind != 2:
+        return [value]
+    out, at = [], 0
+    while at < len(value):
+        one, at = _varint(value, at)
+        out.append(one)
+    return out
+
+
 # Field numbers of the public scenario messages, and object types.
 STATE = {2: "x", 3: "y", 8: "psi", 9: "vx", 10: "vy", 11: "valid"}
 OBJECTS = {1: "car", 2: "pedestrian", 3: "bicycle"}
@@ -76,13 +92,7 @@ def scenario_rows(payload: bytes) -> tuple[str, list[tuple], list[tuple]]:
         elif number == 6:
             ego = value
         elif number == 4:
-            if kind == 2:
-                at = 0
-                while at < len(value):
-                    one, at = _varint(value, at)
-                    interest.append(one)
-            else:
-                interest.append(value)
+            interest += packed(kind, value)
     rows, points = [], []
     for i, track in enumerate(tracks):
         track_id, kind, states = 0, 0, []
@@ -94,9 +104,9 @@ def scenario_rows(payload: bytes) -> tuple[str, list[tuple], list[tuple]]:
             elif number == 3:
                 states.append(value)
         for frame, state in enumerate(states):
-            got = {STATE[n]: v for n, _, v in fields(state) if n in STATE}
+            got = {STATE[n]: real(k, v) for n, k, v in fields(state) if n in STATE}
             if got.get("valid"):
-                rows.append((name, frame, -1 if i == ego else track_id, *(float(got.get(c, 0.0)) for c in ("x", "y", "vx", "vy", "psi")), OBJECTS.get(kind, "undefined"), track_id in interest))
+                rows.append((name, frame, -1 if i == ego else track_id, *(got.get(c, 0.0) for c in ("x", "y", "vx", "vy", "psi")), OBJECTS.get(kind, "undefined"), track_id in interest))
     for feature in features:
         number_of, line, kind, sub = 0, "", 0, b""
         for number, _, value in fields(feature):
@@ -110,8 +120,8 @@ def scenario_rows(payload: bytes) -> tuple[str, list[tuple], list[tuple]]:
             if number == 1 and wire == 0 and line in ("road_line", "road_edge"):
                 kind = value
             if number == spot and wire == 2:
-                p = {n: v for n, _, v in fields(value)}
-                points.append((name, number_of, line, kind, len(points), float(p.get(1, 0.0)), float(p.get(2, 0.0))))
+                p = {n: real(k, v) for n, k, v in fields(value)}
+                points.append((name, number_of, line, kind, len(points), p.get(1, 0.0), p.get(2, 0.0)))
     return name, rows, points
 
 
@@ -123,20 +133,152 @@ def _names(schema: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
-def scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tracks and map points of record files of protobuf scenarios."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def scenarios(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tracks and map points of record files of protobuf scenarios.
 
-    def decode(which: int, names: list[str]):
-        def run(batches):
-            for batch in batches:
-                for content in batch["content"]:
-                    for payload in records(content):
-                        yield pd.DataFrame(scenario_rows(payload)[which], columns=names)
+    Files are read record by record.  With ``store``, a folder that all executors reach, decoded scenarios are written
+    there once and both tables come from it; without it each table decodes for itself.
+    """
+    from .rows import records_of
+
+    decoded = records_of(spark, path).mapInPandas(_decoded, f"tracks array<struct<{_struct(_TRACKS)}>>, points array<struct<{_struct(_POINTS)}>>")
+    if store:
+        decoded.write.mode("errorifexists").parquet(store)
+        decoded = spark.read.parquet(store)
+    return decoded.select(F.inline("tracks")), decoded.select(F.inline("points"))
+
+
+def _struct(schema: str) -> str:
+    return ", ".join(f"{a}: {b}" for a, b in (c.strip().split(" ") for c in schema.split(",")))
+
+
+def _decoded(batches):
+    names = {"tracks": _names(_TRACKS), "points": _names(_POINTS)}
+    for batch in batches:
+        out = {"tracks": [], "points": []}
+        for payload in batch["payload"]:
+            _, tracks, points = scenario_rows(payload)
+            for key, rows in (("tracks", tracks), ("points", points)):
+                out[key].append([dict(zip(names[key], r, strict=True)) for r in rows])
+        yield pd.DataFrame(out)
+
+
+# Field numbers of the semantic map's messages, and edge types of its boundaries' numbers.
+BOUNDARIES = {
+    0: "NONE", 1: "VIRTUAL", 2: "LINE_THIN", 3: "LINE_THIN", 4: "LINE_THIN_DASHED", 5: "LINE_THIN_DASHED", 6: "LINE_THIN_DOUBLE", 7: "LINE_THIN_DOUBLE",
+    8: "LINE_THIN_DOUBLE_DASHED", 9: "LINE_THIN_DOUBLE_DASHED", 10: "CURB", 11: "CURB", 12: "CURB",
+}
+_ELEMENTS, _SEGMENT, _LANE, _JUNCTION = 2, 1, 3, 5
+
+
+def _one(message: bytes, number: int):
+    """The last value of a field, None if it is not there."""
+    found = None
+    for n, _, value in fields(message):
+        if n == number:
+            found = value
+    return found
+
+
+def _global_id(message: bytes | None) -> str:
+    return (_one(message or b"", 1) or b"").decode()
+
+
+def _signed(value: int) -> int:
+    return (value >> 1) ^ -(value & 1)
+
+
+def _local_to_earth(p: np.ndarray, lat: float, lon: float) -> np.ndarray:
+    """Rows of east, north, up about a place on the ellipsoid (radians) as earth-centred rows."""
+    a, flat = 6378137.0, 1 / 298.257223563
+    e2 = flat * (2 - flat)
+    s, c, sl, cl = np.sin(lat), np.cos(lat), np.sin(lon), np.cos(lon)
+    curve = a / np.sqrt(1 - e2 * s * s)
+    origin = np.array([curve * c * cl, curve * c * sl, curve * (1 - e2) * s])
+    axes = np.array([[-sl, cl, 0.0], [-s * cl, -s * sl, c], [c * cl, c * sl, s]])
+    return origin + p @ axes
+
+
+def boundary_types(kinds: list[int], changes: list[float], points: np.ndarray) -> list[str]:
+    """The edge type from each point to the next: a boundary's next kind begins after the point at which the way since the last change reaches a change's distance."""
+    if not kinds:
+        return ["NONE"] * max(len(points) - 1, 0)
+    out, way, at = [], 0.0, 0
+    for step in np.sqrt((np.diff(points, axis=0) ** 2).sum(axis=1)).tolist():
+        out.append(BOUNDARIES.get(kinds[at], "NONE"))
+        way += step
+        if at < min(len(changes), len(kinds) - 1) and way >= changes[at]:
+            at, way = at + 1, 0.0
+    return out
+
+
+def semantic_element(element: bytes, to_world: np.ndarray):
+    """``segment`` or ``junction`` with the ids of its lanes, or ``lane`` with its id and boundaries; None for others."""
+    name, body = _global_id(_one(element, 1)), _one(element, 2) or b""
+    for number, _, value in fields(body):
+        if number in (_SEGMENT, _JUNCTION):
+            return ("segment" if number == _SEGMENT else "junction"), [_global_id(v) for n, _, v in fields(value) if n == (12 if number == _SEGMENT else 3)]
+        if number == _LANE:
+            origin = _one(_one(value, 2) or b"", 1) or b""
+            place = {n: struct.unpack("<i", v)[0] * 1e-7 for n, k, v in fields(origin) if n in (1, 2) and k == 5}
+            sides = []
+            for side in (3, 4):
+                deltas, kinds, changes = {1: [], 2: [], 3: []}, [], []
+                for n, k, v in fields(_one(value, side) or b""):
+                    if n in deltas:
+                        deltas[n] += [_signed(d) for d in packed(k, v)]
+                    elif n == 4:
+                        kinds += packed(k, v)
+                    elif n == 5:
+                        changes += [d * 0.01 for d in packed(k, v)]
+                points = np.zeros((0, 3))
+                if all(deltas.values()):
+                    local = np.cumsum(np.array([deltas[i] for i in (1, 2, 3)], float).T * 0.01, axis=0)
+                    earth = _local_to_earth(local, np.radians(place.get(1, 0.0)), np.radians(place.get(2, 0.0)))
+                    points = earth @ to_world[:3, :3].T + to_world[:3, 3]
+                sides.append((points, boundary_types(kinds, changes, points)))
+            return "lane", (name, sides)
+    return None
+
+
+def semantic_map(spark: SparkSession, path: str, world_to_ecef: list[list[float]], map_id: str = "map") -> DataFrame:
+    """Typed polylines of a protobuf semantic map: both boundaries of the lanes of road segments, the left one of others in junctions.
+
+    Each lane comes once; where a boundary has no type it is VIRTUAL.  Lanes in neither a segment nor a junction are
+    left out.  Deltas are centimetres along the axes of each lane's frame.
+    """
+    from ..functions.codes import EDGE_TYPES
+
+    to_world = np.linalg.inv(np.array(world_to_ecef, float))
+    files = spark.read.format("binaryFile").load(path).select("content")
 
-        return run
+    def split(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                elements = [v for n, _, v in fields(content) if n == _ELEMENTS]
+                for i in range(0, len(elements), 1000):
+                    yield pd.DataFrame({"element": elements[i : i + 1000]})
 
-    return files.mapInPandas(decode(1, _names(_TRACKS)), _TRACKS), files.mapInPandas(decode(2, _names(_POINTS)), _POINTS)
+    def decode(batches):
+        for batch in batches:
+            rows = []
+            for element in batch["element"]:
+                found = semantic_element(element, to_world)
+                if found and found[0] == "lane":
+                    name, sides = found[1]
+                    for side, (points, kinds) in zip(("left", "right"), sides, strict=True):
+                        for i, (x, y, _) in enumerate(points.tolist()):
+                            kind = kinds[i] if i < len(kinds) else "NONE"
+                            rows.append((name, side, i, x, y, EDGE_TYPES["VIRTUAL" if kind == "NONE" else kind]))
+                elif found:
+                    rows += [(lane, found[0], 0, None, None, None) for lane in found[1]]
+            yield pd.DataFrame(rows, columns=["lane", "what", "pos", "x", "y", "edge_type"]).astype({"edge_type": "Int32"})
+
+    elements = files.mapInPandas(split, "element binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = elements.mapInPandas(decode, "lane string, what string, pos int, x double, y double, edge_type int")
+    role = found.where(F.col("what").isin("segment", "junction")).groupBy("lane").agg((F.max("what") == "segment").alias("both"))
+    lines = found.where(F.col("what").isin("left", "right")).join(role, "lane").where((F.col("what") == "left") | F.col("both"))
+    return lines.select(F.lit(map_id).alias("map_id"), F.concat_ws("-", "lane", "what").alias("line_id"), "pos", "x", "y", "edge_type")
 
 
 def sqlite_tables(spark: SparkSession, path: str, prefix: str, schema: str) -> DataFrame:

@@ -5,6 +5,9 @@ Every reader declares its schema, so Spark neither infers nor reads columns that
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +31,10 @@ def canonicalize(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumnsRenamed(names).drop(*drop)
 
 
-def recording_of(pattern: str) -> Column:
-    """The recording's name, taken from the file's by a pattern with one group."""
+def recording_of(pattern: str | Column) -> Column:
+    """The recording's name, taken from the file's by a pattern with one group, or any expression of the file."""
+    if isinstance(pattern, Column):
+        return pattern
     return F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
 
 
@@ -40,12 +45,40 @@ def _csv(spark: SparkSession, path: str, schema: str, glob: str | None = None, s
     return reader.csv(path)
 
 
-def _named_csv(spark: SparkSession, path: str, glob: str, pattern: str, columns: dict[str, str]) -> DataFrame:
-    """Columns by name, whatever others a file has and in whatever order (all read as text, then cast)."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).csv(path)
-    have = {c.lower(): c for c in raw.columns}
-    picked = [F.col(f"`{have[c.lower()]}`").cast(t).alias(c) if c.lower() in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
-    return raw.select(recording_of(pattern).alias("rec_id"), *picked)
+def headers(spark: SparkSession, path: str, glob: str) -> dict[tuple[str, ...], list[str]]:
+    """The distinct headers of CSV files, each with its files.
+
+    The first line of a file is the first row of the piece that begins at 0; each piece keeps one line for a file, so
+    what moves is a header for each file.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    first = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    found = first.groupBy("file").agg(F.first("value").alias("line"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in found.groupBy("line").agg(F.collect_list("file").alias("files")).collect():  # a row for each distinct header
+        names = tuple(c.strip().removeprefix("\ufeff") for c in next(csv.reader([row.line])))
+        out.setdefault(names, []).extend(unquote(f) for f in row.files)
+    return out
+
+
+def _named_csv(spark: SparkSession, path: str, glob: str, pattern: str | Column, columns: dict[str, str]) -> DataFrame:
+    """Columns by name, whatever others a file has and in whatever order (all read as text, then cast).
+
+    Files are read together where they have one header, else a group for each header.  A column that a file lacks is null.
+    """
+    groups = headers(spark, path, glob)
+    out = None
+    for names, files in sorted(groups.items()):
+        plain = ", ".join(f"`c{i}` string" for i in range(len(names)))
+        reader = spark.read.schema(plain).option("header", True)
+        raw = reader.csv(sorted(files)) if len(groups) > 1 else reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True).csv(path)
+        have = {n.lower(): f"c{i}" for i, n in reversed(list(enumerate(names)))}
+        picked = [(F.col(have[c.lower()]) if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        each = raw.select(recording_of(pattern).alias("rec_id"), *picked)
+        out = each if out is None else out.unionByName(each)
+    if out is None:
+        out = spark.createDataFrame([], "rec_id string, " + ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+    return out
 
 
 def _columns(schema: str) -> dict[str, str]:
@@ -74,26 +107,50 @@ def highway(spark: SparkSession, path: str, exits: bool = False) -> tuple[DataFr
     return canonicalize(t), canonicalize(m).withColumn("agent_type", F.lower("agent_type")), r
 
 
-def intersection(spark: SparkSession, path: str) -> DataFrame:
-    """Vehicle and pedestrian files of one recording folder, as one set of tracks; pedestrian ids follow the vehicles'."""
+def intersection(spark: SparkSession, path: str, full: bool = False, x0: float = 0.0, y0: float = 0.0, dt: float = 0.1, polar: bool = False) -> DataFrame:
+    """Vehicle and pedestrian files of recordings, as one set of tracks; a recording's pedestrian ids follow its vehicles'.
+
+    The recording is the folder below ``data`` (in any case): the files' own folder with ``full``, else one above it;
+    files elsewhere belong to a recording without a name.  Headings follow velocities, pedestrians' accelerations are
+    derivatives, and places are relative to (x0, y0), with ``rho`` and ``theta`` about it if ``polar``.
+    """
+    from ..operators.kinematics import with_acceleration, with_polar
     from ..operators.relations import union_with_offset
 
-    columns = "track_id string, frame_id int, agent_type string, x double, y double, vx double, vy double, ax double, ay double, yaw_rad double"
-    v = _named_csv(spark, path, "[Vv]eh*_[Ss]moothed_[Tt]racks.csv", r"()", _columns(columns))
-    p = _named_csv(spark, path, "[Pp]ed*_[Ss]moothed_[Tt]racks.csv", r"()", _columns("track_id string, frame_id int, agent_type string, x double, y double, vx double, vy double"))
+    where = F.regexp_extract(F.col("_metadata.file_path"), r"(?i)/data/([^/]+)/" + ("" if full else r"(?:[^/]+/)*") + r"[^/]+$", 1)
+    motion = "track_id string, frame_id int, agent_type string, x double, y double, vx double, vy double"
+    v = _named_csv(spark, path, "[Vv][Ee][Hh]_[Ss]moothed_[Tt]racks.csv", where, _columns(f"{motion}, ax double, ay double"))
+    p = _named_csv(spark, path, "[Pp][Ee][Dd]_[Ss]moothed_[Tt]racks.csv", where, _columns(motion))
     v, p = (canonicalize(d).withColumn("track_id", F.regexp_extract("track_id", r"(\d+)", 1).cast("bigint")) for d in (v, p))
-    return union_with_offset(v, p)
+    both = union_with_offset(v, with_acceleration(p, dt), key="rec_id").withColumn("psi", geometry.heading(F.col("vx"), F.col("vy")))
+    moved = both.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    return with_polar(moved, 0.0, 0.0) if polar else moved
+
 
+# Class names of the recordings with one file each, which differ from the classes here.
+ROAD_CLASSES = {"Passenger Car": "car", "Truck": "truck", "Van": "van", "Bus": "bus", "Motorcycle": "motorcycle", "Semi-trailer truck": "truck"}
+
+
+def single_csv(spark: SparkSession, path: str, lane_markings: dict[str, str] | None = None, lane_width: float = 3.75, lanes: int = 4, fps: float = 10.0) -> DataFrame:
+    """One file per recording with a column of seconds; frames, x and ids are rebased, headings derived, the direction is 1.
+
+    ``lane_markings`` gives each recording's markings (``"-3.75;0;3.75"``): y is counted from the first one, and lanes
+    are assigned by width and filled; a recording without markings keeps its y.
+    """
+    from ..operators.lanes import assign_lane, fill_lane, markings
 
-def single_csv(spark: SparkSession, path: str, fps: float = 10.0) -> DataFrame:
-    """One file per recording with a column of seconds; frames, x and headings are rebased and derived."""
     t = _named_csv(spark, path, "*.csv", r"(.*)\.csv", _columns("ID bigint, VehicleCategory string, tseconds double, x double, y double, vx double, vy double, ax double, ay double"))
     t = t.withColumn("frame", geometry.seconds_to_frame(F.col("tseconds"), 1 / fps)).withColumnRenamed("VehicleCategory", "agent_type")
     by = W.partitionBy("rec_id")
-    t = t.withColumns({"frame": F.col("frame") - F.min("frame").over(by), "x": F.col("x") - F.min("x").over(by)})
-    # This source's class names.
-    names = {"car": "car", "van": "van", "truck": "truck", "bus": "bus", "motorcycle": "motorcycle"}
-    return canonicalize(t, ("tseconds",)).withColumns({"agent_type": codes.lookup(names, F.lower("agent_type"), "undefined"), "psi": geometry.heading(F.col("vx"), F.col("vy"))})
+    t = canonicalize(t, ("tseconds",))
+    t = t.withColumns({c: F.col(c) - F.min(c).over(by) for c in ("frame", "x", "track_id")})
+    kind = F.coalesce(codes.lookup(ROAD_CLASSES, F.col("agent_type")), F.lower("agent_type"))
+    t = t.withColumns({"agent_type": kind, "psi": geometry.heading(F.col("vx"), F.col("vy")), "driving_direction": F.lit(1)})
+    if lane_markings is None:
+        return t
+    first = codes.lookup({k: float(v.split(";")[0]) for k, v in lane_markings.items()}, F.col("rec_id"), 0.0)
+    t = t.withColumn("y", F.col("y") - first)
+    return fill_lane(t.withColumn("lane_id", assign_lane(F.col("y"), lane_width, lanes)))
 
 
 # Classes of the feet-based freeway recordings.
@@ -101,12 +158,22 @@ FREEWAY_CLASSES = {1: "motorcycle", 2: "car", 3: "truck"}
 
 
 def freeway_feet(spark: SparkSession, path: str) -> DataFrame:
-    """``trajectories*.csv`` in feet, any case of header; axes swapped to metres along and across the road."""
+    """``trajectories*.csv`` in feet, any case of header; axes swapped to metres along and across the road.
+
+    x begins at the recording's least, y at the first bound of its lane model; velocities, accelerations and headings
+    are not in the files and are 0.  A recording of fewer than three lanes has no model and keeps its y.
+    """
+    from ..operators.lanes import lane_model
+
     raw = _named_csv(spark, path, "trajectories*.csv", r"(.*)\.csv", _columns("vehicle_id bigint, frame_id int, local_x double, local_y double, v_class int, lane_id int"))
     kind = F.lit("undefined")
     for k, v in FREEWAY_CLASSES.items():
         kind = F.when(F.col("v_class") == k, v).otherwise(kind)
-    return raw.select("rec_id", F.col("vehicle_id").alias("track_id"), F.col("frame_id").alias("frame"), geometry.feet(F.col("local_y")).alias("x"), (-geometry.feet(F.col("local_x"))).alias("y"), "lane_id", kind.alias("agent_type"), F.lit(1).alias("driving_direction"))
+    zero = {c: F.lit(0.0) for c in ("vx", "vy", "ax", "ay", "psi")}
+    x = geometry.feet(F.col("local_y"))
+    t = raw.select("rec_id", F.col("vehicle_id").alias("track_id"), F.col("frame_id").alias("frame"), (x - F.min(x).over(W.partitionBy("rec_id"))).alias("x"), (-geometry.feet(F.col("local_x"))).alias("y"), "lane_id", kind.alias("agent_type"), F.lit(1).alias("driving_direction"))
+    low = lane_model(t).groupBy("rec_id").agg(F.min("y").alias("_y0"))  # a row for each recording
+    return t.join(low, "rec_id", "left").withColumn("y", F.col("y") - F.coalesce("_y0", F.lit(0.0))).drop("_y0").withColumns(zero)
 
 
 def derived_meta(tracks: DataFrame) -> DataFrame:
@@ -134,13 +201,13 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Type names of the scenario files that differ from the classes here.
-SCENARIO_CLASSES = {"vehicle": "car", "motorcyclist": "motorcycle", "cyclist": "bicycle", "riderless_bicycle": "bicycle", "static": "undefined", "background": "undefined", "construction": "undefined", "unknown": "undefined"}
+SCENARIO_CLASSES = {"vehicle": "car", "motorcyclist": "motorcycle", "cyclist": "bicycle", "unknown": "undefined"}
 
 
 def scenario_parquet(spark: SparkSession, path: str) -> DataFrame:
     """One Parquet file per scenario folder."""
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    rename = {"position_x": "x", "position_y": "y", "velocity_x": "vx", "velocity_y": "vy", "heading": "psi", "timestep": "frame"}
+    rename = {"position_x": "x", "position_y": "y", "velocity_x": "vx", "velocity_y": "vy", "heading": "psi", "timestep": "frame", "object_category": "category"}
     t = t.withColumn("rec_id", recording_of(r"(.*)\.parquet")).withColumnsRenamed(rename)
     kind = F.coalesce(codes.lookup(SCENARIO_CLASSES, F.col("object_type")), F.col("object_type"))
     return t.withColumn("agent_type", kind)
@@ -170,10 +237,19 @@ TOKEN_CATEGORIES = {
 }
 
 
+# Two-level statuses of the token tables.
+TOKEN_STATUSES = {
+    "vehicle": {"moving": "moving", "stopped": "stopped", "parked": "parked"},
+    "pedestrian": {"moving": "moving", "standing": "stopped", "sitting_lying_down": "stopped"},
+    "cycle": {"with_rider": "moving", "without_rider": "stopped"},
+}
+
+
 def token_tables(spark: SparkSession, path: str, ego: bool = True) -> DataFrame:
-    """Token-linked JSON tables: annotated agents, and the ego vehicle as track -1, by scene and sample ordinal.
+    """Token-linked JSON tables: annotated agents, and the ego vehicle as track ``ego``, by scene and sample ordinal.
 
-    A scene's samples are ranked by time, which is the order of their links.
+    A scene's samples are ranked by time, which is the order of their links.  The ego vehicle is where the first row of
+    a sample's data, in the order of the file, says.
     """
     read = lambda name, schema: spark.read.schema(schema).option("multiLine", True).json(f"{path}/{name}.json")
     scene = read("scene", "token string, log_token string, name string, first_sample_token string")
@@ -194,10 +270,11 @@ def token_tables(spark: SparkSession, path: str, ego: bool = True) -> DataFrame:
     columns = ["scene_name", "frame", "track_id", F.col("translation")[0].alias("x"), F.col("translation")[1].alias("y"), "full_category", F.coalesce("full_status", F.lit("unknown")).alias("full_status"), "map"]
     out = agents.withColumn("track_id", F.col("instance_token")).select(*columns)
     if ego:
-        first = data.groupBy("sample_token").agg(F.min_by("ego_pose_token", F.struct("timestamp", "token")).alias("pose"))
+        placed = data.withColumn("_row", F.monotonically_increasing_id())  # one file, read in one piece: its order
+        first = placed.groupBy("sample_token").agg(F.min_by("ego_pose_token", "_row").alias("pose"))
         own = at.join(first, "sample_token").join(pose.withColumnRenamed("token", "pose"), "pose")
         out = out.unionByName(own.withColumns({"track_id": F.lit("ego"), "full_category": F.lit("vehicle.ego"), "full_status": F.lit("unknown")}).select(*columns))
-    return out.withColumn("agent_type", codes.dotted_category(F.col("full_category"), TOKEN_CATEGORIES))
+    return out.withColumns({"agent_type": codes.dotted_category(F.col("full_category"), TOKEN_CATEGORIES), "status": codes.dotted_category(F.col("full_status"), TOKEN_STATUSES, "unknown")})
 
 
 def staged_scenes(spark: SparkSession, path: str, ego: bool = True) -> DataFrame:
