@@ -373,6 +373,31 @@ def test_sinks(spark, tmp_path):
         sinks.read_samples(spark, str(tmp_path / "out"), "test")
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_samples(s, str(tmp_path / "out"))
+    sinks.write_samples(s.unionByName(s.withColumn("start", F.lit(9))), str(tmp_path / "out"), resume=True)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
     t = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "scene_name string, v int")
     sinks.stage_scenes(t, {"train": ["a", "a"], "val": ["b"]}, str(tmp_path / "staged"))
     assert spark.read.option("header", True).csv(str(tmp_path / "staged")).select(F.countDistinct("scene_name")).first()[0] == 2
+
+
+def test_command_line(spark, tmp_path):
+    from trailmark import cli
+
+    args = cli.parser().parse_args(["etl", "-p", str(tmp_path / "in"), "--use-threads", "no", "-d", "--add-supp", "yes"])
+    assert (args.config, args.use_threads, args.debug, args.add_supp) == ("rounD", False, True, True)
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["etl", "--debug", "maybe"])
+    head = "trackId,frame,xCenter,yCenter,heading,xVelocity,yVelocity,xAcceleration,yAcceleration\n"
+    put(tmp_path / "in" / "00_tracks.csv", head + "".join(f"{i},{f},{i * 3 + f * 0.1},{i},0,1,0,0,0\n" for i in (1, 2) for f in range(1, 2400)))
+    put(tmp_path / "in" / "00_tracksMeta.csv", "trackId,class,initialFrame,finalFrame\n1,Car,1,2399\n2,Van,1,2399\n")
+    put(tmp_path / "in" / "00_recordingMeta.csv", "xUtmOrigin,yUtmOrigin\n0,0\n")
+    got = cli.samples_of(spark, args)
+    assert {r.split for r in got.select("split").distinct().collect()} == {"train", "val", "test"}
+    row = got.where("split = 'val'").first()
+    assert row.num_nodes == 2 and len(row.inp_rho[0]) == 75 and len(row.trg_x[0]) == 125 and all(row.sa_mask[0]) and all(row.ma_mask[1])
+    truth = spark.createDataFrame([(0, 1, t, float(t), 0.0, True) for t in range(3)], "scenario_id long, agent_id long, t int, x double, y double, valid boolean")
+    pred = truth.select("scenario_id", "agent_id", F.lit(0).alias("mode"), "t", "x", F.lit(1.0).alias("y"))
+    for name, d in (("truth", truth), ("pred", pred), ("prob", pred.select("scenario_id", "agent_id", "mode", F.lit(1.0).alias("prob")).distinct())):
+        d.write.parquet(str(tmp_path / "root" / name))
+    values = {r.metric: r.value for r in cli.metrics_of(spark, cli.parser().parse_args(["score", "-r", str(tmp_path / "root"), "-sd"])).collect()}
+    assert values["min_ade"] == 1.0 and values["miss_rate"] == 0.0 and values["collision_rate"] is None

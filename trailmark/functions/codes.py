@@ -77,3 +77,13 @@ def argmax(values: Column) -> Column:
 
 def scoring_category(of_interest: Column) -> Column:
     return F.when(of_interest, 3).otherwise(0).cast("int")
+
+
+def scored_categories(category: Column, sample: list[str], window) -> Column:
+    """True for samples in which more than one agent has a category to be scored by: the sum is above 3."""
+    return F.sum(category).over(window.partitionBy(*sample)) > 3
+
+
+def category_mask(category: Column, valid: Column) -> Column:
+    """Valid steps of agents whose category is above 1."""
+    return (category > 1) & valid

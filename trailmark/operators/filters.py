@@ -51,3 +51,11 @@ def unlabelled_targets(steps: DataFrame, features) -> DataFrame:
     """Samples of an unlabelled split: future values are 0, and ``has_target`` says that they are none."""
     future = F.col("part") == "trg"
     return steps.withColumns({f: F.when(future, F.lit(0.0)).otherwise(F.col(f)) for f in features} | {"has_target": F.lit(False)})
+
+
+def included(tracks: DataFrame, key: str, recordings: dict) -> DataFrame:
+    """Rows of the recordings that a configuration says to include; those that it does not name are left out."""
+    wanted = [k for k, c in recordings.items() if c.get("include")]
+    kind = tracks.schema[key].dataType.simpleString()
+    table = tracks.sparkSession.createDataFrame([(k,) for k in sorted(wanted)], f"{key} {kind}")
+    return tracks.join(F.broadcast(table), key, "left_semi")  # as long as the configuration

@@ -52,6 +52,11 @@ def normalize_direction(tracks: DataFrame, y_upper: float, y_lower: float) -> Da
     return tracks.withColumns(out)
 
 
+def map_of_direction(direction: Column) -> Column:
+    """Which of a recording's two maps a track drives on: the upper one in direction 1, else the lower one."""
+    return F.when(direction == 1, "upper").otherwise("lower")
+
+
 def assign_lane(y: Column, width: float, lanes: int, negative: int = 0) -> Column:
     """``ceil(y / width)``, null outside the road."""
     lane = F.ceil(y / F.lit(width)).cast("int")

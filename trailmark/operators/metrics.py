@@ -216,3 +216,31 @@ def ewta(pred, truth, winners: int, kind: str = "norm", delta: float = 1.0) -> D
 def masked_ade(pred, truth) -> DataFrame:
     """The distance averaged over all valid steps of all agents and modes at once."""
     return errors(pred, truth).agg(F.avg("d").alias("loss"), F.count("d").alias("n_steps"))
+
+
+def last_valid(truth: DataFrame) -> DataFrame:
+    """``last``: the last valid step of each agent, its last step where none is valid."""
+    return truth.groupBy(*AGENT).agg(F.coalesce(F.max(F.when(F.col("valid"), F.col("t"))), F.max("t")).alias("last"))
+
+
+class Running:
+    """A metric over batches: ``update`` adds a batch's sum and count of a per-agent value, ``compute`` divides them.
+
+    ``each(pred, truth, ...)`` gives a row for each agent with the value.  A batch is one small row; nothing else is kept.
+    """
+
+    def __init__(self, each, value: str):
+        self.each, self.value = each, value
+        self.parts: list[DataFrame] = []
+
+    def update(self, *tables: DataFrame) -> None:
+        self.parts.append(self.each(*tables).agg(F.sum(self.value).alias("s"), F.count(self.value).alias("n")))
+
+    def compute(self) -> DataFrame:
+        whole = self.parts[0]
+        for part in self.parts[1:]:
+            whole = whole.unionByName(part)
+        return whole.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"), F.sum("n").alias("n"))
+
+    def reset(self) -> None:
+        self.parts = []

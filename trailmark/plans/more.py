@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import codes, geometry
 from ..operators import filters as P
+from ..operators import lanes as L
 from ..operators import metrics as M
+from ..functions import grouped as U
 from ..operators import sampling as S
 from ..session import fresh as scratch
 from ..sources import sinks
@@ -38,15 +39,18 @@ def src_cases_csv(spark, sf_dir):
     return T.cases(spark, path).select("case_id", "track_id", "frame", "agent_type", "x")
 
 
-@query("src_staged_csv", f"WITH {TR} SELECT frame, track_id::VARCHAR AS track_id, x, y FROM tr WHERE rec_id IN (0, 1, 2) AND event_type <> 'error'")
+@query("src_staged_csv", f"WITH {TR} SELECT 'scene-' || rec_id AS scene_name, frame, track_id::VARCHAR AS track_id, x, y FROM tr WHERE rec_id % 7 <> 6 AND event_type <> 'error'")
 def src_staged_csv(spark, sf_dir):
     """Scenes of published lists staged as CSV, read again without second ego vehicles."""
     path = scratch(spark, "scenes")
     category = F.when(F.col("event_type") == "error", "vehicle.ego").otherwise("vehicle.car")
     none = [F.lit("u").alias(c) for c in ("agent_type", "status", "full_status", "map")]
-    rows = tracks(spark, sf_dir).select("frame", F.col("track_id").cast("string").alias("track_id"), "x", "y", none[0], category.alias("full_category"), *none[1:], F.concat(F.lit("scene-"), "rec_id").alias("scene_name"))
-    sinks.stage_scenes(rows, {"train": ["scene-0", "scene-1", "scene-1"], "val": ["scene-2"]}, path)
-    return T.staged_scenes(spark, f"{path}/*/*", ego=False).select("frame", "track_id", "x", "y")
+    t = tracks(spark, sf_dir)
+    rows = t.select("frame", F.col("track_id").cast("string").alias("track_id"), "x", "y", none[0], category.alias("full_category"), *none[1:], F.concat(F.lit("scene-"), "rec_id").alias("scene_name"))
+    every = sorted(r[0] for r in t.select("rec_id").distinct().collect())  # published lists name each scene
+    named = [f"scene-{i}" for i in every if i % 7 != 6]
+    sinks.stage_scenes(rows, {"train": named[::2] + named[:1], "val": named[1::2]}, path)
+    return T.staged_scenes(spark, f"{path}/*/*", ego=False).select("scene_name", "frame", "track_id", "x", "y")
 
 
 @query("sample_store", f"WITH {TR} SELECT CASE WHEN track_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(start)::BIGINT AS s FROM (SELECT track_id, min(frame) AS start FROM tr GROUP BY 1) GROUP BY 1")
@@ -116,27 +120,26 @@ def any_all_predicates(spark, sf_dir):
 @query("last_valid_step", f"WITH {PRED} SELECT scenario_id, agent_id, coalesce(max(t) FILTER (valid AND t < 3), 9)::INTEGER AS last FROM truth GROUP BY ALL")
 def last_valid_step(spark, sf_dir):
     truth = prediction_tables(spark, sf_dir)[0]
-    ok = F.col("valid") & (F.col("t") < 3)
-    return truth.groupBy("scenario_id", "agent_id").agg(F.coalesce(F.max(F.when(ok, F.col("t"))), F.lit(9)).cast("int").alias("last"))
+    return M.last_valid(truth.withColumn("valid", F.col("valid") & (F.col("t") < 3))).select("scenario_id", "agent_id", F.col("last").cast("int").alias("last"))
 
 
 @query("category_mask", f"WITH {PRED} SELECT scenario_id, agent_id, t::INTEGER AS t, (agent_id % 4 > 1 AND valid) AS mask FROM truth")
 def category_mask(spark, sf_dir):
     truth = prediction_tables(spark, sf_dir)[0]
-    return truth.select("scenario_id", "agent_id", F.col("t").cast("int").alias("t"), ((F.col("agent_id") % 4 > 1) & F.col("valid")).alias("mask"))
+    return truth.select("scenario_id", "agent_id", F.col("t").cast("int").alias("t"), codes.category_mask(F.col("agent_id") % 4, F.col("valid")).alias("mask"))
 
 
 @query("direction_map_choice", f"WITH {LANES} SELECT track_id, frame, CASE WHEN driving_direction = 1 THEN 'upper' ELSE 'lower' END AS map_id, track_id + 1 AS shifted FROM ln")
 def direction_map_choice(spark, sf_dir):
-    maps = spark.createDataFrame([(1, "upper"), (2, "lower")], "driving_direction int, map_id string")
-    return on_lanes(spark, sf_dir).join(F.broadcast(maps), "driving_direction").select("track_id", "frame", "map_id", (F.col("track_id") + 1).alias("shifted"))  # two rows
+    return on_lanes(spark, sf_dir).select("track_id", "frame", L.map_of_direction(F.col("driving_direction")).alias("map_id"), (F.col("track_id") + 1).alias("shifted"))
 
 
-@query("configuration_filter", f"WITH {TR} SELECT rec_id, count(*) AS n FROM tr WHERE rec_id IN (0, 2, 4) GROUP BY 1")
+@query("configuration_filter", f"WITH {TR} SELECT rec_id, count(*) AS n FROM tr WHERE rec_id % 3 <> 1 GROUP BY 1")
 def configuration_filter(spark, sf_dir):
-    recordings = {i: {"include": i % 2 == 0} for i in range(5)}
-    wanted = [i for i, c in recordings.items() if c["include"]]
-    return tracks(spark, sf_dir).where(F.col("rec_id").isin(wanted)).groupBy("rec_id").agg(F.count("*").alias("n"))
+    """Recordings that a configuration, which names them all, includes."""
+    t = tracks(spark, sf_dir)
+    recordings = {r[0]: {"include": r[0] % 3 != 1} for r in t.select("rec_id").distinct().collect()}
+    return P.included(t, "rec_id", recordings).groupBy("rec_id").agg(F.count("*").alias("n"))
 
 
 @query("column_selection", f"WITH {TR} SELECT track_id, frame, 0.0::DOUBLE AS ax, 1 AS driving_direction, lower(upper(event_type)) AS kind, split_part(event_type || '_x', '_', 1) AS head, starts_with(event_type, 'c') AS c FROM tr")
@@ -164,9 +167,36 @@ def zero_filled(spark, sf_dir):
 @query("track_filter_udf", f"WITH {TR} SELECT track_id, frame, round(x - avg(x) OVER (PARTITION BY track_id), 6) AS dx FROM tr QUALIFY max(y) OVER (PARTITION BY track_id) > 98")
 def track_filter_udf(spark, sf_dir):
     """Per-track transform and filter, as windows instead of functions of groups."""
-    w = W.partitionBy("track_id")
-    t = tracks(spark, sf_dir).withColumns({"dx": F.col("x") - F.avg("x").over(w), "_top": F.max("y").over(w)})
-    return t.where("_top > 98").select("track_id", "frame", F.round("dx", 6).alias("dx"))
+    t = U.transform_groups(tracks(spark, sf_dir), ["track_id"], {"dx": F.col("x") - F.avg("x").over(U.group("track_id"))})
+    return U.filter_groups(t, ["track_id"], F.max("y") > 98).select("track_id", "frame", F.round("dx", 6).alias("dx"))
+
+
+@query("user_functions", f"WITH {TR} SELECT track_id, frame, round(sum(x) OVER (PARTITION BY track_id ORDER BY frame), 4) AS total, (frame * 2)::BIGINT AS twice FROM tr QUALIFY count(*) OVER (PARTITION BY track_id) % 2 = 0")
+def user_functions(spark, sf_dir):
+    """Functions of one's own on columns, groups, and frames of groups."""
+    t = U.filter_with(tracks(spark, sf_dir).select("track_id", "frame", "x"), ["track_id"], lambda pdf: len(pdf) % 2 == 0)
+    t = U.transform_with(t, ["track_id"], "frame", "x", lambda x: x.cumsum(), "total")
+    return U.scalar(t, "frame", lambda f: f * 2, "twice", "bigint").select("track_id", "frame", F.round("total", 4).alias("total"), "twice")
+
+
+@query("user_table_function", f"WITH {TR} SELECT track_id, i::INTEGER AS i, repeat('x', i::INTEGER) AS s FROM (SELECT track_id, unnest(range(0, (track_id % 4)::BIGINT)) AS i FROM (SELECT DISTINCT track_id FROM tr))")
+def user_table_function(spark, sf_dir):
+    """A generator of rows as a table function, joined laterally."""
+    from ..sources.rows import register
+
+    register(spark, "upward", lambda n: ((i, "x" * i) for i in range(n)), "i int, s string")
+    tracks(spark, sf_dir).select("track_id").distinct().createOrReplaceTempView("track_ids")
+    return spark.sql("SELECT track_id, i, s FROM track_ids, LATERAL upward(track_id % 4)")
+
+
+@query("accumulated_metric", f"WITH {PRED} SELECT round(avg(ade), 6) AS value, count(*)::BIGINT AS n FROM best")
+def accumulated_metric(spark, sf_dir):
+    """A metric updated batch by batch and computed once."""
+    truth, pred, _ = prediction_tables(spark, sf_dir)
+    running = M.Running(lambda p, t: M.best_mode(M.mode_errors(p, t), "FDE"), "ade")
+    for part in range(2):
+        running.update(*(d.where(F.pmod("scenario_id", F.lit(2)) == part) for d in (pred, truth)))
+    return running.compute().select(F.round("value", 6).alias("value"), "n")
 
 
 @query("plugin_transforms", f"WITH {LANES} SELECT track_id, frame, round(vx, 6) AS vx, round(sqrt(x * x + y * y), 6) AS rho FROM ln")

@@ -96,7 +96,7 @@ def scoring_category(spark, sf_dir):
 
     of_interest = F.bool_or((F.col("event_type") == "purchase") & (F.col("y") > 90))
     each = tracks(spark, sf_dir).groupBy("rec_id", "track_id").agg(codes.scoring_category(of_interest).alias("category"))
-    return each.withColumn("_s", F.sum("category").over(W.partitionBy("rec_id"))).where("_s > 3").select("track_id", "category")
+    return each.withColumn("_s", codes.scored_categories(F.col("category"), ["rec_id"], W)).where("_s").select("track_id", "category")
 
 
 @query("edge_type_codes", f"""WITH {TR} SELECT track_id, frame, CASE event_type WHEN 'view' THEN CASE WHEN y < 50 THEN 7 ELSE 6 END WHEN 'click' THEN CASE WHEN y < 50 THEN 9 ELSE 8 END

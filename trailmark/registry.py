@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import graphs, more, motion, predictions, windows  # noqa: F401
+from .plans import formats, graphs, more, motion, predictions, windows  # noqa: F401
 from .plans.views import ORACLE_SQL, QUERIES  # noqa: F401

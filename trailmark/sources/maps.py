@@ -200,21 +200,22 @@ def layered_json(spark: SparkSession, path: str, ignore: tuple[str, ...] = (), l
     tables = {n: t for n, (t, _) in LAYERS.items()} | {"lane_divider": "lane_divider", "lane": "lane"}
     raw = spark.read.schema(schema + "".join(f", {t} {shape}" for t in tables.values())).option("multiLine", True).json(path)
     nodes = raw.select(F.explode("node").alias("n")).select(F.col("n.token").alias("node"), F.col("n.x").alias("x"), F.col("n.y").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    lines = raw.select(F.explode("line").alias("l")).select(F.col("l.token").alias("shape"), F.col("l.node_tokens").alias("tokens"))
-    rings = raw.select(F.explode("polygon").alias("l")).select(F.col("l.token").alias("shape"), F.concat("l.exterior_node_tokens", F.slice("l.exterior_node_tokens", 1, 1)).alias("tokens"))
+    lines = raw.select(F.explode("line").alias("l")).select(F.concat(F.lit("line "), F.col("l.token")).alias("shape"), F.col("l.node_tokens").alias("tokens"))
+    rings = raw.select(F.explode("polygon").alias("l")).select(F.concat(F.lit("polygon "), F.col("l.token")).alias("shape"), F.concat("l.exterior_node_tokens", F.slice("l.exterior_node_tokens", 1, 1)).alias("tokens"))
     rows = lambda t: raw.select(F.explode(t).alias("r"))
+    outline = lambda kind: F.concat(F.lit(f"{kind} "), F.col(f"r.{kind}_token")).alias("shape")
     plain, typed = [], []
     for name, (layer, kind) in LAYERS.items():
         if name not in ignore:
             each = rows(layer)
             if name == "stop_line":
                 each = each.where(valid_stop_line(F.col("r.stop_line_type"), F.col("r.traffic_light_tokens"), F.col("r.ped_crossing_tokens")))
-            plain.append(each.select(F.concat(F.lit(f"{name}-"), F.col("r.token")).alias("line_id"), F.coalesce("r.line_token", "r.polygon_token").alias("shape"), F.lit(_E[kind]).alias("edge_type")))
+            plain.append(each.select(F.concat(F.lit(f"{name}-"), F.col("r.token")).alias("line_id"), outline("line" if name in ("road_divider", "traffic_light") else "polygon"), F.lit(_E[kind]).alias("edge_type")))
     dividers = [] if "lane_divider" in ignore else [("lane_divider", "lane_divider_segments")]
     if "lane" not in ignore:
         dividers += [("lane", "left_lane_divider_segments"), ("lane", "right_lane_divider_segments")]
         if lane_polygons:
-            plain.append(rows("lane").select(F.concat(F.lit("lane-"), F.col("r.token")).alias("line_id"), F.col("r.polygon_token").alias("shape"), F.lit(_E[lane_polygons]).alias("edge_type")))
+            plain.append(rows("lane").select(F.concat(F.lit("lane-"), F.col("r.token")).alias("line_id"), outline("polygon"), F.lit(_E[lane_polygons]).alias("edge_type")))
     kinds = {k: _E[v] for k, v in SEGMENT_TYPES.items()}
     for layer, column in dividers:
         each = rows(layer).select(F.concat(F.lit(f"{column}-"), F.col("r.token")).alias("line_id"), F.posexplode(f"r.{column}").alias("pos", "s"))

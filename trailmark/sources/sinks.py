@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_samples(samples: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Samples as Parquet, a folder for each split; existing data is an error unless it is to be overwritten."""
+def write_samples(samples: DataFrame, path: str, overwrite: bool = False, resume: bool = False) -> None:
+    """Samples as Parquet, a folder for each split; existing data is an error unless it is overwritten or resumed.
+
+    ``resume`` adds the samples whose ids are not there yet, as after an export that was broken off.
+    """
     named = samples.withColumn("sample_id", F.concat_ws("-", "rec_id", "target_id", "start"))
-    named.write.partitionBy("split").mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    if resume:
+        spark = samples.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            there = spark.read.parquet(path).select("split", "sample_id")
+            named = named.join(there, ["split", "sample_id"], "left_anti")
+    mode = "append" if resume else "overwrite" if overwrite else "errorifexists"
+    named.write.partitionBy("split").mode(mode).parquet(path)
 
 
 def read_samples(spark, path: str, split: str, small: bool = False) -> DataFrame:
