@@ -91,6 +91,53 @@ def test_join_with_small_blocks(docs_of, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_join_of_large_clusters(docs_of, spark, monkeypatch, block):
+    """A hot cluster of many blocks with a chain through it, sets that are apart from it, and several partitions."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "LEAST", 64)
+    rng = random.Random(block)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    rows = [(i, " ".join(mutated(rng, base, rng.randrange(0, 6)))) for i in range(50)]
+    far = list(base)
+    for i in range(30):  # a chain that leads away, each text linked with its neighbours
+        far = mutated(rng, far, 5)
+        rows.append((100 + i, " ".join(far)))
+    rows += [(200 + i, " ".join(mutated(rng, base, 60))) for i in range(20)]  # share segments, but are linked with nothing
+    rows += [(300 + i, rows[i][1]) for i in range(0, 50, 7)]
+    rng.shuffle(rows)
+    got = J.ngram_join(docs_of(rows).repartition(5), k=3, num=90, den=100).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 90, 100)
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    """A first hash of two values only: all sets share it, and the second one tells them apart."""
+    import pyarrow as pa
+
+    true = J._identity
+    monkeypatch.setattr(J, "_identity", lambda g, f, salt: true(g, f, salt) & 1 if salt == 0x5851F42D4C957F2D else true(g, f, salt))
+    texts = [t for _, t in corpus(3, groups=6, copies=4)] + ["a b c"] * 2
+    grams, first = J.sets(*J.X.utf8(pa.array(texts)), 3)
+    rows = [(i, 1, int(a), int(b), b"") for i, (a, b) in enumerate(zip(J.nodes(grams, first), J.checks(grams, first), strict=True))] + [(99, 0, None, None, b"")]
+    light, twins = J._told_apart(spark.createDataFrame(rows, "doc_id long, n_shingles long, node long, check long, sketch binary"))
+    assert twins.tolist() == [0, 1]
+    got = {r.doc_id: r.node for r in light.collect()}
+    assert got[99] is None and [got[i] for i in range(len(texts))] == J.nodes(grams, first, twins).tolist()
+    assert len({got[i] for i in range(len(texts))}) == len(set(texts))
+
+
+def test_keep_one_with_clashing_names(docs_of):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l")]
+    for names in (("_gone", "_node", "_id"), ("_GONE", "_Node", "root"), ("node", "least", "cluster")):
+        for ids in (rows, [*rows, (3, "m n o p q r")]):
+            docs = docs_of(ids)
+            for n in names:
+                docs = docs.withColumn(n, docs.doc_id * 2)
+            kept = J.keep_one(docs)
+            assert kept.columns == docs.columns
+            assert sorted((r.doc_id, r[names[0]]) for r in kept.collect()) == sorted((i, 2 * i) for i, _ in ids if i != 2)
+
+
 def test_join_of_odd_rows(docs_of, odd_rows):
     got = sorted(map(tuple, J.ngram_join(docs_of(odd_rows), k=3, num=90, den=100).collect()))
     assert got == brute_components(odd_rows, 3, 90, 100)

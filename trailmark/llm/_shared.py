@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder of this session."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a folder of this session.
+
+    On a cluster it must be set: files in a machine's own folder would be lost without notice.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("trailmark.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("trailmark.shared.dir", found)
     return found.rstrip("/")
@@ -38,6 +43,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(taken, name: str) -> str:
+    """A column name that is not taken, in any case of letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def broadcast_value(spark: SparkSession, value):
     """A broadcast of a value whose size the caller has bounded."""
     return spark.sparkContext.broadcast(value)

@@ -11,12 +11,18 @@ documents share (passages, licence lines) are left out too, of sets that have en
 Sets that meet, directly or through others, form a cluster.  Clusters are first screened by sketches: the
 numbers of n-grams in cells of the order bound the difference of two sets from below, so
 pairs that cannot reach the threshold no longer hold a cluster together.  In the clusters that remain the
-overlap of all pairs is counted fragment by fragment (a product of incidence matrices for each fragment of the order) and summed
+overlap of pairs is counted fragment by fragment (a product of incidence matrices for each fragment of the order) and summed
 per pair, and a spanning forest of the pairs that reach the threshold is kept: components need no
-more, so copies are never expanded into pairs.  Clusters of more than ``BLOCK`` sets are cut, ordered by
-size, into blocks both times, and pairs of blocks whose sizes can match are worked on apart.
+more, so copies are never expanded into pairs.
 
-Equal sets are one node from the start.
+Clusters of more than ``BLOCK`` sets are cut, ordered by size, into blocks, both times.  First each block is
+worked on by itself, then one set of every component found so far against the others, and last what is still
+apart from its cluster's largest component against the whole cluster; pairs of blocks meet only where sizes
+can match.  So a large cluster whose sets are linked costs as much as its size, and its square is paid only
+for sets that are not.  Blocks are cut within ranges of the sorted rows: no task holds a cluster.
+
+Equal sets are one node from the start.  A node is a 64-bit hash; sets are told apart by a second, independent one,
+and nodes that two sets share are replaced by another hash for both.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as X
-from ._shared import broadcast_value, written
+from ._shared import broadcast_value, dropped, free_name, written
 from .components import components
 
 BLOCK, LEAST = 512, 1024
@@ -71,13 +77,28 @@ def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return out[new], edge[first]
 
 
-def nodes(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each set."""
+def _identity(grams: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each set; other salts give independent ones."""
     total = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(X.mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    np.cumsum(X.mix(grams ^ np.uint64(salt)), out=total[1:])
     return X.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
+def nodes(grams: np.ndarray, first: np.ndarray, twins: np.ndarray | None = None) -> np.ndarray:
+    """The identity of each set; ``twins`` are sorted hashes that unlike sets share, whose sets get another."""
+    node = _identity(grams, first, 0x5851F42D4C957F2D)
+    if twins is not None and len(twins):
+        shared = X.member(node, twins) >= 0
+        if shared.any():
+            node[shared] = X.mix((checks(grams, first) ^ node).view(np.uint64)).view(np.int64)[shared]
+    return node
+
+
+def checks(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A second hash of each set, by which sets of one node are told apart."""
+    return _identity(grams, first, 0x2545F4914F6CDD1D)
+
+
 @lru_cache(maxsize=4096)
 def scheme(size_class: int, num: int, den: int) -> tuple[int, int, int, int, int]:
     """Of a class of sizes: least and greatest size, number of fragments, short ones allowed, least long segment."""
@@ -258,14 +279,36 @@ def _light(k: int):
             for part in X.slices(batch, "text"):
                 grams, first = sets(*X.utf8(part.column("text")), k)
                 n = np.diff(first)
-                node = pa.array(nodes(grams, first), pa.int64(), mask=n == 0)
+                node, check = (pa.array(f(grams, first), pa.int64(), mask=n == 0) for f in (nodes, checks))
                 blobs = sketches(grams, first)
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), node, pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), node, check, pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "node", "check", "sketch"])
 
     return run
 
 
-def _dealer(k: int, num: int, den: int, parts: int, common):
+def _told_apart(light: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Rows with nodes that no two unlike sets share, and the hashes that were shared (a few at most, whatever the input)."""
+    found = light.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
+    twins = sorted(r[0] for r in found.select("node").toLocalIterator())
+    if not twins:
+        return light.drop("check"), np.zeros(0, np.int64)
+    shared = broadcast_value(light.sparkSession, np.array(twins, np.int64))
+
+    def run(batches):
+        for batch in batches:
+            node = batch.column("node").fill_null(0).to_numpy(zero_copy_only=False).copy()
+            check = batch.column("check").fill_null(0).to_numpy(zero_copy_only=False)
+            empty = np.asarray(batch.column("node").is_null())
+            hit = (X.member(node, shared.value) >= 0) & ~empty
+            node[hit] = X.mix((check ^ node).view(np.uint64)).view(np.int64)[hit]
+            names = [c for c in batch.schema.names if c != "check"]
+            yield pa.record_batch([pa.array(node, pa.int64(), mask=empty) if c == "node" else batch.column(c) for c in names], names)
+
+    kept = light.drop("check").schema
+    return light.mapInArrow(run, kept), np.array(twins, np.int64)
+
+
+def _dealer(k: int, num: int, den: int, parts: int, common, twins: np.ndarray):
     """Packed segments, one row for each part of some texts; equal sets among those count once.
 
     A row has the 48 low bits of its signatures (the part has the high ones) and, for each, the place of its
@@ -280,7 +323,7 @@ def _dealer(k: int, num: int, den: int, parts: int, common):
                     grams, first = sets(*X.utf8(part.column("text")), k)
                     s, i = segments(grams, first, num, den, common.value)
                     sig.append(s)
-                    node.append(nodes(grams, first)[i])
+                    node.append(nodes(grams, first, twins)[i])
                 yield _packed(np.concatenate(sig), np.concatenate(node), parts)
 
     return run
@@ -332,35 +375,21 @@ def _meet(batches):
         yield pa.record_batch([pa.array(pair[i : i + 100_000, 0]), pa.array(pair[i : i + 100_000, 1])], ["a", "b"])
 
 
-def _setter(k: int):
-    """The n-grams of each text's set, once for each group that its set works in."""
+def _setter(k: int, twins: np.ndarray):
+    """The n-grams of each text's set, where the text still has the set that the row was made for."""
 
     def run(batches):
         for batch in batches:
             for part in X.slices(batch, "text"):
                 grams, first = sets(*X.utf8(part.column("text")), k)
-                same = nodes(grams, first) == part.column("node").to_numpy()
-                cluster, i, j, node, blobs = [], [], [], [], []
-                for row in np.flatnonzero(same).tolist():
-                    blob = grams[first[row] : first[row + 1]].tobytes()
-                    for at in part.column("work")[row].as_py():
-                        cluster.append(at["cluster"])
-                        i.append(at["i"])
-                        j.append(at["j"])
-                        node.append(part.column("node")[row].as_py())
-                        blobs.append(blob)
-                    if len(blobs) * len(blob) > X.SLICE:
-                        yield _work_rows(cluster, i, j, node, blobs)
-                        cluster, i, j, node, blobs = [], [], [], [], []
-                yield _work_rows(cluster, i, j, node, blobs)
+                same = nodes(grams, first, twins) == part.column("node").to_numpy()
+                kept = part.filter(pa.array(same)).drop_columns(["text"])
+                blobs = [grams[a:b].tobytes() for a, b in zip(first[:-1][same].tolist(), first[1:][same].tolist(), strict=True)]
+                yield kept.append_column("value", pa.array(blobs, pa.binary()))
 
     return run
 
 
-def _work_rows(cluster, i, j, node, blobs) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(cluster, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(node, pa.int64()), pa.array(blobs, pa.binary())], ["cluster", "i", "j", "node", "grams"])
-
-
 def overlaps(arrays: list[np.ndarray]) -> np.ndarray:
     """The sizes of the intersections of all pairs, counted fragment by fragment of the order and summed."""
     m = len(arrays)
@@ -446,55 +475,120 @@ def screen(ids: list[int], rows: list[tuple[int, bytes]], num: int, den: int) ->
     return out
 
 
-def _by_group(column, decide):
-    """Rows come ordered by group; a group has two blocks at most."""
+def _by_group(decide):
+    """Edges ``cluster, a, b`` of each group; rows come ordered by group, and a group has two blocks at most."""
 
     def run(batches):
         key, ids, values = None, [], []
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = []
-            for c, i, j, node, value in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", "node")), column(batch), strict=True):
+            columns = (batch.column(x).to_pylist() for x in ("cluster", "i", "j", "node", "n", "value"))
+            for c, i, j, node, n, value in zip(*columns, strict=True):
                 if key != (c, i, j):
-                    out += decide(ids, values) if len(ids) > 1 else []
+                    out += _edges(decide, key, ids, values)
                     key, ids, values = (c, i, j), [], []
                 if not ids or ids[-1] != node:
                     ids.append(node)
-                    values.append(value)
+                    values.append((n, value))
             yield _pairs(out)
-        yield _pairs(decide(ids, values) if len(ids) > 1 else [])
+        yield _pairs(_edges(decide, key, ids, values))
 
     return run
 
 
+def _edges(decide, key, ids: list[int], values: list) -> list[tuple[int, int, int]]:
+    return [(key[0], a, b) for a, b in decide(ids, values)] if len(ids) > 1 else []
+
+
+def _pairs(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([e[x] for e in edges], pa.int64()) for x in range(3)], ["cluster", "a", "b"])
+
+
 def _screener(num: int, den: int):
-    return _by_group(lambda b: zip(b.column("n").to_pylist(), b.column("sketch").to_pylist(), strict=True), lambda ids, rows: screen(ids, rows, num, den))
+    return lambda ids, rows: screen(ids, rows, num, den)
 
 
 def _counter(num: int, den: int):
-    return _by_group(lambda b: (np.frombuffer(x, np.uint64) for x in b.column("grams").to_pylist()), lambda ids, arrays: forest(ids, arrays, num, den))
+    return lambda ids, rows: forest(ids, [np.frombuffer(blob, np.uint64) for _, blob in rows], num, den)
+
+
+def _blocked(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (``cluster, node, n, ..``), written with ``block``: those of a cluster in the order of size, cut where enough have come.
+
+    A block has at most BLOCK sets, and fewer large ones: as many as have BLOCK * LEAST n-grams, or one.  Rows are
+    put into ranges of (cluster, n, node) and counted within them, so a block ends where a range does.
+    """
+    weight = F.greatest(F.col("n"), F.lit(LEAST))
+    ranged = rows.repartitionByRange("cluster", "n", "node").withColumn("_p", F.spark_partition_id())
+    spot = F.sum(weight).over(W.partitionBy("cluster", "_p").orderBy("n", "node")) - weight
+    block = F.shiftleft(F.col("_p").cast("long"), 32) + F.floor(spot / (BLOCK * LEAST))
+    return written(ranged.withColumn("block", block).drop("_p"), name)
+
+
+def _spans(blocked: DataFrame) -> DataFrame:
+    """``cluster, block, lo, hi`` of blocks: several hundred times fewer than sets where clusters are large."""
+    return blocked.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
 
-def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+def _together(left: DataFrame, right: DataFrame, num: int, den: int, once: bool) -> DataFrame:
+    """``cluster, i, j``: blocks of the left and of the right side whose sizes can match; each pair ``once`` if both sides are one."""
+    a = left.select("cluster", F.col("block").alias("i"), F.col("lo").alias("_a"), F.col("hi").alias("_b"))
+    b = right.select("cluster", F.col("block").alias("j"), F.col("lo").alias("_c"), F.col("hi").alias("_d"))
+    can = (F.col("_c") * num <= F.col("_b") * den) & (F.col("_a") * num <= F.col("_d") * den)
+    return a.join(b, "cluster").where((F.col("i") <= F.col("j")) & can if once else can).select("cluster", "i", "j")
 
 
-def _groups(clusters: DataFrame, num: int, den: int) -> DataFrame:
-    """``cluster, i, j`` and a cluster's other columns: which sets work together.
+def _decided(work: DataFrame, decide) -> DataFrame:
+    """Edges of the groups ``cluster, i, j`` of rows with ``node, n, value``."""
+    dealt = work.select("cluster", "i", "j", "node", "n", "value").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    return dealt.mapInArrow(_by_group(decide), "cluster long, a long, b long")
 
-    A cluster of one block is one group; else each pair of blocks whose sizes can match is one.  A block has
-    at most BLOCK sets, and fewer large ones: as many as have BLOCK * LEAST n-grams, or one.
+
+def connect(blocked: DataFrame, values: DataFrame, decide, num: int, den: int, temporary: list[DataFrame]) -> DataFrame:
+    """``a, b``: edges that connect all that ``decide`` connects within each cluster.
+
+    ``blocked(cluster, node, n, block)`` and ``values(cluster, node, n, block, value)`` have a row for each set.  Tables that are
+    written on the way are added to ``temporary``.
     """
-    weight = F.greatest(F.col("n"), F.lit(LEAST))
-    spot = F.sum(weight).over(W.partitionBy("cluster").orderBy("n", "node")) - weight
-    placed = clusters.withColumn("block", F.floor(spot / (BLOCK * LEAST)).cast("int"))
-    # blocks of several are few: those of clusters with more than BLOCK sets
-    blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one = blocks.select("cluster", F.col("block").alias("i"), F.col("hi").alias("most"))
-    two = blocks.select("cluster", F.col("block").alias("j"), F.col("lo").alias("least"))
-    reach = (F.col("i") < F.col("j")) & (F.col("least") * num <= F.col("most") * den)
-    pairs = one.join(two, "cluster").where(reach | (F.col("i") == F.col("j"))).select("cluster", "i", "j")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        temporary.append(written(df, name))
+        return temporary[-1]
+
+    alone = keep(_decided(values.withColumnsRenamed({"block": "i"}).withColumn("j", F.col("i")), decide), "alone")
+    spans = keep(_spans(blocked), "spans")
+    many = spans.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1").select("cluster")
+    if many.isEmpty():
+        return alone.select("a", "b")
+    members = keep(blocked.select("cluster", "node", "n", "block").join(many, "cluster", "left_semi"), "large")
+    own = values.join(many, "cluster", "left_semi").select("node", "value")
+    first = alone.join(many, "cluster", "left_semi").select("a", "b")
+    # one set of each component against the others
+    hubs = _labelled(members, first).where("node = root").drop("root", "block")
+    hubs = _blocked(hubs, "hubs")
+    temporary.append(hubs)
+    pairs = _together(_spans(hubs), _spans(hubs), num, den, once=True)
     sides = pairs.withColumn("block", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))))
-    return placed.join(sides, ["cluster", "block"]).drop("block")
+    second = keep(_decided(hubs.join(sides, ["cluster", "block"]).join(own, "node"), decide), "between")
+    # what is still apart from its cluster's largest component, against the whole cluster
+    labelled = keep(_labelled(members, first.unionByName(second.select("a", "b"))), "labelled")
+    largest = labelled.groupBy("cluster", "root").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.max_by("root", F.struct("_n", "root")).alias("_most"))
+    rest = labelled.join(largest, "cluster").where(F.col("root") != F.col("_most")).select("cluster", "node", "n")
+    rest = _blocked(rest, "rest")
+    temporary.append(rest)
+    if rest.isEmpty():
+        return alone.select("a", "b").unionByName(second.select("a", "b"))
+    pairs = keep(_together(spans.join(many, "cluster", "left_semi"), _spans(rest), num, den, once=False), "pairs")
+    one = members.join(pairs.withColumnRenamed("i", "block"), ["cluster", "block"]).select("cluster", F.col("block").alias("i"), "j", "node", "n")
+    two = rest.join(pairs.withColumnRenamed("j", "block"), ["cluster", "block"]).select("cluster", "i", F.col("block").alias("j"), "node", "n")
+    third = keep(_decided(one.unionByName(two).join(own, "node"), decide), "last")
+    return alone.select("a", "b").unionByName(second.select("a", "b")).unionByName(third.select("a", "b"))
+
+
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members with ``root``: the least node of what edges connect, their own where nothing does."""
+    roots = components(edges)
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _clusters(edges: DataFrame) -> DataFrame:
@@ -502,38 +596,45 @@ def _clusters(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
 
 
-def links(docs: DataFrame, light: DataFrame, *, k: int, num: int, den: int) -> DataFrame:
-    """``a, b``: edges between nodes that connect what the links connect.  docs has doc_id, text."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    common = broadcast_value(docs.sparkSession, common_grams(docs, light, k))
-    dealt = docs.select("text").mapInArrow(_dealer(k, num, den, parts, common), "part int, low binary, high binary, place binary, held binary")
+def links(docs: DataFrame, light: DataFrame, twins: np.ndarray, *, k: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``a, b``: edges between nodes that connect what the links connect, and the tables written for them.  docs has doc_id, text."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    temporary: list[DataFrame] = []
+    common = broadcast_value(spark, common_grams(docs, light, k))
+    dealt = docs.select("text").mapInArrow(_dealer(k, num, den, parts, common, twins), "part int, low binary, high binary, place binary, held binary")
     met = dealt.repartition(parts, "part").mapInArrow(_meet, "a long, b long")
-    holders = light.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
-    rough = written(_clusters(met).join(holders, "node"), "rough")
-    work = _groups(rough.drop("doc_id"), num, den).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    near = work.select("cluster", "i", "j", "node", "n", "sketch").mapInArrow(_screener(num, den), "a long, b long")
-    fine = written(_clusters(near).join(rough.select("node", "n", "doc_id"), "node"), "fine")
-    todo = _groups(fine, num, den).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("cluster", "i", "j")).alias("work"))
-    texts = docs.join(todo.hint("merge"), "doc_id").select("node", "work", "text")  # grows with the input: never broadcast
+    holders = light.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("sketch").alias("value"))
+    rough = _blocked(_clusters(met).join(holders, "node"), "rough")
+    temporary.append(rough)
+    near = connect(rough, rough, _screener(num, den), num, den, temporary)
+    fine = _blocked(_clusters(near).join(rough.select("node", "n", "doc_id"), "node"), "fine")
+    temporary.append(fine)
+    texts = docs.join(fine.hint("merge"), "doc_id").select("cluster", "node", "n", "block", "text")  # grows with the input: never broadcast
     if not light.where(F.col("doc_id").isNull() & F.col("node").isNotNull()).isEmpty():
         # sets that only rows without an id hold are found by the set itself
-        bare = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(_tagger(k, "text"), "text string, _node long")
+        bare = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(_tagger(k, "text", "_node", twins), "text string, _node long")
         bare = bare.where(F.col("_node").isNotNull()).dropDuplicates(["_node"])
-        held = todo.where(F.col("doc_id").isNull()).select("node", "work")
-        texts = texts.unionByName(bare.join(held.hint("merge"), F.col("_node") == F.col("node")).select("node", "work", "text"))
-    grams = texts.mapInArrow(_setter(k), "cluster long, i int, j int, node long, grams binary")
-    work = grams.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return work.mapInArrow(_counter(num, den), "a long, b long")
+        held = fine.where(F.col("doc_id").isNull()).drop("doc_id")
+        texts = texts.unionByName(bare.join(held.hint("merge"), F.col("_node") == F.col("node")).select("cluster", "node", "n", "block", "text"))
+    grams = written(texts.mapInArrow(_setter(k, twins), "cluster long, node long, n long, block long, value binary"), "grams")
+    temporary.append(grams)
+    return connect(fine, grams, _counter(num, den), num, den, temporary), temporary
 
 
-def _membership(base: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_shingles, node, root, least``: each row's set, its component and the least id there."""
+def _membership(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, n_shingles, node, root, least``: each row's set, its component and the least id there; and the shared hashes."""
+    spark = base.sparkSession
     kind = base.schema["doc_id"].dataType.simpleString()
-    light = written(base.mapInArrow(_light(k), f"doc_id {kind}, n_shingles long, node long, sketch binary"), "sets")
-    roots = components(links(base, light, k=k, num=num, den=den))
+    light = written(base.mapInArrow(_light(k), f"doc_id {kind}, n_shingles long, node long, check long, sketch binary"), "sets")
+    light, twins = _told_apart(light)
+    edges, temporary = links(base, light, twins, k=k, num=num, den=den)
+    roots = components(edges)  # written: the tables before it are not read again
+    for table in temporary:
+        dropped(spark, table)
     mapped = light.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = mapped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return mapped.join(least, "root", "left")
+    return mapped.join(least, "root", "left"), twins
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -546,38 +647,41 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     empty table gives no rows.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return _membership(base, k, num, den).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return _membership(base, k, num, den)[0].select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without their near duplicates: of each component the row with the least id stays.
 
-    Rows without words are in no component and stay.  Where rows share that least id, one of them stays.
-    Null ids come after all others: a row with one stays only if no row of its component has an id, and then
-    one row does.  All columns are kept.
+    Rows without words (null and empty texts among them) are in no component and stay.  Where rows share that least id,
+    one of them stays.  Null ids come after all others: a row with one stays only if no row of its component has an id,
+    and then one row does.  Texts of any length are compared whole.  All columns are kept, whatever their names; an
+    empty table gives no rows.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = written(_membership(base, k, num, den), "members")
-    gone = found.where(F.col("root").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone_id, node_id, row_id = (free_name(docs.columns, n) for n in ("_gone", "_node", "_id"))
+    members, twins = _membership(base, k, num, den)
+    found = written(members, "members")
+    gone = found.where(F.col("root").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col(gone_id), "left_anti")
     again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("root").alias("worded")).where("worded > 0 AND (n > 1 OR doc_id IS NULL)")
     if again.isEmpty():
         return kept
     # equal ids with different texts, or none: rows are told apart by their sets, and each component keeps one row
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
     chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("one"))
-    chosen = chosen.select(F.col("one.doc_id").alias("_id"), F.col("one.node").alias("_node"))
-    tagged = docs.mapInArrow(_tagger(k, text), StructType([*docs.schema.fields, StructField("_node", LongType())]))
-    bare = tagged.where(F.col("_node").isNull())
-    worded = tagged.join(chosen, "_node").where(F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["_node"])
-    return bare.unionByName(worded).drop("_node")
+    chosen = chosen.select(F.col("one.doc_id").alias(row_id), F.col("one.node").alias(node_id))
+    tagged = docs.mapInArrow(_tagger(k, text, node_id, twins), StructType([*docs.schema.fields, StructField(node_id, LongType())]))
+    bare = tagged.where(F.col(node_id).isNull())
+    worded = tagged.join(chosen, node_id).where(F.col(doc_id).eqNullSafe(F.col(row_id))).drop(row_id).dropDuplicates([node_id])
+    return bare.unionByName(worded).drop(node_id)
 
 
-def _tagger(k: int, text: str):
+def _tagger(k: int, text: str, name: str, twins: np.ndarray):
     def run(batches):
         for batch in batches:
             for part in X.slices(batch, text):
                 grams, first = sets(*X.utf8(part.column(text)), k)
-                yield part.append_column("_node", pa.array(nodes(grams, first), pa.int64(), mask=np.diff(first) == 0))
+                yield part.append_column(name, pa.array(nodes(grams, first, twins), pa.int64(), mask=np.diff(first) == 0))
 
     return run
