@@ -95,7 +95,7 @@ def test_join_with_small_blocks(docs_of, monkeypatch):
 def test_join_of_large_clusters(docs_of, spark, monkeypatch, block):
     """A hot cluster of many blocks with a chain through it, sets that are apart from it, and several partitions."""
     monkeypatch.setattr(J, "BLOCK", block)
-    monkeypatch.setattr(J, "LEAST", 64)
+    monkeypatch.setattr(J, "FEW", 1 if block == 4 else 2)
     rng = random.Random(block)
     base = [f"w{rng.randrange(900)}" for _ in range(300)]
     rows = [(i, " ".join(mutated(rng, base, rng.randrange(0, 6)))) for i in range(50)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._shared import dropped, written
@@ -31,12 +31,20 @@ def components(edges: DataFrame) -> DataFrame:
     the number of turns grows with the logarithm of the longest path.
     """
     spark = edges.sparkSession
-    at = written(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
-    before = None
-    while True:
-        now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
-        if now == before or now[0] == 0:
-            return at.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    at, now = _observed(edges.select("a", "b").where(F.col("a") != F.col("b")), "edges")
+    while now[0]:
         before, old = now, at
-        at = written(_small(_large(at).distinct()).distinct(), "stars")
+        at, now = _observed(_small(_large(at)).distinct(), "stars")
         dropped(spark, old)
+        if now == before:
+            break
+    return at.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _observed(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """Edges, written, and their number with two sums of hashes, by which a turn that changes nothing is known."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x"), F.sum(F.xxhash64("b", "a") % 998_244_353).alias("y")
+    table = written(edges.observe(seen, *sums), name)
+    found = seen.get
+    return table, (found["n"], found["x"], found["y"])

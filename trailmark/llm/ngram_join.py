@@ -15,10 +15,10 @@ overlap of pairs is counted fragment by fragment (a product of incidence matrice
 per pair, and a spanning forest of the pairs that reach the threshold is kept: components need no
 more, so copies are never expanded into pairs.
 
-Clusters of more than ``BLOCK`` sets are cut, ordered by size, into blocks, both times.  First each block is
-worked on by itself, then one set of every component found so far against the others, and last what is still
-apart from its cluster's largest component against the whole cluster; pairs of blocks meet only where sizes
-can match.  So a large cluster whose sets are linked costs as much as its size, and its square is paid only
+Clusters of more than ``BLOCK`` sets are cut, ordered by size, into blocks, both times, and pairs of blocks meet
+where sizes can match.  In clusters of more than ``FEW`` blocks each is first worked on by itself, then one set of
+every component found so far against the others, and last what is still apart from its cluster's largest
+component against the whole cluster.  So a large cluster whose sets are linked costs as much as its size, and its square is paid only
 for sets that are not.  Blocks are cut within ranges of the sorted rows: no task holds a cluster.
 
 Equal sets are one node from the start.  A node is a 64-bit hash; sets are told apart by a second, independent one,
@@ -33,16 +33,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import _text as X
 from ._shared import broadcast_value, dropped, free_name, written
 from .components import components
 
 BLOCK, LEAST = 512, 1024
+#: Clusters of at most so many blocks have all pairs of them worked on at once.
+FEW = 8
 #: A sketch has two to the power of at least and at most so many cells; sets have two to four n-grams a cell.
 CELL_BITS = (5, 13)
 #: Text handled at once when segments are dealt out.
@@ -250,7 +253,7 @@ def common_grams(docs: DataFrame, light: DataFrame, k: int) -> np.ndarray:
 
     dealt = docs.select("text").mapInArrow(deal, "part int, bits binary, counts binary").repartition(parts, "part")
     flags = np.zeros(1 << MARK_BITS, bool)
-    for row in dealt.mapInArrow(add, "bits binary").toLocalIterator():  # at most MARK_SAMPLE / least numbers in all
+    for row in dealt.mapInArrow(add, "bits binary").collect():  # at most MARK_SAMPLE / least numbers in all
         flags[np.frombuffer(row[0], np.uint32)] = True
     return np.packbits(flags, bitorder="little")
 
@@ -289,7 +292,7 @@ def _light(k: int):
 def _told_apart(light: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Rows with nodes that no two unlike sets share, and the hashes that were shared (a few at most, whatever the input)."""
     found = light.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
-    twins = sorted(r[0] for r in found.select("node").toLocalIterator())
+    twins = sorted(r[0] for r in found.select("node").collect())
     if not twins:
         return light.drop("check"), np.zeros(0, np.int64)
     shared = broadcast_value(light.sparkSession, np.array(twins, np.int64))
@@ -512,17 +515,49 @@ def _counter(num: int, den: int):
     return lambda ids, rows: forest(ids, [np.frombuffer(blob, np.uint64) for _, blob in rows], num, den)
 
 
-def _blocked(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (``cluster, node, n, ..``), written with ``block``: those of a cluster in the order of size, cut where enough have come.
+def _blocked(rows: DataFrame, name: str, kind: Column | int = 0) -> DataFrame:
+    """Rows (``cluster, node, n, ..``), written, with ``block``: those of a cluster and kind in the order of size, cut where enough have come.
 
     A block has at most BLOCK sets, and fewer large ones: as many as have BLOCK * LEAST n-grams, or one.  Rows are
-    put into ranges of (cluster, n, node) and counted within them, so a block ends where a range does.
+    put into ranges of (cluster, kind, n, node), and each row gets the sum of those before it in its range.  Only the first
+    and the last group of a range can go on in another one; what they add there, two numbers for each range at most,
+    is broadcast.
     """
-    weight = F.greatest(F.col("n"), F.lit(LEAST))
-    ranged = rows.repartitionByRange("cluster", "n", "node").withColumn("_p", F.spark_partition_id())
-    spot = F.sum(weight).over(W.partitionBy("cluster", "_p").orderBy("n", "node")) - weight
-    block = F.shiftleft(F.col("_p").cast("long"), 32) + F.floor(spot / (BLOCK * LEAST))
-    return written(ranged.withColumn("block", block).drop("_p"), name)
+    spark = rows.sparkSession
+    kind = F.lit(kind) if isinstance(kind, int) else kind
+    ranged = rows.withColumn("kind", kind.cast("long")).repartitionByRange("cluster", "kind", "n", "node").sortWithinPartitions("cluster", "kind", "n", "node")
+
+    def place(batches):
+        part, key, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            group = np.column_stack([batch.column(c).to_numpy() for c in ("cluster", "kind")])
+            weight = np.maximum(batch.column("n").to_numpy(), LEAST)
+            if not len(weight):
+                continue
+            new = np.ones(len(weight), bool)
+            new[1:] = (group[1:] != group[:-1]).any(axis=1)
+            new[0] = key is None or tuple(group[0].tolist()) != key
+            total = 0 if new[0] else total
+            before = np.cumsum(weight) - weight
+            at = np.flatnonzero(new)
+            lead = np.concatenate([[before[0] - total] if not new[0] else [], before[at]])
+            spot = before - lead[np.cumsum(new) - (1 if new[0] else 0)]
+            key, total = tuple(group[-1].tolist()), int(spot[-1] + weight[-1])
+            yield batch.append_column("part", pa.array(np.full(len(weight), part), pa.int32())).append_column("spot", pa.array(spot, pa.int64()))
+
+    fields = [*ranged.schema.fields, StructField("part", IntegerType()), StructField("spot", LongType())]
+    table = written(ranged.mapInArrow(place, StructType(fields)), name)
+    ends = table.groupBy("cluster", "kind", "part").agg(F.sum(F.greatest(F.col("n"), F.lit(LEAST))).alias("sum"))
+    ends = ends.join(ends.groupBy("cluster", "kind").agg(F.count("*").alias("of")).where("of > 1").select("cluster", "kind"), ["cluster", "kind"], "left_semi")
+    before: dict[tuple[int, int], int] = {}
+    known = []
+    for c, k, part, total in sorted(map(tuple, ends.select("cluster", "kind", "part", "sum").collect())):  # two rows for each range at most
+        known.append((c, k, part, before.get((c, k), 0)))
+        before[c, k] = before.get((c, k), 0) + total
+    lead = spark.createDataFrame(known, "cluster long, kind long, part int, lead long")
+    placed = table.join(F.broadcast(lead), ["cluster", "kind", "part"], "left")
+    block = F.shiftleft(F.col("kind"), 48) + F.floor((F.coalesce("lead", F.lit(0)) + F.col("spot")) / (BLOCK * LEAST))
+    return placed.withColumn("block", block.cast("long")).drop("part", "spot", "lead", "kind")
 
 
 def _spans(blocked: DataFrame) -> DataFrame:
@@ -530,12 +565,13 @@ def _spans(blocked: DataFrame) -> DataFrame:
     return blocked.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
 
-def _together(left: DataFrame, right: DataFrame, num: int, den: int, once: bool) -> DataFrame:
-    """``cluster, i, j``: blocks of the left and of the right side whose sizes can match; each pair ``once`` if both sides are one."""
-    a = left.select("cluster", F.col("block").alias("i"), F.col("lo").alias("_a"), F.col("hi").alias("_b"))
-    b = right.select("cluster", F.col("block").alias("j"), F.col("lo").alias("_c"), F.col("hi").alias("_d"))
-    can = (F.col("_c") * num <= F.col("_b") * den) & (F.col("_a") * num <= F.col("_d") * den)
-    return a.join(b, "cluster").where((F.col("i") <= F.col("j")) & can if once else can).select("cluster", "i", "j")
+def _sides(spans: DataFrame, num: int, den: int, wanted: Column | None = None) -> DataFrame:
+    """``cluster, block, i, j``: the pairs of blocks of a cluster in which each works: those whose sizes can match, ``wanted`` pairs only."""
+    one = spans.select("cluster", F.col("block").alias("i"), F.col("lo").alias("_a"), F.col("hi").alias("_b"))
+    two = spans.select("cluster", F.col("block").alias("j"), F.col("lo").alias("_c"), F.col("hi").alias("_d"))
+    can = (F.col("i") <= F.col("j")) & (F.col("_c") * num <= F.col("_b") * den) & (F.col("_a") * num <= F.col("_d") * den)
+    pairs = one.join(two, "cluster").where(can if wanted is None else can & wanted).select("cluster", "i", "j")
+    return pairs.withColumn("block", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))))
 
 
 def _decided(work: DataFrame, decide) -> DataFrame:
@@ -555,42 +591,37 @@ def connect(blocked: DataFrame, values: DataFrame, decide, num: int, den: int, t
         temporary.append(written(df, name))
         return temporary[-1]
 
-    alone = keep(_decided(values.withColumnsRenamed({"block": "i"}).withColumn("j", F.col("i")), decide), "alone")
-    spans = keep(_spans(blocked), "spans")
-    many = spans.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1").select("cluster")
+    spans = keep(_spans(blocked).withColumn("of", F.count("*").over(W.partitionBy("cluster"))), "spans")  # a row for each block
+    sides = keep(_sides(spans.where(F.col("of").between(2, FEW)).drop("of"), num, den), "sides")
+    work = values.join(sides, ["cluster", "block"], "left").withColumns({"i": F.coalesce("i", "block"), "j": F.coalesce("j", "block")})
+    alone = keep(_decided(work, decide), "alone")
+    many = keep(spans.where(F.col("of") > FEW).select("cluster").distinct(), "large")
     if many.isEmpty():
         return alone.select("a", "b")
-    members = keep(blocked.select("cluster", "node", "n", "block").join(many, "cluster", "left_semi"), "large")
     own = values.join(many, "cluster", "left_semi").select("node", "value")
-    first = alone.join(many, "cluster", "left_semi").select("a", "b")
+    # edges within a block are stars: each set but the first of its component has one, from that first set
+    stars = alone.join(many, "cluster", "left_semi").select(F.col("b").alias("node"), F.col("a").alias("hub"))
+    members = blocked.select("cluster", "node", "n").join(many, "cluster", "left_semi").join(stars, "node", "left")
+    members = keep(members.withColumn("hub", F.coalesce("hub", "node")), "members")
     # one set of each component against the others
-    hubs = _labelled(members, first).where("node = root").drop("root", "block")
-    hubs = _blocked(hubs, "hubs")
+    hubs = _blocked(members.where("node = hub").drop("hub"), "hubs")
     temporary.append(hubs)
-    pairs = _together(_spans(hubs), _spans(hubs), num, den, once=True)
-    sides = pairs.withColumn("block", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))))
-    second = keep(_decided(hubs.join(sides, ["cluster", "block"]).join(own, "node"), decide), "between")
-    # what is still apart from its cluster's largest component, against the whole cluster
-    labelled = keep(_labelled(members, first.unionByName(second.select("a", "b"))), "labelled")
-    largest = labelled.groupBy("cluster", "root").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.max_by("root", F.struct("_n", "root")).alias("_most"))
-    rest = labelled.join(largest, "cluster").where(F.col("root") != F.col("_most")).select("cluster", "node", "n")
-    rest = _blocked(rest, "rest")
-    temporary.append(rest)
-    if rest.isEmpty():
-        return alone.select("a", "b").unionByName(second.select("a", "b"))
-    pairs = keep(_together(spans.join(many, "cluster", "left_semi"), _spans(rest), num, den, once=False), "pairs")
-    one = members.join(pairs.withColumnRenamed("i", "block"), ["cluster", "block"]).select("cluster", F.col("block").alias("i"), "j", "node", "n")
-    two = rest.join(pairs.withColumnRenamed("j", "block"), ["cluster", "block"]).select("cluster", "i", F.col("block").alias("j"), "node", "n")
-    third = keep(_decided(one.unionByName(two).join(own, "node"), decide), "last")
+    second = keep(_decided(hubs.join(_sides(_spans(hubs), num, den), ["cluster", "block"]).join(own, "node"), decide), "between")
+    # what is still apart from its cluster's largest component, against the whole cluster, but for pairs of hubs
+    roots = components(second.select("a", "b")).withColumnsRenamed({"node": "hub"})
+    labelled = members.join(roots, "hub", "left").withColumn("root", F.coalesce("root", "hub"))
+    largest = labelled.groupBy("cluster", "root").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.max_by("root", F.struct("_n", "root")).alias("_most"), F.count("*").alias("_of"))
+    apart = labelled.join(largest.where("_of > 1"), "cluster")
+    kind = F.when(F.col("node") == F.col("hub"), 2).otherwise(0) + F.when(F.col("root") == F.col("_most"), 0).otherwise(1)
+    apart = _blocked(apart.withColumn("kind", kind).select("cluster", "node", "n", "kind"), "apart", F.col("kind"))
+    temporary.append(apart)
+    both_hubs = (F.shiftright("i", 49) == 1) & (F.shiftright("j", 49) == 1)
+    some_rest = (F.shiftright("i", 48).bitwiseAND(1) == 1) | (F.shiftright("j", 48).bitwiseAND(1) == 1)
+    sides = _sides(_spans(apart), num, den, some_rest & ~both_hubs)
+    third = keep(_decided(apart.join(sides, ["cluster", "block"]).join(own, "node"), decide), "last")
     return alone.select("a", "b").unionByName(second.select("a", "b")).unionByName(third.select("a", "b"))
 
 
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members with ``root``: the least node of what edges connect, their own where nothing does."""
-    roots = components(edges)
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
 def _clusters(edges: DataFrame) -> DataFrame:
     roots = components(edges)
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
