@@ -32,6 +32,7 @@ NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
+_OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
 _STEP = 0xD6E8FEB86659FD93
 _POW = np.ones(PIECE + 1, np.uint64)
 _INV = np.ones(PIECE + 1, np.uint64)
@@ -57,10 +58,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of some documents: their 64-bit hashes, and where each document's words begin."""
+    """Words of some documents: their 64-bit hashes, where each document's words begin, and each word's bytes."""
 
     hash: np.ndarray
     first: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -109,7 +112,14 @@ def scan(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | heads[1:-1]
     end = np.flatnonzero(ends) + 1
-    return Words(mix(hash_spans(data, start, end, _BYTE)), np.searchsorted(start, offsets))
+    return Words(mix(hash_spans(data, start, end, _BYTE)), np.searchsorted(start, offsets), start, end)
+
+
+def second_hashes(data: np.ndarray, words: Words, which: np.ndarray) -> np.ndarray:
+    """Hashes of some words (their rising numbers) that are independent of the first ones; 0 for all others."""
+    out = np.zeros(len(words.hash), np.uint64)
+    out[which] = mix(hash_spans(data, words.start[which], words.end[which], _OTHER))
+    return out
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:

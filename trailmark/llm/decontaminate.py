@@ -3,12 +3,13 @@
 Every item and document is reduced to fingerprints: the least hash of each window of consecutive
 k-grams.  With k-grams of ``kgram`` words and windows of ``window - kgram + 1`` of them, any span of
 ``window`` words that a document shares with an item leaves a common fingerprint.  Fingerprints are
-joined, and each hit is extended to the windows of words that cover it, which are compared whole (two
-independent 64-bit hashes).  Items shorter than a window are windows themselves, of their own length;
+joined, and each hit is extended to the windows of words that cover it, which are compared whole by two
+64-bit hashes, made of two independent hashes of their words.  Items shorter than a window are windows themselves, of their own length;
 for those the winnowing window is one k-gram, k being that length.
 
 The items are a query set: they are read in blocks of bounded size, and each block is a broadcast
-hash table that all documents pass.  Nothing is shuffled and no document moves.
+hash table that all documents pass.  Nothing is shuffled and no document moves.  After ``TABLES`` blocks the
+documents' state is written, and the tables are given back, so memory is bounded whatever the items' number.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import broadcast_value
+from ._shared import broadcast_value, written
 
 WINDOW, KGRAM = 10, 5
 #: Bytes of item texts held as one broadcast table (about 5 bytes of table per byte).
 BLOCK_BYTES = 4 << 20
+#: Tables that are held at a time.
+TABLES = 8
 
 
 def winnow(words: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +67,17 @@ def index_items(rows: list[tuple[int, str]], window: int, kgram: int) -> dict:
     """The hash tables of one block of items."""
     prints, by_length = [], defaultdict(list)
     for number, (_, text) in enumerate(rows):
-        words = X.scan(*X.utf8(pa.array([text], pa.string())), X.ALNUM).hash
+        data, offsets = X.utf8(pa.array([text], pa.string()))
+        found = X.scan(data, offsets, X.ALNUM)
+        words = found.hash
         if not len(words):
             continue
         length = min(window, len(words))
         if length == window:
             prints.append(winnow(words, np.array([0, len(words)]), kgram, window - kgram + 1)[1])
         g = X.grams(words, length)
-        by_length[length].append((g, X.grams(words, length, 7), np.full(len(g), number, np.int64)))
+        other = X.second_hashes(data, found, np.arange(len(words)))
+        by_length[length].append((g, X.grams(other, length, 7), np.full(len(g), number, np.int64)))
     return {
         "ids": [r[0] for r in rows],
         "prints": np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64),
@@ -79,39 +85,40 @@ def index_items(rows: list[tuple[int, str]], window: int, kgram: int) -> dict:
     }
 
 
-def _matches(words: X.Words, length: int, starts: np.ndarray, table):
+def _matches(data: np.ndarray, words: X.Words, length: int, starts: np.ndarray, table):
     """Those of the runs at ``starts`` that are windows of items, and the rows of the table."""
     a, b, _, _ = table
-    both = _grams_at(words.hash, starts, length)
-    at = np.searchsorted(a, both[0])
+    first = _grams_at(words.hash, starts, length, 0)
+    starts = starts[X.member(first, a) >= 0]
+    first = _grams_at(words.hash, starts, length, 0)
+    used = np.unique((starts[:, None] + np.arange(length)[None, :]).ravel())
+    second = _grams_at(X.second_hashes(data, words, used), starts, length, 7)
+    at = np.searchsorted(a, first)
     keep = np.zeros(len(starts), bool)
     row = np.zeros(len(starts), np.int64)
     live = np.arange(len(starts))
     while len(live):  # one turn, but for windows whose first hashes are equal
         live = live[(at[live] < len(a))]
-        live = live[a[at[live]] == both[0][live]]
-        hit = b[at[live]] == both[1][live]
+        live = live[a[at[live]] == first[live]]
+        hit = b[at[live]] == second[live]
         keep[live[hit]], row[live[hit]] = True, at[live[hit]]
         live = live[~hit]
         at[live] += 1
     return starts[keep], row[keep]
 
 
-def _grams_at(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams_at(words: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
     flat = words[(starts[:, None] + np.arange(k)[None, :]).ravel()]
-    out = []
-    for seed in (0, 7):
-        acc = np.full(len(starts), seed * 2 + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                acc = (acc ^ flat[j::k]) * X._MULT
-                acc ^= acc >> np.uint64(29)
-        out.append(X.mix(acc))
-    return out[0], out[1]
-
-
-def hits(words: X.Words, index: dict, window: int, kgram: int) -> tuple[np.ndarray, list[set[int]]]:
-    """Which words are hit, and for each document the numbers of the items found in it."""
+    acc = np.full(len(starts), seed * 2 + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            acc = (acc ^ flat[j::k]) * X._MULT
+            acc ^= acc >> np.uint64(29)
+    return X.mix(acc)
+
+
+def hits(data: np.ndarray, words: X.Words, index: dict, window: int, kgram: int) -> tuple[np.ndarray, list[set[int]]]:
+    """Which words (of the bytes ``data``) are hit, and for each document the numbers of the items found in it."""
     n = len(words.hash)
     edge = np.zeros(n + 1, np.int64)
     items: list[set[int]] = [set() for _ in range(len(words.first) - 1)]
@@ -125,7 +132,7 @@ def hits(words: X.Words, index: dict, window: int, kgram: int) -> tuple[np.ndarr
             starts = np.flatnonzero(X.member(X.grams(words.hash, length), table[0]) >= 0)
         ok = X.inside(words.first, n, length)
         starts = starts[starts < len(ok)]
-        starts, rows = _matches(words, length, starts[ok[starts]], table)
+        starts, rows = _matches(data, words, length, starts[ok[starts]], table)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + length, -1)
         _, _, bounds, item = table
@@ -150,29 +157,42 @@ def decontaminate(
         F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"),
     )
     schema = out.schema
-    spark = docs.sparkSession
-    for block in _blocks(items, item_id, item_text, block_bytes):
-        index = broadcast_value(spark, index_items(block, window, kgram))
-        out = out.mapInArrow(_marker(index, window, kgram), schema)
+    out = _through(out, items, item_id, item_text, block_bytes, lambda df, index: df.mapInArrow(_marker(index, window, kgram), schema), window, kgram)
     id_type = out.schema["doc_id"].dataType.simpleString()
     final = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
     return out.mapInArrow(_summary, final)
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, kgram: int = KGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows in which no item's window occurs, with all their columns; no row moves."""
-    out = docs
+    """The rows in which no item's window occurs, with all their columns, whatever their names; no row moves.
+
+    Null and empty texts have no words and stay, repeated rows and null ids are rows like others, texts of any length
+    are read whole, and an empty table (of rows or of items) changes nothing.
+    """
+    schema = docs.schema
+    return _through(docs, items, item_id, item_text, block_bytes, lambda df, index: df.mapInArrow(_passer(index, window, kgram, text), schema), window, kgram)
+
+
+def _through(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, block_bytes: int, step, window: int, kgram: int) -> DataFrame:
+    """Rows after a step with the table of each block of items, TABLES of them at a time."""
+    held = []
     for block in _blocks(items, item_id, item_text, block_bytes):
-        index = broadcast_value(docs.sparkSession, index_items(block, window, kgram))
-        out = out.mapInArrow(_passer(index, window, kgram, text), docs.schema)
-    return out
+        if len(held) == TABLES:
+            rows = written(rows, "marked")
+            for index in held:
+                index.destroy()
+            held = []
+        held.append(broadcast_value(rows.sparkSession, index_items(block, window, kgram)))
+        rows = step(rows, held[-1])
+    return rows
 
 
 def _passer(index, window: int, kgram: int, text: str):
     def run(batches):
         for batch in batches:
             for part in X.slices(batch, text):
-                found = hits(X.scan(*X.utf8(part.column(text)), X.ALNUM), index.value, window, kgram)[1]
+                data, offsets = X.utf8(part.column(text))
+                found = hits(data, X.scan(data, offsets, X.ALNUM), index.value, window, kgram)[1]
                 yield part.filter(pa.array([not x for x in found], pa.bool_()))
 
     return run
@@ -182,11 +202,12 @@ def _blocks(items: DataFrame, item_id: str, text: str, limit: int):
     block, size = [], 0
     rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")))
     for row in rows.toLocalIterator():
-        if block and size + len(row[1]) > limit:
+        n = len(row[1].encode())
+        if block and size + n > limit:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
-        size += len(row[1])
+        size += n
     if block:
         yield block
 
@@ -197,7 +218,7 @@ def _marker(index, window: int, kgram: int):
             for part in X.slices(batch, "text"):
                 data, offsets = X.utf8(part.column("text"))
                 words = X.scan(data, offsets, X.ALNUM)
-                hit, found = hits(words, index.value, window, kgram)
+                hit, found = hits(data, words, index.value, window, kgram)
                 bits, names = part.column("hit").to_pylist(), part.column("items").to_pylist()
                 for i in [i for i, x in enumerate(found) if x]:
                     now = hit[words.first[i] : words.first[i + 1]]
