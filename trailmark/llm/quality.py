@@ -4,7 +4,7 @@ A text that resembles good text compresses smaller with the dictionary built fro
 the one built from bad rows.  The difference of the two sizes, normalised by the size without a
 dictionary, by the length, and by the sum of both, goes into a logistic calibration together with the
 compression ratios and the length, which say how far the difference is to be trusted (a text of one
-repeated word compresses to nothing with either).
+repeated word compresses to nothing with either).  The README has what each part is worth.
 """
 
 from __future__ import annotations
@@ -89,14 +89,17 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     texts: list[list[bytes]] = []
     for y in (1, 0):
         some = rows.where((F.col("y") == y) & half & (size > 0))
-        some = some.select("text").distinct().orderBy(F.xxhash64("text", F.lit(11)), "text")  # per_class rows at most
-        got, total = [], 0
-        for row in some.toLocalIterator():
-            raw = row[0].encode()
-            if total + len(raw) <= DICTIONARY_SAMPLE:
-                got.append(raw)
-                total += len(raw)
-        texts.append(got)
+        # sizes first (per_class rows at most), so that only texts that fit are fetched
+        some = some.select(F.xxhash64("text", F.lit(11)).alias("h"), F.xxhash64("text", F.lit(12)).alias("g"), size.alias("size"), "text")
+        sizes = some.groupBy("h", "g").agg(F.max("size").alias("size")).collect()
+        fits, total = [], 0
+        for h, g, n in sorted(map(tuple, sizes)):
+            if total + n <= DICTIONARY_SAMPLE:
+                fits.append((h, g))
+                total += n
+        wanted = F.broadcast(spark.createDataFrame(fits, "h long, g long"))
+        found = some.join(wanted, ["h", "g"]).groupBy("h", "g").agg(F.min("text").alias("text")).collect()  # DICTIONARY_SAMPLE bytes at most
+        texts.append([r[2].encode() for r in sorted(map(tuple, found))])
     good, bad = map(_dictionary, texts)
     shared = broadcast_value(spark, (good, bad))
 
@@ -134,7 +137,11 @@ def classify(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, model: dict, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows that the model does not reject, with all their columns; no row moves."""
+    """The rows that the model does not reject, with all their columns, whatever their names; no row moves.
+
+    A null text is scored as an empty one, repeated rows and null ids are rows like others, texts of any length are
+    compressed whole; an empty table gives no rows, and without labels of both classes all stay.
+    """
     shared = broadcast_value(docs.sparkSession, model)
 
     def run(batches):
