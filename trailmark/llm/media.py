@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text as X
+
 FRAME, BLOCK, RATE = 192, 1536, 8000
 _HEAD = struct.Struct("<4sBBqIIIB")
 _INFO = struct.Struct("<8sIIIQ")  # magic, rate, stream, streams, samples in the whole
@@ -124,7 +126,7 @@ def to_ogg(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in X.slices(whole, "text")):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -142,7 +144,8 @@ def read_ogg(stored: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for media in batch.column("media").to_pylist():
+            for stored in batch.column("media"):
+                media = stored.as_py()
                 data, info = decode(media)
                 x = np.frombuffer(data, np.uint8)
                 cross = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
