@@ -4,13 +4,15 @@ A text is cut at single spaces between other characters, where neither a pre-tok
 cross, so the ids of the text are those of its words in turn.  Words are made distinct by Arrow; ids of
 words met before come from a table, and a new word is put together from its pre-tokens.  New pre-tokens
 go to the library's model many at a time.  Words with characters beyond the Latin blocks, or with white
-space or control characters in them, go through the whole tokenizer instead.
+space or control characters in them, go through the whole tokenizer instead, and so do whole texts that hold an
+added token's literal.  A file whose normaliser or pre-tokeniser is not the one known here is encoded by the library throughout.
 
 A key is the word itself, or, for the byte-level tokenizer, ``(text,)`` where no space stands before it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -49,8 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.byte_level = byte_level
+        self.literals = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known = self._is_known()
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if byte_level else r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
         self.cut = regex.compile(pattern).findall
         self.table = _byte_table()
@@ -59,6 +62,25 @@ class Encoder:
         (self.end,) = self.merger.encode(_END, add_special_tokens=False).ids
         self._reset()
 
+    def _is_known(self) -> bool:
+        """Does the tokenizer split and normalise as the short way does?  Told by texts that hold every kind of cut."""
+        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        kinds = [p["type"] for p in pre.get("pretokenizers", [pre])]
+        probe = self.tokenizer.pre_tokenizer
+        if probe is None or (self.byte_level and kinds[-1:] != ["ByteLevel"]):
+            return False
+        if self.byte_level:
+            want = ["We", "'re", "Ġx", "123", "Ġ45", "!?", "Ġ", "Ġa", "."]
+            return [p for p, _ in probe.pre_tokenize_str("We're x123 45!?  a.")] == want and self.tokenizer.normalizer is None
+        got = [p.replace("</w>", "") for p, _ in probe.pre_tokenize_str("we're x12 !? a.")]
+        norm = self.tokenizer.normalizer
+        return got == ["we", "'re", "x", "1", "2", "!?", "a", "."] and norm is not None and norm.normalize_str("Ab  C") == "ab c"
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library alone."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
+
     def _reset(self) -> None:
         self.hash = np.zeros(0, np.uint64)  # sorted; ``check`` and ``entry`` go with it
         self.check = np.zeros(0, np.uint32)
@@ -187,12 +209,19 @@ class Encoder:
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if not self.known:
+            return self._whole(texts.to_pylist())
+        special = np.zeros(len(texts), bool)
+        for literal in self.literals:
+            special |= pc.match_substring(texts, literal, ignore_case=True).to_numpy(zero_copy_only=False)
+        if special.any():
+            return self._mixed(texts, np.flatnonzero(special), self._whole)
         if self.count > MOST_KEYS:
             self._reset()
         if self.byte_level:
             odd = np.flatnonzero(pc.match_substring_regex(texts, _DOUBLE).to_numpy(zero_copy_only=False))
             if len(odd):  # white space that is not a single space between characters
-                return self._mixed(texts, odd)
+                return self._mixed(texts, odd, self._odd)
         words = pc.split_pattern(texts, " ")
         first = words.offsets.to_numpy().astype(np.int64)
         first, flat = first - first[0], words.flatten()
@@ -213,10 +242,10 @@ class Encoder:
             out[edge[i] : edge[min(i + GATHER // 4, len(place))]] = self.pool[X.expand(self.start[p], sizes[i : i + GATHER // 4].astype(np.int64))]
         return out, edge[first]
 
-    def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode the few texts with odd white space apart, and put all in order."""
+    def _mixed(self, texts: pa.Array, odd: np.ndarray, apart) -> tuple[np.ndarray, np.ndarray]:
+        """Encode the few texts that need it apart, and put all in order."""
         plain = np.setdiff1d(np.arange(len(texts)), odd)
-        parts = [self.encode(texts.take(pa.array(plain))), self._odd([texts[i].as_py() for i in odd.tolist()])]
+        parts = [self.encode(texts.take(pa.array(plain, pa.int64()))), apart([texts[i].as_py() for i in odd.tolist()])]
         n = np.zeros(len(texts), np.int64)
         src = np.zeros(len(texts), np.int64)
         shift = 0
