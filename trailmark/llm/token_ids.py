@@ -30,6 +30,8 @@ from ._encode import encoded, encoder
 
 MAGIC = b"TMIDX1\n"
 LEVELS, ROOM = 48, 2.0
+#: Bytes of text in a shard, about, and documents whose ids are read at once.
+SHARD_BYTES, READ_ROWS = 256 << 20, 50_000
 
 
 def keys_of(doc_ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -106,9 +108,9 @@ def _index_bytes(ids: np.ndarray, start: np.ndarray, length: np.ndarray, width:
 
 
 class Shard:
-    """One shard, read from its two files."""
+    """One shard: its index, and a function that reads a range of bytes of its ids."""
 
-    def __init__(self, ids: bytes, index: bytes):
+    def __init__(self, ids, index: bytes):
         if not index.startswith(MAGIC):
             raise ValueError("not a token index")
         at = len(MAGIC) + 4
@@ -124,7 +126,12 @@ class Shard:
 
         self.mph = PerfectHash(head["sizes"], [take("<u8", s // 64) for s in head["sizes"]])
         self.prints, self.starts, self.lengths, self.doc_ids = (take(k, head["n"]) for k in ("<u4", "<u8", "<u8", "<i8"))
-        self.ids = np.frombuffer(ids, f"<u{head['width']}")
+        self.width = head["width"]
+        self.read = (lambda at, size: ids[at : at + size]) if isinstance(ids, bytes) else ids
+
+    def ids(self, start: int, length: int) -> np.ndarray:
+        """A range of ids; no more than that is read."""
+        return np.frombuffer(self.read(start * self.width, length * self.width), f"<u{self.width}")
 
     def find(self, doc_ids: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First id and number of ids of each key; -1 and 0 for keys that the shard does not hold."""
@@ -152,6 +159,13 @@ def _put(folder: str, name: str, chunks) -> None:
     store.move(temp, f"{base}/{name}")
 
 
+def _reader(folder: str, name: str):
+    """A function that reads ranges of a file, which stays open."""
+    store, base = _store(folder)
+    file = store.open_input_file(f"{base}/{name}")
+    return lambda at, size: file.read_at(size, at)
+
+
 def _get(folder: str, name: str) -> bytes:
     store, base = _store(folder)
     with store.open_input_file(f"{base}/{name}") as f:
@@ -161,16 +175,21 @@ def _get(folder: str, name: str) -> bytes:
 def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Encode all texts and write them; returns ``shard, n_docs, n_tokens`` (running it writes).
 
-    Shards are ranges of ids, so all ids of one document's shard precede those of the next.  Rows with a
-    null id are not addressable and are written under the least id there is.
+    Shards are ranges of ids, so all ids of one document's shard precede those of the next; an id that many rows
+    share goes on in the next shard.  There are as many as the texts' bytes ask for (SHARD_BYTES), and as the session
+    has shuffle partitions at least.  Ids must be numbers (a text that is none is an error).  Rows with a null id are
+    not addressable and are written under the least id there is.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards
+    if not n:
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     least = F.lit(-(1 << 63)).cast("long")
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), least).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # the second key only makes equal ids come in one order, whichever task reads them first
-    ranged = base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the second key makes equal ids come in one order, whichever task reads them first, and divides an id that is hot
+    ranged = base.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
         shard = TaskContext.get().partitionId()
@@ -214,11 +233,12 @@ def read(spark: SparkSession, folder: str, summary: list[tuple[int, int, int]])
         for batch in batches:
             for i in batch.column("shard").to_pylist():
                 name = f"shard-{names[i]:05d}"
-                shard = Shard(_get(folder, f"{name}.ids"), _get(folder, f"{name}.mph"))
-                for lo in range(0, len(shard.doc_ids), 50_000):
-                    ids = shard.doc_ids[lo : lo + 50_000]
-                    start, length = shard.find(ids, _nth(shard.doc_ids)[lo : lo + 50_000])
-                    crc = [zlib.crc32(shard.ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(start.tolist(), length.tolist(), strict=True)]
+                shard = Shard(_reader(folder, f"{name}.ids"), _get(folder, f"{name}.mph"))
+                nth = _nth(shard.doc_ids)
+                for lo in range(0, len(shard.doc_ids), READ_ROWS):
+                    ids = shard.doc_ids[lo : lo + READ_ROWS]
+                    start, length = shard.find(ids, nth[lo : lo + READ_ROWS])
+                    crc = [zlib.crc32(shard.ids(a, k).astype("<u4").tobytes()) for a, k in zip(start.tolist(), length.tolist(), strict=True)]
                     yield pa.record_batch([pa.array(ids), pa.array(start + first[names[i]]), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     got = todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
