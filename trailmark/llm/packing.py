@@ -24,7 +24,9 @@ from . import _text as X
 from ._encode import encoded, encoder
 from ._shared import written
 
-CAPACITY, UNIT, CELLS = 2048, 8, 512
+CAPACITY, UNIT = 2048, 8
+#: Rows that are ranked together, about.
+CELL_ROWS = 50_000
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -156,10 +158,15 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, unit: int
     cut = pieces(docs, tokenizer, capacity=capacity, **names)
     same = cut.groupBy("doc_id", "start", "length", "ids_crc32", "doc_tokens").agg(F.count("*").alias("k"))
     same = same.withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
-    same = written(same.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(CELLS)).cast("int")), "pieces")
+    same = written(same, "pieces")
+    # each class has cells by its rows: their number grows with the pieces, and each has a row in what is broadcast
+    counted = same.groupBy("size").agg(F.sum("k").alias("n"), F.count("*").alias("rows")).collect()  # capacity / unit rows
+    demand = {r["size"]: r["n"] for r in counted}
+    many = F.create_map(*(F.lit(int(x)) for r in counted for x in (r["size"], -(-r["rows"] // CELL_ROWS)))) if counted else F.create_map(F.lit(1), F.lit(1))
+    hashed = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(many, F.col("size")))
+    same = same.withColumn("cell", hashed.cast("int"))
     cells = same.groupBy("size", "cell").agg(F.sum("k").alias("n"))
     cells = cells.withColumn("base", (F.sum("n").over(W.partitionBy("size").orderBy("cell")) - F.col("n")).cast("long"))
-    demand = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # capacity / unit rows
     rows = _segments(plan(demand, capacity // unit))
     where = spark.createDataFrame(rows, "_size int, lo long, hi long, copies int, sequence long, place long")
     rank = F.sum("k").over(W.partitionBy("size", "cell").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")) - F.col("k")
