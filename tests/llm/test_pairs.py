@@ -280,6 +280,17 @@ def test_decontamination_equals_brute_force(spark, docs_of, odd_rows, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[-1])
 
 
+def test_many_blocks_of_items(spark, docs_of, monkeypatch):
+    """More tables than are held at a time: what is found so far is written on the way."""
+    monkeypatch.setattr(D, "TABLES", 2)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(9)]
+    rows = [(i, f"x {items[i % 9][1]} y " + (items[0][1] if i % 2 else "")) for i in range(20)] + [(99, "clean")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = D.decontaminate(docs_of(rows), table, block_bytes=60).drop("items")
+    assert sorted(map(tuple, got.collect())) == sorted((i, *brute_hits(t, items, 10)) for i, t in rows)
+    assert [r.doc_id for r in D.keep_uncontaminated(docs_of(rows), table, block_bytes=60).collect()] == [99]
+
+
 def test_decontamination_of_nothing(spark, docs_of, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in D.decontaminate(docs_of(odd_rows), none).collect())

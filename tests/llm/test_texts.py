@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer, pre_tokenizers
 
 from trailmark.llm import _text as X
 from trailmark.llm import html_extract as H
@@ -29,8 +30,12 @@ def test_encoder_equals_the_library(name, byte_level, monkeypatch):
     rng = random.Random(1)
     pieces = [t or "" for t in TEXTS] + ["the", "Word,", "x.y", "été", "Über", "42", "--", "a\nb"]
     texts = TEXTS + ["".join(rng.choice(pieces) + rng.choice([" ", " ", "", "  "]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += ["a<|endoftext|>b c", "<|startoftext|> x <|ENDOFTEXT|>", "y" * 50 + "<|endoftext|>"]
     e = Encoder(vocabulary_file(name), byte_level)
-    want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert e.known
+    want = [x.ids for x in Tokenizer.from_file(vocabulary_file(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    some, edge = e._whole([t or "" for t in texts])
+    assert [some[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == want
     from trailmark.llm import _encode
 
     for most in (10**6, 5):  # with a table that starts anew each time, too
@@ -62,6 +67,49 @@ def test_extraction_of_marked_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p class="ad">x<p>real text<p>more</article>', ["real text", "more"]),
+        ('<article>a<div class="ad">x<p>y</article><article>second</article>', ["a", "second"]),
+        ('<article>a<form>x<p>y</article><main>second<p>third</main>', ["a", "second", "third"]),
+        ('<article><ul><li class="share">x<li>real item</ul><p>para</article>', ["real item", "para"]),
+        ('<article><dl><dt>t<dd class="ad">x<dt>u<dd>v</dl></article>', ["t", "u", "v"]),
+        ('<article><p>a <a class="advert">b <a>c</a></a> d <b class="sponsor">e</b></p><i id="ads">f</article><article>g', ["a d", "g"]),
+        ('<article><section class="related-work">kept</section><div class="related-posts">x</div><h2 class="search-engines">s</h2><div class="search-box">x</div><p id="form-of-words">w</article>', ["kept", "s", "w"]),
+        ('<main><table><tr><td>a<td class="ad">b<tr><td>c</div></table>d</main>', ["a", "c", "d"]),
+        ('<article><div hidden>x</div><div role="search">x</div><p style="display: none">x</p><header>head</header></article><header>x</header>', ["head"]),
+        ('<article><p>a &lt;b&gt; &#x41;&nbsp;\n c</p><script>var a="</p>";</script><br/>d<br>e</article>', ["a <b> A c", "d e"]),
+        ("<article>one</article><p>two</p><article>three", ["one", "three"]),
+        ("</div></article>open <p>text", ["open", "text"]),
+        ("<div><nav>x</div>kept", ["kept"]),
+    ],
+)
+def test_blocks_end_as_in_browsers(page, want):
+    assert [t for role, t in H.blocks(page) if role != H.BOILERPLATE] == want
+
+
+def test_the_array_decides_where_markup_does_not(spark):
+    """Pages of two layouts without an article on three hosts, against a plain count of the blocks that pages share."""
+    rng = random.Random(9)
+    body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, shown = [], {}
+    for host in ("a", "b", "c"):
+        menu, foot, often = body(9), body(12), body(10)
+        for i in range(12):
+            parts = [menu, body(30), often if i % 2 else body(10), body(15), foot]
+            if host == "c":
+                parts = [p for p in parts if p not in (menu, foot)]
+            shown[len(rows)] = (host, parts)
+            rows.append((len(rows), f"https://{host}.org/{i}", "".join(f"<div>{p}</div>" if i % 3 else f"<p>{p}" for p in parts)))
+    count = {}
+    for host, parts in shown.values():
+        for p in set(parts):
+            count[host, p] = count.get((host, p), 0) + 1
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {i: "\n".join(p for p in parts if count[host, p] < 3) for i, (host, parts) in shown.items()}
+
+
 def test_repeated_runs_are_cut_from_open_pages(spark):
     rng = random.Random(0)
     menu = "home about contact imprint help jobs press legal terms"
@@ -186,6 +234,74 @@ def test_machine_weighs_pairs():
     assert (f >= 0).all() and float(model["v"][f[0]] @ model["v"][f[1]]) > 0
 
 
+def test_machine_finds_terms_that_tell_in_pairs_only():
+    """The label is whether just one of two words is there: neither word has any weight alone, and its linear part knows nothing."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for _ in range(5000):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.unique([x for x, here in ((11, a), (22, b)) if here] + [int(v) for v in rng.integers(100, 400, 6)]).astype("<u4"))
+        y.append(int(a != b))
+    y = np.array(y)
+    model = FM.fit(rows[:4000], y[:4000])
+    f = model["keep"][[11, 22]]
+    assert (f >= 0).all() and float(model["v"][f[0]] @ model["v"][f[1]]) < -1
+    linear = model | {"v": np.zeros_like(model["v"])}
+    wide = lambda m: np.array([machine_score(m, r) >= 0.5 for r in rows[4000:]])
+    assert (wide(model) == y[4000:]).mean() > 0.9 and (wide(linear) == y[4000:]).mean() < 0.8
+
+
+def machine_score(model, buckets):
+    """The machine's formula, pair by pair."""
+    f = [int(model["keep"][b]) for b in sorted(set(map(int, buckets))) if model["keep"][b] >= 0]
+    z = float(model["b"]) + sum(float(model["w"][i]) for i in f)
+    z += sum(float(model["v"][i] @ model["v"][j]) for n, i in enumerate(f) for j in f[:n])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_scores_equal_their_formulas(spark, docs_of, odd_rows):
+    """Scores of whole texts, recomputed word by word and by plain compression, for odd texts too."""
+    import pyarrow as pa
+    import zstandard
+
+    rows, labels = labelled(8, 400)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = rows + [(i + 10_000, t) for i, t in odd_rows if i != 5] + [(20_000, " ".join(t for _, t in rows[:200]))]
+    docs = docs_of(rows)
+    model = FM.train(docs, table)
+    got = {r.doc_id: r.score for r in FM.classify(docs, model).collect()}
+    for i, t in rows:
+        words = X.scan(*X.utf8(pa.array([t or ""])), X.ALNUM).hash
+        assert abs(got[i] - machine_score(model, words >> np.uint64(64 - FM.BUCKET_BITS))) < 1e-9
+    model = Q.train(docs, table)
+    got = {r.doc_id: r.score for r in Q.classify(docs, model).collect()}
+    cal = model["calibration"]
+    for i, t in rows:
+        raw = (t or "").encode()
+        size = [len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)).compress(raw)) if d else len(zstandard.ZstdCompressor(level=Q.LEVEL).compress(raw)) for d in (model["good"], model["bad"], b"")]
+        g, b, c, n = *size, len(raw) + 1
+        x = np.array([(b - g) / c, (b - g) / n, (b - g) / (b + g), c / n, g / n, np.log(n)])
+        z = cal["w"][0] + ((x - cal["mean"]) / cal["scale"]) @ cal["w"][1:]
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_keeping_stages_on_odd_tables(spark, docs_of):
+    """Nulls in any column, empty texts, repeated rows, names that operators use, and empty tables."""
+    rows = [(None, None), (None, "a b"), (1, ""), (1, ""), (2, "word " * 20_000), (3, "x")]
+    docs = docs_of(rows)
+    for name in ("y", "hit", "items", "value", "part"):
+        docs = docs.withColumn(name, docs.doc_id)
+    labels = spark.createDataFrame([(2, 1, 0), (3, None, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(None, "x"), (7, None), (8, "")], "item_id long, text string")
+    from trailmark.llm import decontaminate as D
+
+    for run in (lambda d: FM.keep_clean(d, FM.train(d, labels)), lambda d: Q.keep_good(d, Q.train(d, labels)), lambda d: D.keep_uncontaminated(d, items)):
+        kept = run(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+        assert run(docs.limit(0)).collect() == []
+
+
 def brute_tokens(word, table, longest, low):
     best = [(0.0, 0)]
     for e in range(1, len(word) + 1):
@@ -227,9 +343,19 @@ def test_long_words_are_scored_whole(docs_of, odd_rows):
     assert [T.long_count(w, pieces) for w in short] == T.trie_counts(short, pieces).tolist()
 
 
+def test_unknown_tokenizers_go_through_the_library(tmp_path):
+    t = Tokenizer.from_file(vocabulary_file("word_bpe_49k.json"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "other.json"))
+    e = Encoder(str(tmp_path / "other.json"), False)
+    assert not e.known
+    ids, edge = e.encode(["it's x12.", None, "a  b"])
+    assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == [x.ids for x in t.encode_batch(["it's x12.", "", "a  b"], add_special_tokens=False)]
+
+
 def ids_of(texts, name, end):
-    e = Encoder(vocabulary_file(name), name.startswith("byte"))
-    return [np.array([*x.ids, end], "<u4") for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    t = Tokenizer.from_file(vocabulary_file(name))
+    return [np.array([*x.ids, end], "<u4") for x in t.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_token_files(spark, docs_of, odd_rows, tmp_path):
@@ -244,6 +370,10 @@ def test_token_files(spark, docs_of, odd_rows, tmp_path):
     known = shard.doc_ids[:3]
     assert (shard.find(known, I._nth(known))[0] >= 0).all()
     assert (shard.find(np.arange(10**9, 10**9 + 1000), np.zeros(1000, np.int64))[0] == -1).all()
+    hot = docs_of([(9, f"t{i}") for i in range(400)] + [(None, "n")] * 300)  # an id that most rows share goes on over shards
+    again = I.token_ids(hot, str(tmp_path / "hot"), vocabulary_file("byte_bpe_50k.json"), shards=4).collect()
+    spans = sorted((r.start, r.n_tokens) for r in again)
+    assert len(again) == 700 and [a for a, _ in spans] == np.cumsum([0] + [n for _, n in spans])[:-1].tolist()
     assert I.token_ids(docs_of([]), str(tmp_path / "none"), vocabulary_file("byte_bpe_50k.json"), shards=2).collect() == []
 
 
@@ -279,6 +409,48 @@ def test_ogg_round_trip_and_damage(docs_of, odd_rows):
     assert O.read_ogg(O.to_ogg(docs_of([]))).collect() == []
 
 
+def plain_ogg(media):
+    """Another reader of the container: pages by their magic, a bit-by-bit checksum, packets by lacing, streams by serial number."""
+    def crc_of(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc & 0x80000000 else 0)) & 0xFFFFFFFF
+        return crc
+
+    at, pages, streams = 0, 0, {}
+    while at < len(media):
+        assert media[at : at + 4] == b"OggS"
+        n = media[at + 26]
+        lacing = media[at + 27 : at + 27 + n]
+        end = at + 27 + n + sum(lacing)
+        assert crc_of(media[at : at + 22] + bytes(4) + media[at + 26 : end]) == int.from_bytes(media[at + 22 : at + 26], "little")
+        packets = streams.setdefault(int.from_bytes(media[at + 14 : at + 18], "little"), [b""])
+        place = at + 27 + n
+        for v in lacing:
+            packets[-1] += media[place : place + v]
+            place += v
+            if v < 255:
+                packets.append(b"")
+        at, pages = end, pages + 1
+    whole = {s: p[:-1] for s, p in streams.items()}
+    turns = max(len(p) for p in whole.values()) - 1
+    sound = b"".join(whole[s][i + 1] for i in range(turns) for s in sorted(whole) if i + 1 < len(whole[s]))
+    return sound, pages, sum(len(p) - 1 for p in whole.values())
+
+
+def test_media_features_by_another_reader(docs_of, odd_rows):
+    docs = docs_of([r for r in odd_rows if len(r[1] or "") < 100_000 and r[0] != 5])
+    stored = O.to_ogg(docs)
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    for r in O.read_ogg(stored).collect():
+        sound, pages, packets = plain_ogg(files[r.doc_id])
+        cross = sum((a < 128) != (b < 128) for a, b in zip(sound, sound[1:]))
+        want = f"streams=2;pages={pages};packets={packets};seconds={len(sound) / 8000:.3f};mean={sum(sound) / len(sound):.4f};peak={max(sound)};crossings={cross}"
+        assert r.feature == want and r.payload_sha256 == hashlib.sha256(sound).hexdigest() and r.tail_crc32 == zlib.crc32(sound[-16:])
+
+
 def test_packing(docs_of, odd_rows):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "x1", "été"]) for _ in range(int(rng.expovariate(1 / 400))))) for i in range(300)]
