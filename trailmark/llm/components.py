@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from ._shared import dropped, written
 
 
+# The least nodes are dealt anew before they are joined: only a join of two exchanges can divide a node that many edges share.
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least node of the node's neighbourhood."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("a")
     return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it are tied to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("a")
     tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionAll(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b"))
 
