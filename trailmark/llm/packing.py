@@ -26,7 +26,7 @@ from ._shared import written
 
 CAPACITY, UNIT = 2048, 8
 #: Rows that are ranked together, about.
-CELL_ROWS = 50_000
+CELL_ROWS = 2_000
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, unit: int
     same = cut.groupBy("doc_id", "start", "length", "ids_crc32", "doc_tokens").agg(F.count("*").alias("k"))
     same = same.withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
     same = written(same, "pieces")
-    # each class has cells by its rows: their number grows with the pieces, and each has a row in what is broadcast
+    # each class has cells by its rows, so their number grows with the pieces
     counted = same.groupBy("size").agg(F.sum("k").alias("n"), F.count("*").alias("rows")).collect()  # capacity / unit rows
     demand = {r["size"]: r["n"] for r in counted}
     many = F.create_map(*(F.lit(int(x)) for r in counted for x in (r["size"], -(-r["rows"] // CELL_ROWS)))) if counted else F.create_map(F.lit(1), F.lit(1))
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, unit: int
     rows = _segments(plan(demand, capacity // unit))
     where = spark.createDataFrame(rows, "_size int, lo long, hi long, copies int, sequence long, place long")
     rank = F.sum("k").over(W.partitionBy("size", "cell").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")) - F.col("k")
-    ranked = same.withColumn("rank", rank.cast("long")).join(F.broadcast(cells.select("size", "cell", "base")), ["size", "cell"])
+    ranked = same.withColumn("rank", rank.cast("long")).join(cells.select("size", "cell", "base"), ["size", "cell"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base"))
     dealt = ranked.join(F.broadcast(where), (F.col("size") == F.col("_size")) & (F.col("rank") < F.col("hi")) & (F.col("rank") + F.col("k") > F.col("lo")))
     a, b = F.greatest("rank", "lo"), F.least(F.col("rank") + F.col("k"), F.col("hi")) - 1
