@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from ._shared import dropped, written
 
 
-def _dealt_anew(least: DataFrame) -> DataFrame:
-    """The same rows, of which the planner no longer knows how they are dealt: only a join of two exchanges of its own can divide a node that many edges share."""
-    return least.withColumn("a", F.bitwise_not(F.bitwise_not("a")))
+def dealt_anew(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows, of which the planner no longer knows how they are dealt by a key (a long).
+
+    Only a join of two exchanges of its own can divide a key that many rows of the other side share.
+    """
+    return rows.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least node of the node's neighbourhood."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(_dealt_anew(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.where(F.col("b") > F.col("a")).join(dealt_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it are tied to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(_dealt_anew(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = down.join(dealt_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionAll(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b"))
 
 

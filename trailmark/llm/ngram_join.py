@@ -41,7 +41,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import _text as X
 from ._shared import broadcast_value, dropped, free_name, written
-from .components import components
+from .components import components, dealt_anew
 
 BLOCK, LEAST = 512, 1024
 #: Clusters of at most so many blocks have all pairs of them worked on at once.
@@ -665,7 +665,7 @@ def _membership(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
         dropped(spark, table)
     mapped = light.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = mapped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return mapped.join(least, "root", "left"), twins
+    return mapped.join(dealt_anew(least, "root"), "root", "left"), twins
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
