@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of a table in the shared folder, which its writer holds in memory.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a folder of this session.
 
@@ -32,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read from there: its lineage ends here."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

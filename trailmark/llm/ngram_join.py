@@ -49,7 +49,9 @@ FEW = 8
 #: A sketch has two to the power of at least and at most so many cells; sets have two to four n-grams a cell.
 CELL_BITS = (5, 13)
 #: Text handled at once when segments are dealt out.
-DEAL_BYTES = 8 << 20
+DEAL_BYTES = 4 << 20
+#: Text whose n-grams are made at once.
+TEXT_BYTES = 2 << 20
 #: How many documents make an n-gram a common one; n-grams counted to find those, and bits of their map.
 COMMON, MARK_SAMPLE, MARK_BITS = 64, 1 << 24, 26
 #: Columns of an incidence matrix worked on at once: one vertical fragment in counting.
@@ -231,7 +233,7 @@ def common_grams(docs: DataFrame, light: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for whole in X.slices(batch, "text", DEAL_BYTES):
                 found = []
-                for part in X.slices(whole, "text"):
+                for part in X.slices(whole, "text", TEXT_BYTES):
                     grams, first = sets(*X.utf8(part.column("text")), k)
                     chosen = X.mix(nodes(grams, first).view(np.uint64)) <= limit
                     found.append(grams[np.repeat(chosen, np.diff(first))] >> np.uint64(64 - MARK_BITS))
@@ -268,7 +270,7 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
     levels = np.clip(np.ceil(np.log2(np.maximum(size, 1) / 4)), *CELL_BITS).astype(np.int64)
     for level in np.unique(levels[size > 0]).tolist():
         rows = np.flatnonzero((levels == level) & (size > 0))
-        for some in np.array_split(rows, -(-(len(rows) << level) >> 22)):
+        for some in np.array_split(rows, -(-(len(rows) << level) >> 20)):
             cell = ((grams[X.expand(first[some], size[some])] >> np.uint64(8)) & np.uint64((1 << level) - 1)).astype(np.int64)
             count = np.bincount((np.repeat(np.arange(len(some)), size[some]) << level) + cell, minlength=len(some) << level).reshape(len(some), -1)
             for i, row, most in zip(some.tolist(), count.astype(np.uint8), count.max(axis=1).tolist(), strict=True):
@@ -279,7 +281,7 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
 def _light(k: int):
     def run(batches):
         for batch in batches:
-            for part in X.slices(batch, "text"):
+            for part in X.slices(batch, "text", TEXT_BYTES):
                 grams, first = sets(*X.utf8(part.column("text")), k)
                 n = np.diff(first)
                 node, check = (pa.array(f(grams, first), pa.int64(), mask=n == 0) for f in (nodes, checks))
@@ -322,7 +324,7 @@ def _dealer(k: int, num: int, den: int, parts: int, common, twins: np.ndarray):
         for batch in batches:
             for whole in X.slices(batch, "text", DEAL_BYTES):
                 sig, node = [], []
-                for part in X.slices(whole, "text"):
+                for part in X.slices(whole, "text", TEXT_BYTES):
                     grams, first = sets(*X.utf8(part.column("text")), k)
                     s, i = segments(grams, first, num, den, common.value)
                     sig.append(s)
@@ -383,7 +385,7 @@ def _setter(k: int, twins: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            for part in X.slices(batch, "text"):
+            for part in X.slices(batch, "text", TEXT_BYTES):
                 grams, first = sets(*X.utf8(part.column("text")), k)
                 same = nodes(grams, first, twins) == part.column("node").to_numpy()
                 kept = part.filter(pa.array(same)).drop_columns(["text"])
@@ -711,7 +713,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
 def _tagger(k: int, text: str, name: str, twins: np.ndarray):
     def run(batches):
         for batch in batches:
-            for part in X.slices(batch, text):
+            for part in X.slices(batch, text, TEXT_BYTES):
                 grams, first = sets(*X.utf8(part.column(text)), k)
                 yield part.append_column(name, pa.array(nodes(grams, first, twins), pa.int64(), mask=np.diff(first) == 0))
 
