@@ -7,6 +7,7 @@ the length of a text; a result holds 24 bytes per word of the documents handled
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -89,6 +90,20 @@ def _lean() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def _trim() -> None:
+    """In a worker, give what was freed back to the system, so that it does not add up over the tasks of a worker."""
+    if TaskContext.get() is not None and _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``limit`` bytes of text, one row at least."""
     _lean()
@@ -99,6 +114,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    _trim()
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:

@@ -86,20 +86,16 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     rows = training_rows(docs, labels, label, doc_id=doc_id, text=text, per_class=per_class)
     half = F.xxhash64(F.col("text"), F.lit(3)) % 2 == 0
     size = F.octet_length("text")
-    texts: list[list[bytes]] = []
-    for y in (1, 0):
-        some = rows.where((F.col("y") == y) & half & (size > 0))
-        # sizes first (per_class rows at most), so that only texts that fit are fetched
-        some = some.select(F.xxhash64("text", F.lit(11)).alias("h"), F.xxhash64("text", F.lit(12)).alias("g"), size.alias("size"), "text")
-        sizes = some.groupBy("h", "g").agg(F.max("size").alias("size")).collect()
-        fits, total = [], 0
-        for h, g, n in sorted(map(tuple, sizes)):
-            if total + n <= DICTIONARY_SAMPLE:
-                fits.append((h, g))
-                total += n
-        wanted = F.broadcast(spark.createDataFrame(fits, "h long, g long"))
-        found = some.join(wanted, ["h", "g"]).groupBy("h", "g").agg(F.min("text").alias("text")).collect()  # DICTIONARY_SAMPLE bytes at most
-        texts.append([r[2].encode() for r in sorted(map(tuple, found))])
+    # sizes first (2 * per_class rows at most), so that only texts that fit are fetched; both classes in one reading each
+    some = rows.where(half & (size > 0)).select("y", F.xxhash64("text", F.lit(11)).alias("h"), F.xxhash64("text", F.lit(12)).alias("g"), "text")
+    fits, total = [], {0: 0, 1: 0}
+    for h, g, y, n in sorted(map(tuple, some.select("h", "g", "y", size.alias("size")).distinct().collect())):
+        if total[y] + n <= DICTIONARY_SAMPLE:
+            fits.append((h, g, y))
+            total[y] += n
+    wanted = F.broadcast(spark.createDataFrame(fits, "h long, g long, y int"))
+    found = some.join(wanted, ["h", "g", "y"]).dropDuplicates(["h", "g", "y"]).collect()  # DICTIONARY_SAMPLE bytes a class at most
+    texts = [[r["text"].encode() for r in sorted(found, key=lambda r: (r["h"], r["g"])) if r["y"] == y] for y in (1, 0)]
     good, bad = map(_dictionary, texts)
     shared = broadcast_value(spark, (good, bad))
 
