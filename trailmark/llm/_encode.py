@@ -279,6 +279,9 @@ def encoder(path: str, byte_level: bool) -> Encoder:
     return Encoder(path, byte_level)
 
 
+X.keeps("encode", encoder.cache_clear)
+
+
 def encoded(batches, tokens: Encoder, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of the batches with the ids of their texts, and where each text's begin."""
     for batch in batches:

@@ -90,6 +90,23 @@ def _lean() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
 
 
+#: What operators keep in a worker from task to task, by their name, and how it is let go.
+_KEPT: dict[str, object] = {}
+
+
+def keeps(name: str, clear) -> None:
+    """An operator keeps tables in its worker, and ``clear`` lets them go."""
+    _KEPT[name] = clear
+
+
+def only(name: str) -> None:
+    """In a worker, the tables of one operator at a time are kept: those of others go."""
+    if TaskContext.get() is not None:
+        for other, clear in _KEPT.items():
+            if other != name:
+                clear()
+
+
 @lru_cache(maxsize=1)
 def _libc():
     try:

@@ -230,6 +230,7 @@ def common_grams(docs: DataFrame, light: DataFrame, k: int) -> np.ndarray:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches):
+        X.only("ngram_join")
         for batch in batches:
             for whole in X.slices(batch, "text", DEAL_BYTES):
                 found = []
@@ -280,6 +281,7 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 def _light(k: int):
     def run(batches):
+        X.only("ngram_join")
         for batch in batches:
             for part in X.slices(batch, "text", TEXT_BYTES):
                 grams, first = sets(*X.utf8(part.column("text")), k)
@@ -321,6 +323,7 @@ def _dealer(k: int, num: int, den: int, parts: int, common, twins: np.ndarray):
     """
 
     def run(batches):
+        X.only("ngram_join")
         for batch in batches:
             for whole in X.slices(batch, "text", DEAL_BYTES):
                 sig, node = [], []
