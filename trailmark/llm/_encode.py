@@ -27,7 +27,7 @@ from . import _text as X
 #: Words kept by one worker (about 30 bytes each); the table starts anew beyond it.
 MOST_KEYS = 1_500_000
 #: Bytes of text encoded at once, and ids gathered at once.
-TEXT_BYTES, GATHER = 12 << 20, 1 << 20
+TEXT_BYTES, GATHER = 6 << 20, 1 << 20
 _DOUBLE = r"\s\s|^\s|\s$|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Words that may be cut here: Latin blocks without control characters and white space.
