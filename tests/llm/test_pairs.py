@@ -162,6 +162,18 @@ def test_every_linked_pair_shares_a_segment():
                     assert set(s[who == 0].tolist()) & set(s[who == 1].tolist())
 
 
+def test_strangers_seldom_meet():
+    """Unlike sets that share single n-grams by chance are not tied together, or a table's clusters would grow with its square."""
+    rng = np.random.default_rng(5)
+    arrays = [np.unique(J.X.mix(rng.integers(0, 40_000, 300).astype(np.uint64))) for _ in range(400)]
+    grams, first = np.concatenate(arrays), np.cumsum([0, *map(len, arrays)])
+    for num in (80, 90):
+        s, who = J.segments(grams, first, num, 100)
+        _, key, times = np.unique(s, return_inverse=True, return_counts=True)
+        assert np.isin(np.arange(400), who).all()
+        assert len(np.unique(who[times[key] > 1])) < 80
+
+
 def test_screen_keeps_every_linked_pair():
     rng = np.random.default_rng(8)
     for num in (80, 90):

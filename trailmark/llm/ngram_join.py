@@ -4,9 +4,10 @@ The global order of n-grams is that of their hashes; it is cut into fragments, a
 segments that fall in them.  Two sets that reach the threshold differ in at most k n-grams, k following
 from their sizes, so of more than k fragments one at least is the same in both.  Sets meet where a
 segment is equal (the number of fragments depends on the class of size; a set is also cut as the next class is, if
-a partner can be there).  Segments of few n-grams would bring strangers together: sets have a few more
-fragments than needed and leave out the short ones, unless too many of them are short.  N-grams that many
-documents share (passages, licence lines) are left out too, of sets that have enough others.
+a partner can be there).  Segments of few n-grams would bring strangers together, the more the larger the table, until
+chance ties most of it into one cluster: sets have a few more fragments than needed, and of their segments, in one order for all
+sets, only the first k + 1 count.  Those with many n-grams come first; n-grams that many documents share (passages, licence
+lines) don't add to that.
 
 Sets that meet, directly or through others, form a cluster.  Clusters are first screened by sketches: the
 numbers of n-grams in cells of the order bound the difference of two sets from below, so
@@ -105,12 +106,12 @@ def checks(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def scheme(size_class: int, num: int, den: int) -> tuple[int, int, int, int, int]:
-    """Of a class of sizes: least and greatest size, number of fragments, short ones allowed, least long segment."""
+def scheme(size_class: int, num: int, den: int) -> int:
+    """The number of fragments of a class of sizes: with those that are likely to be short, more than the greatest difference."""
     lo, hi = _bounds(size_class, num, den)
     k = (den - num) * 2 * hi // (den + num)
     if k == 0:
-        return lo, hi, 0, 0, 0
+        return 0
     per = lo / (k + 1)
     least = 3 if per >= 7 else 2 if per >= 5 else 1
     spare = 0
@@ -122,7 +123,7 @@ def scheme(size_class: int, num: int, den: int) -> tuple[int, int, int, int, int
         if want <= spare:
             break
         spare = min(want, k + 8)
-    return lo, hi, k + 1 + spare, spare, least
+    return k + 1 + spare
 
 
 @lru_cache(maxsize=4096)
@@ -138,39 +139,46 @@ def _class_of(n: int, num: int, den: int) -> int:
     return c
 
 
-def _cut(grams: np.ndarray, owner: np.ndarray, table: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``signature, set, long enough`` of the segments of sorted n-grams; ``table`` has each set's class, parts, spare, least."""
-    c, parts, _, least = table[owner].T
+def _cut(grams: np.ndarray, owner: np.ndarray, table: np.ndarray, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signature, set, commonness`` of the segments of sorted n-grams; ``table`` has each set's class and parts."""
+    c, parts = table[owner, 0], table[owner, 1]
     piece = ((grams >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
     new = np.ones(len(grams), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])
     at = np.flatnonzero(new)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     count = np.diff(np.append(at, len(grams)))
+    rare = count if common is None else np.add.reduceat((~_marked(grams, common)).astype(np.int64), at)
     total = np.add.reduceat(X.mix(grams ^ np.uint64(0xA0761D6478BD642F)), at)
-    return X.mix(total ^ _tag(c[at], piece[at], salt)), owner[at], count >= least[at]
+    return X.mix(total ^ _tag(c[at], piece[at])), owner[at], 15 - 4 * np.minimum(rare, 3) - np.minimum(count, 3)
 
 
-def _tag(size_class, piece: np.ndarray, salt: int) -> np.ndarray:
-    return X.mix((np.asarray(size_class).astype(np.uint64) << np.uint64(40)) ^ (piece + np.uint64(1)) ^ (np.uint64(salt) << np.uint64(60)))
+def _tag(size_class, piece: np.ndarray) -> np.ndarray:
+    return X.mix((np.asarray(size_class).astype(np.uint64) << np.uint64(40)) ^ (piece + np.uint64(1)))
 
 
-def _empty(rows: np.ndarray, table: np.ndarray, grams: np.ndarray, owner: np.ndarray, salt: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures of the empty segments of some sets."""
-    for i in rows.tolist():
+def _empty(rows: np.ndarray, need: np.ndarray, table: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of the first empty segments of some sets."""
+    for i, n in zip(rows.tolist(), need.tolist(), strict=True):
         g = grams[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
         have = np.unique(((g >> np.uint64(32)) * np.uint64(table[i, 1])) >> np.uint64(32))
         gone = np.setdiff1d(np.arange(table[i, 1], dtype=np.uint64), have)
-        yield X.mix(_tag(table[i, 0], gone, salt)), np.full(len(gone), i)
+        first = np.sort(X.mix(_tag(table[i, 0], gone)))[:n]
+        yield first, np.full(len(first), i)
+
+
+def _most(n: int, size_class: int, num: int, den: int) -> int:
+    """In how many n-grams at most a set of n differs from one that reaches the threshold and is cut as this class is."""
+    return (den - num) * (n + min(n * den // num, _bounds(size_class, num, den)[1])) // (den + num)
 
 
 def segments(grams: np.ndarray, first: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``signature, set``: of every set the segments by which others can meet it.
 
-    ``common`` is a bitmap of n-grams that many documents have.  Sets that differ in at most k n-grams differ
-    in no more of the others, so segments of the others alone will do for sets that have enough of them
-    (whatever n-grams the bitmap marks); the rest are cut with all their n-grams as well.
+    ``common`` is a bitmap of n-grams that many documents have.  All segments have one order, which depends on nothing
+    but themselves: those with most n-grams that are not common come first, empty ones last.  Two sets that differ in at
+    most k n-grams have the first of their equal segments among the first k + 1 of each, whatever n-grams the bitmap marks.
     """
     size = np.diff(first)
     lookup = {}
@@ -182,29 +190,26 @@ def segments(grams: np.ndarray, first: np.ndarray, num: int, den: int, common: n
         lookup[n] = own
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for turn in (0, 1):
-        plans = {n: (cs[turn], *scheme(cs[turn], num, den)[2:]) for n, cs in lookup.items() if len(cs) > turn}
+        plans = {n: (cs[turn], scheme(cs[turn], num, den), _most(n, cs[turn], num, den) + 1) for n, cs in lookup.items() if len(cs) > turn}
         plans = {n: p for n, p in plans.items() if p[1]}
         if not plans:
             continue
-        by_size = np.zeros((int(size.max()) + 1, 4), np.int64)
+        by_size = np.zeros((int(size.max()) + 1, 3), np.int64)
         for n, p in plans.items():
             by_size[n] = p
         table = by_size[size]
         rows = np.flatnonzero(table[:, 1] > 0)
         which = np.repeat(rows, size[rows])
         g = grams[X.expand(first[rows], size[rows])]
-        for salt, some in enumerate((None, common)[: 1 if common is None else 2][::-1]):
-            rare = np.ones(len(g), bool) if some is None else ~_marked(g, some)
-            signature, owner, long_ = _cut(g[rare], which[rare], table, salt)
-            n_long = np.bincount(owner[long_], minlength=len(size))
-            weak = table[:, 1] - n_long > table[:, 2]  # too many short segments: all of them count
-            keep = long_ | weak[owner]
-            out.append((signature[keep], owner[keep]))
-            if some is None:
-                out += _empty(np.flatnonzero(weak & (table[:, 1] > 0)), table, g, which, salt)
-            else:  # only the weak ones are cut again, with all they have
-                g, which = g[weak[which]], which[weak[which]]
-                table = table * weak[:, None]
+        signature, owner, commonness = _cut(g, which, table, common)
+        held = np.bincount(owner, minlength=len(size))
+        order = np.lexsort(((signature >> np.uint64(4)) | (commonness.astype(np.uint64) << np.uint64(60)), owner))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
+        order = order[place < table[owner, 2]]  # owners rise, so they stand as before
+        out.append((signature[order], owner[order]))
+        need = table[:, 2] - held
+        few = np.flatnonzero((table[:, 1] > 0) & (need > 0))
+        out += _empty(few, need[few], table, g, which)
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate([s for s, _ in out]), np.concatenate([o for _, o in out])
