@@ -81,6 +81,20 @@ def test_join_with_common_grams(docs_of, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 90, 100)
 
 
+def test_common_grams_are_counted_on_all_documents(spark, monkeypatch):
+    """No sample decides which n-grams are common: a map made from all texts has the same bits."""
+    monkeypatch.setattr(J, "COMMON", 3)
+    monkeypatch.setattr(J, "MARK_SAMPLE", 50, raising=False)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", "aa"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    grams, first = J.sets(*J.X.utf8(J.pa.array(texts, J.pa.string())), 5)
+    names, times = np.unique(grams, return_counts=True)
+    assert (times >= 3).any() and (times < 3).any()
+    bitmap = J.common_grams(docs, spark.createDataFrame([(len(grams),)], "n_shingles long"), 5)
+    assert (J._marked(names, bitmap) == (times >= 3)).all()
+
+
 def test_join_with_small_blocks(docs_of, monkeypatch):
     """Clusters of many blocks: every pair of blocks is looked at."""
     monkeypatch.setattr(J, "BLOCK", 4)

@@ -53,8 +53,10 @@ CELL_BITS = (5, 13)
 DEAL_BYTES = 4 << 20
 #: Text whose n-grams are made at once.
 TEXT_BYTES = 2 << 20
-#: How many documents make an n-gram a common one; n-grams counted to find those, and bits of their map.
-COMMON, MARK_SAMPLE, MARK_BITS = 64, 1 << 24, 26
+#: How many documents make an n-gram a common one, and bits of the map of those.
+COMMON, MARK_BITS = 64, 26
+#: N-grams that a task counts at once, about.
+COUNTED = 1 << 22
 #: Columns of an incidence matrix worked on at once: one vertical fragment in counting.
 WIDTH = 4096
 
@@ -221,49 +223,46 @@ def _marked(grams: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def common_grams(docs: DataFrame, light: DataFrame, k: int) -> np.ndarray:
-    """A bitmap of the n-grams that more than about ``COMMON`` documents have: a hint, which changes no result.
+    """A bitmap of the n-grams that at least ``COMMON`` documents have: a hint, which changes no result.
 
-    It is counted on all documents, or on as many, chosen by the hashes of their sets, as have ``MARK_SAMPLE``
-    n-grams between them.  The bitmap has a fixed size; an n-gram that shares a bit with a common one
-    counts as common.
+    Every n-gram of every document is counted, by 32 bits of its hash beside those that choose its part; parts grow in
+    number with the table.  A part is a stretch of the bitmap, which has a fixed size; an n-gram that shares a bit with a
+    common one counts as common.
     """
-    spark = docs.sparkSession
     total = light.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    rate = min(1.0, MARK_SAMPLE / max(total, 1))
-    least = max(4, math.ceil(COMMON * rate))
-    limit = np.uint64(min(2**64 - 1, int(rate * 2**64)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = min(16, max(4, math.ceil(math.log2(max(total / COUNTED, 1)))))
 
     def deal(batches):
         X.only("ngram_join")
         for batch in batches:
             for whole in X.slices(batch, "text", DEAL_BYTES):
-                found = []
-                for part in X.slices(whole, "text", TEXT_BYTES):
-                    grams, first = sets(*X.utf8(part.column("text")), k)
-                    chosen = X.mix(nodes(grams, first).view(np.uint64)) <= limit
-                    found.append(grams[np.repeat(chosen, np.diff(first))] >> np.uint64(64 - MARK_BITS))
-                bits, count = np.unique(np.concatenate(found), return_counts=True)
-                edge = np.searchsorted(bits * np.uint64(parts) >> np.uint64(MARK_BITS), np.arange(parts + 1, dtype=np.uint64))
+                found = [sets(*X.utf8(part.column("text")), k)[0] >> np.uint64(32 - level) for part in X.slices(whole, "text", TEXT_BYTES)]
+                grams = np.sort(np.concatenate(found))
+                grams = grams[np.append(np.ones(min(COMMON, len(grams)), bool), grams[COMMON:] != grams[:-COMMON])]  # more of one add nothing
+                edge = np.searchsorted(grams >> np.uint64(32), np.arange((1 << level) + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(edge))
-                spans = [(edge[i], edge[i + 1]) for i in full.tolist()]
-                cols = [pa.array([x[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()) for x in (bits, count)]
-                yield pa.record_batch([pa.array(full, pa.int32()), *cols], ["part", "bits", "counts"])
+                blobs = [grams[edge[i] : edge[i + 1]].astype(np.uint32).tobytes() for i in full.tolist()]
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["part", "grams"])
 
     def add(batches):
-        bits, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            bits += [np.frombuffer(x, np.uint32) for x in batch.column("bits").to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in batch.column("counts").to_pylist()]
-        at, place = np.unique(np.concatenate(bits), return_inverse=True)
-        at = at[np.bincount(place, np.concatenate(counts), minlength=len(at)) >= least]
-        yield pa.record_batch([pa.array([at.astype(np.uint32).tobytes()], pa.binary())], ["bits"])
-
-    dealt = docs.select("text").mapInArrow(deal, "part int, bits binary, counts binary").repartition(parts, "part")
-    flags = np.zeros(1 << MARK_BITS, bool)
-    for row in dealt.mapInArrow(add, "bits binary").collect():  # at most MARK_SAMPLE / least numbers in all
-        flags[np.frombuffer(row[0], np.uint32)] = True
-    return np.packbits(flags, bitorder="little")
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(blob, np.uint32))
+        for part, blobs in held.items():
+            grams = np.sort(np.concatenate(blobs))
+            blobs.clear()
+            often = grams[COMMON - 1 :][grams[COMMON - 1 :] == grams[: max(len(grams) - COMMON + 1, 0)]]  # at the end of a run of so many
+            flags = np.zeros(1 << (MARK_BITS - level), bool)
+            flags[often >> np.uint32(32 + level - MARK_BITS)] = True
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    dealt = docs.select("text").mapInArrow(deal, "part int, grams binary").repartition(1 << level, "part")
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    width = len(out) >> level
+    for part, bits in dealt.mapInArrow(add, "part int, bits binary").collect():  # the bitmap's size in all
+        out[part * width : (part + 1) * width] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
