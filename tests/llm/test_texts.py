@@ -147,6 +147,19 @@ def test_copies_and_quotations_stay(spark):
     assert [got[i] for i in range(len(pages))] == want
 
 
+def test_one_repeated_run_covers_a_block(spark):
+    """Pieces that different pages repeat do not make a block boilerplate; one run that the same pages have does."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    one, two, long_, menu = words(9), words(8), words(30), words(12)
+    head, tail = " ".join(long_.split()[:20]), " ".join(long_.split()[10:])
+    ends = [one] * 3 + [two] * 3 + [head] * 3 + [tail] * 3 + [f"{one} {two}", long_]
+    bodies = [words(30) for _ in ends]
+    rows = [(i, "http://h.org/x", f"<body><div>{menu}</div><p>{body}</p><div>{end}</div></body>") for i, (body, end) in enumerate(zip(bodies, ends, strict=True))]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: body if i < 12 else f"{body}\n{end}" for i, (body, end) in enumerate(zip(bodies, ends, strict=True))}
+
+
 def test_suffix_runs_equal_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(50):

@@ -6,10 +6,11 @@ an element that markup names as menu, header, footer, sidebar, notice, advert, f
 
 For each host the boilerplate and open blocks of its pages form token streams.  They are concatenated,
 one page after the other, and their suffixes are sorted by prefix doubling to the depth of ``LENGTH``
-tokens; neighbours that agree that far are occurrences of one repeated substring, and any longer
-repeat is a chain of those.  A run is boilerplate that at least ``PAGES`` distinct pages of a host share,
+tokens; neighbours that agree that far are occurrences of one repeated substring, and a longer
+repeat is a chain of those, each a token after the one before, as far as the same pages have them all.  A run is boilerplate
+that at least ``PAGES`` distinct pages of a host share,
 and at least ``SHARE`` of its distinct pages; pages of equal main text (article and open blocks) are one.  Open blocks
-that such runs cover from end to end are left out; a block with anything else in it stays whole, and so
+that one such run covers from end to end are left out; a block with anything else in it stays whole, and so
 does a page of which nothing would be left.  Blocks whose role markup settles are not changed by
 repetition, since articles may quote and copy each other.
 
@@ -339,33 +340,41 @@ def _cutter(batches):
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array(opened, kind)], ["page_id", "url", "text", "page_key", "blocks"])
 
 
-def _keeper(length: int):
-    """The text of pages with open blocks: the blocks that repeated runs don't cover whole, or all if none is left."""
-
-    def kept(parts: list[dict], places: list[int]) -> str:
-        n = sum(len(p["text"].split(" ")) for p in parts if p["role"] != CONTENT)
-        edge = np.zeros(n + 1, np.int64)
-        at = np.unique(np.asarray(places or [], np.int64))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + length, n), -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        out, i = [], 0
-        for p in parts:
-            size = len(p["text"].split(" "))
-            if p["role"] == CONTENT or (p["role"] == OPEN and not covered[i : i + size].all()):
-                out.append(p["text"])
-            if p["role"] != CONTENT:
-                i += size
-        return "\n".join(out or [p["text"] for p in parts if p["role"] == OPEN])
+def _chains(length: int):
+    """``page_key, block, place`` of the open blocks that shared substrings may cover: the chain of places from a block's start to its end.
+
+    A block of fewer tokens than a substring has is covered by one round it, and has the first such place.
+    """
 
     def run(batches):
         for batch in batches:
-            texts = [kept(b, p) for b, p in zip(batch.column("blocks").to_pylist(), batch.column("places").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            out: list[tuple[int, int, int]] = []
+            for key, parts, places in zip(*(batch.column(c).to_pylist() for c in ("page_key", "blocks", "places")), strict=True):
+                at, i = set(places), 0
+                for block, p in enumerate(parts):
+                    size = 0 if p["role"] == CONTENT else len(p["text"].split(" "))
+                    if p["role"] == OPEN:
+                        inner = range(i, i + size - length + 1)
+                        round_it = [x for x in range(max(i + size - length, 0), i + 1) if x in at] if size < length else []
+                        chain = round_it[:1] or (inner if len(inner) and all(x in at for x in inner) else [])
+                        out += [(key, block, x) for x in chain]
+                    i += size
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[x] for r in out], pa.int32()) for x in (1, 2))], ["page_key", "block", "place"])
 
     return run
 
 
+def _keeper(batches):
+    """The text of pages with open blocks: all but the blocks that repeated runs cover, or all if none is left."""
+    for batch in batches:
+        texts = []
+        for parts, gone in zip(batch.column("blocks").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            left_out = set(gone or [])
+            out = [p["text"] for i, p in enumerate(parts) if p["role"] == CONTENT or (p["role"] == OPEN and i not in left_out)]
+            texts.append("\n".join(out or [p["text"] for p in parts if p["role"] == OPEN]))
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_column: str = "html", length: int = LENGTH, shared_by: int = PAGES, share: float = SHARE) -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of every row.
 
@@ -383,9 +392,18 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     counted = each.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= shared_by)
     pages_of = found.where(F.col("run").isNull()).select("host", F.explode("contents").alias("content")).distinct().groupBy("host").agg(F.count("*").alias("of"))
     shared = counted.join(pages_of, "host").where(F.col("n") >= F.col("of") * share).select("host", "run")
-    covered = occurring.join(shared, ["host", "run"])
-    covered = covered.groupBy("page_key").agg(F.collect_set("place").alias("places"))
     cut = base.mapInArrow(_cutter, f"page_id {kind}, url string, text string, page_key long, blocks array<struct<role:int,text:string>>")
     settled = cut.where(F.col("page_key").isNull()).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-    opened = cut.where(F.col("page_key").isNotNull()).join(covered, "page_key", "left").select("page_id", "url", "blocks", "places")
-    return settled.unionByName(opened.mapInArrow(_keeper(length), f"page_id {kind}, url string, text string, n_chars long"))
+    opened = written(cut.where(F.col("page_key").isNotNull()), "opened")  # read twice
+    covered = occurring.join(shared, ["host", "run"]).distinct()
+    places = covered.groupBy("page_key").agg(F.collect_set("place").alias("places"))
+    chains = opened.select("page_key", "blocks").dropDuplicates(["page_key"]).join(places, "page_key").mapInArrow(_chains(length), "page_key long, block int, place int")
+    chains = chains.join(covered, ["page_key", "place"]).groupBy("host", "page_key", "block").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    # pages that have all of a chain, counted once for all blocks of equal chains
+    links = chains.select("host", "runs").distinct().select("host", "runs", F.explode("runs").alias("run")).withColumn("chain", F.xxhash64("runs"))
+    having = links.join(each, ["host", "run"]).groupBy("host", "chain", "content").agg(F.count("*").alias("n"), F.max(F.size("runs")).alias("of")).where("n = of")
+    whole = having.groupBy("host", "chain").agg(F.count("*").alias("n")).where(F.col("n") >= shared_by).join(pages_of, "host")
+    whole = whole.where(F.col("n") >= F.col("of") * share).select("host", "chain")
+    gone = chains.withColumn("chain", F.xxhash64("runs")).join(whole, ["host", "chain"]).groupBy("page_key").agg(F.collect_set("block").alias("gone"))
+    kept = opened.join(gone, "page_key", "left").select("page_id", "url", "blocks", "gone")
+    return settled.unionByName(kept.mapInArrow(_keeper, f"page_id {kind}, url string, text string, n_chars long"))
