@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import EDGE_TYPES
 from ..functions.geometry import distance
+from ..session import spread
 
 LINE = ("map_id", "line_id")
 
@@ -38,22 +39,46 @@ def graph(points: DataFrame, interpolate: bool = False, interp_distance: float |
     pieces.  Node types are NONE.  Points without coordinates are left out before lines are joined.
     """
     target = interpolation(interpolate, interp_distance)
-    w = W.partitionBy(*LINE).orderBy("pos")
-    known = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ends = known.select("map_id", "edge_type", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"))
-    lines = ends.where(F.col("x1").isNotNull() & ((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))))
-    if target is not None:
-        cut = interpolate_edges(lines, target)
-        own = ["map_id", "edge_type"]
-        lines = cut.select(*own, F.col("xa").alias("x0"), F.col("ya").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    spots = known.select("map_id", "x", "y")
+    spots = _known(points).select("map_id", "x", "y")
     if target is not None:
-        spots = spots.unionByName(lines.select("map_id", F.col("x1").alias("x"), F.col("y1").alias("y")))
+        spots = spots.unionByName(interpolate_edges(_lines(points), target).select("map_id", "x", "y"))
     nodes = spots.withColumn("node", place(F.col("x"), F.col("y"))).groupBy("map_id", "node").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    edges = lines.select("map_id", place(F.col("x0"), F.col("y0")).alias("src"), place(F.col("x1"), F.col("y1")).alias("dst"), "edge_type").distinct()
+    edges = placed_edges(points, interpolate, interp_distance)
+    edges = edges.select("map_id", place(F.col("x0"), F.col("y0")).alias("src"), place(F.col("x1"), F.col("y1")).alias("dst"), "edge_type")
     return nodes.withColumn("node_type", F.lit(EDGE_TYPES["NONE"])), edges
 
 
+def _known(points: DataFrame) -> DataFrame:
+    return points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def _lines(points: DataFrame) -> DataFrame:
+    """``map_id, edge_type, x0, y0, x1, y1`` of consecutive points at different places."""
+    w = W.partitionBy(*LINE).orderBy("pos")
+    ends = _known(points).select("map_id", "edge_type", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"))
+    return ends.where(F.col("x1").isNotNull() & ((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))))
+
+
+def placed_edges(points: DataFrame, interpolate: bool = False, interp_distance: float | None = None, at=lambda c: c) -> DataFrame:
+    """The edges of graph() by the places of their ends: ``map_id, x0, y0, x1, y1, edge_type``, each once.
+
+    ``at`` gives the coordinate of a place, such as a rounded one; edges are distinct by those.  Equal pieces begin at one
+    place, so they meet in its tile: whole edges are sent to the tiles in which their pieces begin, and cut there.
+    """
+    target = interpolation(interpolate, interp_distance)
+    lines, ends = _lines(points), ("x0", "y0", "x1", "y1")
+    if target is None:
+        return lines.select("map_id", *(at(F.col(c)).alias(c) for c in ends), "edge_type").distinct()
+    tile = lambda x, y: F.struct(*(F.floor(at(c) / F.lit(100.0 * target)).alias(n) for n, c in (("i", x), ("j", y))))
+    start = lambda i: tile(*(F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * ((i - 1) / _pieces(target)) for c in ("x", "y")))
+    near, far = tile(F.col("x0"), F.col("y0")), tile(F.col("x1"), F.col("y1"))
+    tiles = F.when(near == far, F.array(near)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), _pieces(target)), start)))
+    sent = spread(lines.withColumn("_t", F.explode(tiles)), 16, "map_id", "_t")
+    cut = interpolate_edges(sent, target).where(F.col("_t") == tile(F.col("xa"), F.col("ya")))
+    own = zip(ends, ("xa", "ya", "x", "y"), strict=True)
+    return cut.select("map_id", "_t", *(at(F.col(c)).alias(n) for n, c in own), "edge_type").distinct().drop("_t")
+
+
 def interpolate_edges(edges: DataFrame, target: float) -> DataFrame:
     """interpolate() with both ends of each piece: ``xa, ya`` to ``x, y``; the last piece ends exactly at the far node."""
     cut = interpolate(edges, target)
@@ -139,11 +164,14 @@ def delta_decode(points: DataFrame, scale: float = 0.01, columns=("dx", "dy"), n
     return points.withColumns({n: F.sum(c).over(w) * F.lit(scale) for c, n in zip(columns, names, strict=True)})
 
 
+def _pieces(target: float) -> Column:
+    d = distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return F.greatest(F.ceil(d / F.lit(float(target))), F.lit(1)).cast("int")
+
+
 def interpolate(edges: DataFrame, target: float) -> DataFrame:
     """Edges (``.., x0, y0, x1, y1``) cut into ``ceil(length / target)`` equal pieces that end at the far node: ``piece, x, y``."""
-    d = distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    n = F.greatest(F.ceil(d / F.lit(float(target))), F.lit(1)).cast("int")
-    cut = edges.withColumn("pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
+    cut = edges.withColumn("pieces", _pieces(target)).withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
     part = F.col("piece") / F.col("pieces")
     return cut.withColumns({"x": F.col("x0") + (F.col("x1") - F.col("x0")) * part, "y": F.col("y0") + (F.col("y1") - F.col("y0")) * part})
 

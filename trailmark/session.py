@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -42,6 +42,23 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def pieces(df: DataFrame, mb: float) -> int:
+    """How many pieces have ``mb`` each of the files that df is read from (rows made in the driver count as nothing)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return -(-sum(n for n in sizes if n < 1 << 50) // int(mb * 1_000_000))
+
+
+def spread(df: DataFrame, mb: float, *keys: str | Column) -> DataFrame:
+    """Rows dealt by keys into pieces of ``mb`` of the files that they come from, so that a task's memory does not grow with the table.
+
+    Merging of shuffled partitions goes by their compressed bytes, which say little about what a task makes of them.
+    Where there are no more pieces than tasks run at once, rows stay as they are.
+    """
+    n = pieces(df, mb)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read from there: its lineage ends here."""
     path = fresh(df.sparkSession, name)

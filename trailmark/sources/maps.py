@@ -152,15 +152,13 @@ def lane_json(spark: SparkSession, path: str, none_as: str = "VIRTUAL") -> DataF
     """Both boundaries of lane segments and both edges of crossings of a map JSON keyed by ids; marks of type NONE are ``none_as``."""
     raw = _lane_json(spark, path)
     marks = {k: _E[none_as if v == "NONE" else v] for k, v in LANE_MARKS.items()}
-    parts = []
-    lanes = raw.select("map_id", F.explode(F.map_values("lane_segments")).alias("l"))
-    for side in ("left", "right"):
-        kind = codes.lookup(marks, F.col(f"l.{side}_lane_mark_type"), _E[none_as])
-        parts.append(lanes.select("map_id", F.concat(F.lit(f"{side}-"), F.col("l.id")).alias("line_id"), F.posexplode(f"l.{side}_lane_boundary").alias("pos", "p"), kind.alias("edge_type")))
-    walks = raw.select("map_id", F.explode(F.map_values("pedestrian_crossings")).alias("c"))
-    for edge in ("edge1", "edge2"):
-        parts.append(walks.select("map_id", F.concat(F.lit(f"{edge}-"), F.col("c.id")).alias("line_id"), F.posexplode(f"c.{edge}").alias("pos", "p"), F.lit(_E["PEDESTRIAN_MARKING"]).alias("edge_type")))
-    return _union(parts).select("map_id", "line_id", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "edge_type")
+    line = lambda name, of, points, kind: F.struct(F.concat(F.lit(f"{name}-"), of["id"]).alias("line_id"), of[points].alias("points"), kind.cast("int").alias("edge_type"))
+    sides = lambda s: F.array(*(line(n, s, f"{n}_lane_boundary", codes.lookup(marks, s[f"{n}_lane_mark_type"], _E[none_as])) for n in ("left", "right")))
+    edges = lambda c: F.array(*(line(n, c, n, F.lit(_E["PEDESTRIAN_MARKING"])) for n in ("edge1", "edge2")))
+    each = (F.flatten(F.transform(F.map_values(c), f)) for c, f in (("lane_segments", sides), ("pedestrian_crossings", edges)))
+    lines = raw.select("map_id", F.explode(F.concat(*(F.coalesce(e, F.array()) for e in each))).alias("l"))  # all lines of a file in one reading of it
+    points = lines.select("map_id", "l.line_id", F.posexplode("l.points").alias("pos", "p"), "l.edge_type")
+    return points.select("map_id", "line_id", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "edge_type")
 
 
 def drivable_areas(spark: SparkSession, path: str) -> DataFrame:
