@@ -1,13 +1,21 @@
 """Steps whose cost must not grow faster than their tables: what they give, and how often they read and deal."""
 
 import json
+import math
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trailmark import session as of_session
+from trailmark.operators import filters as P
 from trailmark.operators import mapgraph as G
+from trailmark.operators import metrics as M
+from trailmark.operators import neighbors as N
+from trailmark.plans.views import prediction_tables
+from trailmark.registry import QUERIES
 from trailmark.sources import maps
+from trailmark.streaming import metrics as stream
 
 
 def plan(df) -> str:
@@ -40,7 +48,69 @@ def test_pieces_of_files(spark, tmp_path):
     spark.range(100_000).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     assert of_session.pieces(df, 1000) == 1 and of_session.pieces(spark.range(5).union(spark.createDataFrame([(1,)], "id long")), 1) <= 1
-    assert of_session.spread(df, 1000, "id") is df
+    assert "REPARTITION_BY_COL" in plan(of_session.spread(df, 1000, "id"))
     n = of_session.pieces(df, 0.01)
     assert n > 8 and of_session.spread(df, 0.01, "id").rdd.getNumPartitions() == n
     assert of_session.spread(df, 0.01, "id").agg(F.count("*")).collect()[0][0] == 100_000
+
+
+def test_stream_keeps_nothing_on_the_driver(spark, tmp_path):
+    """Two batches that share an agent: sums add up, the last step decides, and no table in memory is left behind."""
+    rows = [[(1, 1, 0, 0, 1.0), (1, 1, 0, 5, 7.0), (1, 2, 0, 0, 2.0)], [(1, 1, 0, 3, 4.0), (2, 1, 1, 9, 3.0)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, stream.STEPS).coalesce(1).write.mode("append").parquet(str(tmp_path / "steps"))
+    sums = str(tmp_path / "sums")
+    stream.run_to_folder(stream.step_stream(spark, str(tmp_path / "steps"), 1), sums, str(tmp_path / "check"))
+    assert len(list((tmp_path / "sums").glob("batch=*"))) == 2
+    assert {tuple(r) for r in stream.errors_so_far(spark, sums).collect()} == {(1, 1, 0, 4.0, 7.0), (1, 2, 0, 2.0, 2.0), (2, 1, 1, 3.0, 3.0)}
+    before = {t.name for t in spark.catalog.listTables()}
+    out = QUERIES["stream_metrics"](spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before and "FileScan parquet" in plan(out)
+
+
+def test_knn_ranks_a_group_without_its_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, i, float(rng.integers(0, 6)), float(rng.integers(0, 6))) for g in range(3) for i in range(12)]
+    points = spark.createDataFrame(rows, "scenario_id long, id long, x double, y double")
+    for loops in (True, False):
+        want = set()
+        for g, i, x, y in rows:
+            near = sorted((math.hypot(x - u, y - v), j) for h, j, u, v in rows if h == g and (loops or j != i))[:3]
+            want |= {e for _, j in near for e in ((g, i, j), (g, j, i))}
+        got = N.knn_graph(points, 3, loops=loops)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "Join" not in plan(got) and "Window" not in plan(got)
+
+
+def test_cells_hold_few_copies(spark):
+    """Pairs at cell borders and at exactly the radius are found; a row is in one to four cells, not in nine."""
+    rows = [(0, i, x, y) for i, (x, y) in enumerate([(3.9, 0.0), (4.1, 0.0), (4.0, 1.0), (-0.1, -0.1), (0.0, 0.9), (8.0, 8.0), (7.0, 8.0)])]
+    a = spark.createDataFrame(rows, "scenario_id long, a long, ax double, ay double")
+    b = spark.createDataFrame(rows, "scenario_id long, b long, bx double, by double")
+    want = {(i, j) for _, i, x, y in rows for _, j, u, v in rows if math.hypot(x - u, y - v) <= 1}
+    near = N.within(a, b, 1.0)
+    assert sorted((r.a, r.b) for r in near.collect()) == sorted(want)
+    assert "[-1,0,1]" not in plan(near).replace(" ", "")
+
+
+def test_near_static_counts_no_steps(spark):
+    rows = spark.createDataFrame([(1, [(0.2,), (-0.2,), None, (3.0,)])], "k long, steps array<struct<x:double>>")
+    got = {n: P.near_static_steps(rows, lambda s: F.round(s["x"]), n).collect()[0].static for n in (2, 3)}
+    assert got == {2: False, 3: True}
+    assert "Exchange" not in plan(P.near_static_steps(rows))
+
+
+def test_predictions_meet_truths_where_they_lie(spark):
+    """Tables dealt by agent are not dealt again, and grouping gives what a join gives."""
+    rng = np.random.default_rng(2)
+    left = spark.createDataFrame([(int(a), int(b), float(i)) for i, (a, b) in enumerate(rng.integers(0, 4, (40, 2)))] + [(9, 9, -1.0)], "scenario_id long, agent_id long, x double")
+    right = spark.createDataFrame([(int(a), int(b), float(i)) for i, (a, b) in enumerate(rng.integers(0, 4, (12, 2)))] + [(8, 8, -1.0)], "scenario_id long, agent_id long, u double")
+    for outer in (False, True):
+        got = M.meet(left, right, list(M.AGENT), outer=outer)
+        want = left.join(right, list(M.AGENT), "left" if outer else "inner").select(got.columns)
+        key = lambda r: tuple((v is None, v or 0) for v in r)
+        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    truth, pred, prob = prediction_tables(spark, "/root/testdata/sf0.001")  # windows of tracks, which lie by track
+    scale = {"sx": F.lit(0.5), "sy": F.lit(0.8)}
+    for metric in (M.nll(pred, truth, "normal", scale, prob), M.nll(pred, truth, "normal", scale, prob, masked=False), M.min_apde(pred, truth, "ML", prob)):
+        assert not re.search(r"Exchange hashpartitioning\((?!user_id)", plan(metric)) and "Join" not in plan(metric)

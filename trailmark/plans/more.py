@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import codes, geometry
@@ -73,12 +71,12 @@ def metrics_store(spark, sf_dir):
 
 @query("stream_metrics", f"WITH {PRED} SELECT scenario_id, agent_id, mode, round(ade, 6) AS ade, round(fde, 6) AS fde FROM me")
 def stream_metrics(spark, sf_dir):
-    """Errors per step, streamed from a folder: the running state equals the batch metric."""
-    path, name = scratch(spark, "steps"), f"errors_{uuid.uuid4().hex}"
+    """Errors per step, streamed from a folder: the sums of its batches equal the batch metric."""
+    path, sums = scratch(spark, "steps"), scratch(spark, "sums")
     truth, pred, _ = prediction_tables(spark, sf_dir)
     M.errors(pred, truth).select("scenario_id", "agent_id", "mode", F.col("t").cast("int").alias("t"), "d").write.parquet(path)
-    stream.run_to_table(stream.step_stream(spark, path), name, scratch(spark, "stream"))
-    return spark.table(name).select("scenario_id", "agent_id", "mode", *_r("ade", "fde"))
+    stream.run_to_folder(stream.step_stream(spark, path), sums, scratch(spark, "stream"))
+    return stream.errors_so_far(spark, sums).select("scenario_id", "agent_id", "mode", *_r("ade", "fde"))
 
 
 @query("enu_ecef", "SELECT event_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM (SELECT event_id, value AS e, event_id % 50 AS n, 1.5::DOUBLE AS u, radians(37.0) AS p, radians(-122.0) AS q, 0.0066943799901413165::DOUBLE AS e2 FROM events), LATERAL (SELECT 6378137.0::DOUBLE / sqrt(1 - e2 * sin(p) * sin(p)) AS c), LATERAL (SELECT c * cos(p) * cos(q) - e * sin(q) - n * sin(p) * cos(q) + u * cos(p) * cos(q) AS x, c * cos(p) * sin(q) + e * cos(q) - n * sin(p) * sin(q) + u * cos(p) * sin(q) AS y, c * (1 - e2) * sin(p) + n * cos(p) + u * sin(p) AS z)")

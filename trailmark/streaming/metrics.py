@@ -1,7 +1,8 @@
 """Running metrics over a stream of per-step errors.
 
-The batch metrics are sums and counts, so a stream keeps those: per agent and mode while steps arrive, and
-the averages over agents whenever a batch ends.
+The batch metrics are sums and counts, so a stream keeps those: each batch of steps is summed up by agent and mode, and
+what it comes to is a folder of files of its own.  Reading adds the batches up.  Neither the driver nor a state store
+holds a row for each agent.
 """
 
 from __future__ import annotations
@@ -24,7 +25,18 @@ def running_errors(steps: DataFrame) -> DataFrame:
     return steps.groupBy(*AGENT, "mode").agg(F.avg("d").alias("ade"), F.max_by("d", "t").alias("fde"))
 
 
-def run_to_table(steps: DataFrame, name: str, checkpoint: str) -> None:
-    """Process what there is, into a table in memory (for small results and tests)."""
-    query = running_errors(steps).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_to_folder(steps: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what there is: the sums of each batch, as Parquet below ``path``.  A batch that is run again replaces its files."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*AGENT, "mode").agg(F.sum("d").alias("s"), F.count("d").alias("n"), F.max(F.struct("t", "d")).alias("last"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    steps.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def errors_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """``ade, fde`` of every agent and mode, from the batches that run_to_folder() has written."""
+    schema = "scenario_id long, agent_id long, mode int, s double, n long, last struct<t:int,d:double>, batch int"
+    whole = spark.read.schema(schema).parquet(path).groupBy(*AGENT, "mode").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("last").alias("last"))
+    return whole.select(*AGENT, "mode", F.try_divide("s", "n").alias("ade"), F.col("last.d").alias("fde"))
