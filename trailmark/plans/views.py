@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kinematics as K
 from ..operators import sampling as S
+from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec_id, track_id, frame (from 1), x, y, agent_type``, one track for each user."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "props", "event_type")
+    e = spread(e, 0.4, "user_id")  # 20,000 to 40,000 events: queries make up to 250 rows of each
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(
         F.floor(F.col("user_id") / 10).cast("long").alias("rec_id"), F.col("user_id").alias("track_id"), F.row_number().over(w).cast("int").alias("frame"),
@@ -77,7 +79,7 @@ def on_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``map_id, line_id, pos, node, x, y, edge_type`` from lineitem: a line for each order, a map for 100 orders."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *order)
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *order), 4, "l_orderkey")
     pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).cast("int")
     out = li.select(
         F.floor(F.col("l_orderkey") / 100).cast("long").alias("map_id"), F.col("l_orderkey").alias("line_id"), pos.alias("pos"),

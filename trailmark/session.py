@@ -53,10 +53,10 @@ def spread(df: DataFrame, mb: float, *keys: str | Column) -> DataFrame:
     """Rows dealt by keys into pieces of ``mb`` of the files that they come from, so that a task's memory does not grow with the table.
 
     Merging of shuffled partitions goes by their compressed bytes, which say little about what a task makes of them.
-    Where there are no more pieces than tasks run at once, rows stay as they are.
+    Where there are no more pieces than tasks run at once, the session's settings say how many partitions there are.
     """
     n = pieces(df, mb)
-    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
