@@ -14,15 +14,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, sigmoid
+from ..session import written
 from .neighbors import within
 
 AGENT = ("scenario_id", "agent_id")
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], outer: bool = False) -> DataFrame:
+    """The join by equal keys, made by grouping both tables together; ``outer`` keeps rows of the left one that meet none.
+
+    A join deals both tables by all of its keys again; a grouping takes tables that are dealt by some of them as they are, so
+    predictions and truths that lie by agent are not moved.  A group is the rows of one step or one mode of an agent.
+    """
+    a, b = ([c for c in df.columns if c not in keys] for df in (left, right))
+    sides = left.select(*keys, F.struct(*a).alias("_a")), right.select(*keys, F.struct(*b).alias("_b"))
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    both = both if outer else both.dropna(subset=keys)
+    groups = both.groupBy(*keys).agg(F.collect_list("_a").alias("_a"), F.collect_list("_b").alias("_b"))
+    return groups.select(*keys, "_a", (F.inline_outer if outer else F.inline)("_b")).select(*keys, *b, F.inline("_a")).select(*keys, *a, *b)
+
+
 def errors(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Distance of every predicted step to the truth, at valid steps only."""
     t = truth.where("valid").select(*AGENT, "t", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return pred.join(t, [*AGENT, "t"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
+    return meet(pred, t, [*AGENT, "t"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
 
 
 def mode_errors(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -44,7 +59,7 @@ def best_mode(scored: DataFrame, criterion: str, prob: DataFrame | None = None,
         raise ValueError(f"unknown criterion: {criterion}")
     if prob is None:
         raise ValueError("criterion ML needs probabilities")
-    both = scored.join(prob, [*AGENT, "mode"])
+    both = meet(scored, prob, [*AGENT, "mode"])
     key = F.struct(-F.col("prob"), F.col("mode"))
     return both.groupBy(*AGENT).agg(F.min_by("mode", key).alias("mode"), F.min_by("ade", key).alias("ade"), F.min_by("fde", key).alias("fde"))
 
@@ -79,11 +94,11 @@ def chosen_paths(pred, truth, criterion="FDE", prob=None, best=None) -> DataFram
     if criterion == "ML":
         if prob is None:
             raise ValueError("criterion ML needs probabilities")
-        modes = pred.groupBy(*AGENT, "mode").agg(steps).join(prob, [*AGENT, "mode"]).withColumn("_e", -F.col("prob"))
+        modes = meet(pred.groupBy(*AGENT, "mode").agg(steps), prob, [*AGENT, "mode"]).withColumn("_e", -F.col("prob"))
     elif criterion in ("FDE", "ADE"):
         t = truth.select(*AGENT, "t", F.col("x").alias("_tx"), F.col("y").alias("_ty"), F.col("valid").alias("_ok"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        both = pred.join(t, [*AGENT, "t"], "left").withColumn("_d", distance(F.col("x"), F.col("y"), zero("_tx"), zero("_ty")))
+        both = meet(pred, t, [*AGENT, "t"], outer=True).withColumn("_d", distance(F.col("x"), F.col("y"), zero("_tx"), zero("_ty")))
         ok = F.coalesce("_ok", F.lit(False))
         last = F.max_by("_d", F.struct(ok, F.col("t")))  # valid steps come after all others
         error = last if criterion == "FDE" else F.coalesce(F.sum(F.when(ok, F.col("_d"))), F.lit(0.0))
@@ -102,7 +117,7 @@ def min_apde(pred, truth, criterion="FDE", prob=None, best=None) -> DataFrame:
     """Mean over predicted valid steps of the least distance to any valid step of the truth."""
     t = truth.where("valid").select(*AGENT, F.col("t"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     seen = t.groupBy(*AGENT).agg(F.collect_list(F.struct("t", "tx", "ty")).alias("seen"))
-    p = chosen_paths(pred, truth, criterion, prob, best).join(seen, list(AGENT))
+    p = meet(chosen_paths(pred, truth, criterion, prob, best), seen, list(AGENT))
 
     def nearest(step: Column) -> Column:
         return F.array_min(F.transform("seen", lambda q: distance(step["x"], step["y"], q["tx"], q["ty"])))
@@ -119,7 +134,7 @@ def collision_rate(pred, truth, criterion="FDE", prob=None, threshold: float = 1
     Hits and pairs are summed over all scenarios and divided once, so a scenario of one agent adds nothing;
     the mask decides on the mode only.  ``collision_rate`` is null where there is no pair.
     """
-    paths = chosen_paths(pred, truth, criterion, prob, best)
+    paths = written(chosen_paths(pred, truth, criterion, prob, best), "paths")  # pairs and their count both read it
     size = paths.groupBy("scenario_id").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("steps"))
     pairs = size.select(F.lit(0).cast("long").alias("hits"), (F.col("steps") * F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
     c = paths.select(*AGENT, F.inline("path"))
@@ -136,7 +151,7 @@ def min_brier(pred, truth, prob, criterion="FDE", logits: bool = False, best=Non
     if prob is None:
         raise ValueError("probabilities are needed")
     p = prob.withColumn("prob", sigmoid(F.col("prob"))) if logits else prob
-    chosen = best_mode(mode_errors(pred, truth), criterion, prob, best).join(p, [*AGENT, "mode"])
+    chosen = meet(best_mode(mode_errors(pred, truth), criterion, prob, best), p, [*AGENT, "mode"])
     return mean(chosen, (1 - F.col("prob")) * F.col("fde"), "min_brier")
 
 
@@ -152,7 +167,7 @@ def exp_de(pred, truth, prob=None, criterion="FDE", logits: bool = False) -> Dat
     if prob is None:
         each = scored.groupBy(*AGENT).agg(F.avg("err").alias("v"))
     else:
-        each = scored.join(softmax(prob) if logits else prob, [*AGENT, "mode"]).groupBy(*AGENT).agg(F.sum(F.col("err") * F.col("prob")).alias("v"))
+        each = meet(scored, softmax(prob) if logits else prob, [*AGENT, "mode"]).groupBy(*AGENT).agg(F.sum(F.col("err") * F.col("prob")).alias("v"))
     return mean(each, "v", "exp_de")
 
 
@@ -180,7 +195,8 @@ def nll(pred, truth, family: str, scale: dict[str, Column], prob=None, masked: b
     if not masked:
         count = truth.groupBy(*AGENT).agg(F.count_if("valid").alias("_n"))
         every = _step_likelihood(pred, truth.withColumn("valid", F.lit(True)), family, scale, prob)
-        summed = every.groupBy(*AGENT).agg(F.sum("l").alias("_s")).join(count, list(AGENT)).where("_n > 0")
+        summed = every.groupBy(*AGENT).agg(F.sum("l").alias("_s"))
+        summed = meet(summed, count, list(AGENT)).where("_n > 0")
         return mean(summed.select((-F.col("_s") / F.col("_n")).alias("nll")), "nll", "nll")
     steps = _step_likelihood(pred, truth, family, scale, prob)
     return mean(steps.groupBy(*AGENT).agg((-F.avg("l")).alias("nll")), "nll", "nll")
@@ -194,7 +210,7 @@ def _step_likelihood(pred, truth, family, scale, prob) -> DataFrame:
         step = W.partitionBy(*AGENT, "t")
         e = e.withColumn("_l", e["_l"] - F.log(F.count("*").over(step)))
     else:
-        e = e.join(prob, [*AGENT, "mode"]).withColumn("_l", F.col("_l") + F.log("prob"))
+        e = meet(e.select(*AGENT, "mode", "t", "_l"), prob, [*AGENT, "mode"]).withColumn("_l", F.col("_l") + F.log("prob"))
     top = F.max("_l").over(W.partitionBy(*AGENT, "t"))
     return e.withColumn("_top", top).groupBy(*AGENT, "t").agg((F.max("_top") + F.log(F.sum(F.exp(F.col("_l") - F.col("_top"))))).alias("l"))
 
