@@ -47,6 +47,13 @@ def near_static(steps: DataFrame, keys, threshold: int = 3) -> DataFrame:
     return steps.groupBy(*keys).agg((spread <= threshold).alias("static"))
 
 
+def near_static_steps(rows: DataFrame, value=lambda s: s["x"], threshold: int = 3) -> DataFrame:
+    """near_static() of rows with whole ``steps``: adds ``static``, with nothing dealt or counted by step."""
+    xs = F.transform("steps", lambda s: value(s) + F.lit(0.0))  # adding 0 makes -0.0 and 0.0 one
+    spread = F.size(F.array_distinct(F.filter(xs, lambda x: x.isNotNull()))) + F.size(F.filter(xs, lambda x: x.isNull()))
+    return rows.withColumn("static", spread <= threshold)
+
+
 def unlabelled_targets(steps: DataFrame, features) -> DataFrame:
     """Samples of an unlabelled split: future values are 0, and ``has_target`` says that they are none."""
     future = F.col("part") == "trg"

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
+from ..session import pieces
 from .kinematics import TRACK
 
 
@@ -86,7 +87,10 @@ def agent_steps(members: DataFrame, tracks: DataFrame, spec: Windows, features=(
     """
     at = lambda t: F.get("path", (F.col("start") + t - F.col("first")).cast("int"))
     grid = F.sequence(F.lit(0), F.lit(spec.last - 1))
-    return members.join(track_arrays(tracks, features), list(TRACK)).withColumn("steps", F.transform(grid, at)).drop("path", "first")
+    whole, n = track_arrays(tracks, features), pieces(members, 4)
+    if n > members.sparkSession.sparkContext.defaultParallelism:
+        members, whole = members.repartition(n, *TRACK), whole.repartition(n, *TRACK)
+    return members.join(whole, list(TRACK)).withColumn("steps", F.transform(grid, at)).drop("path", "first")
 
 
 def long(rows: DataFrame, spec: Windows, features=("x", "y")) -> DataFrame:

@@ -228,7 +228,7 @@ def class_filter(spark, sf_dir):
 @query("nearstatic_agents", f"""WITH {STEPS} SELECT target_id, start, track_id, count(DISTINCT round(x)) + count(*) FILTER (x IS NULL) <= 12 AS static FROM ss GROUP BY ALL""")
 def nearstatic_agents(spark, sf_dir):
     t, members = _members(spark, sf_dir)
-    return P.near_static(S.steps(members, t, LONG).withColumn("x", F.round("x")), S.AGENT, 12).select("target_id", "start", "track_id", "static")
+    return P.near_static_steps(S.agent_steps(members, t, LONG), lambda s: F.round(s["x"]), 12).select("target_id", "start", "track_id", "static")
 
 
 @query("lk_lc_balance", f"""WITH {LANES}, {_starts_sql('rec_id, track_id', 'tr', 16, 4, True)}, w AS (SELECT st.*, floor(y / 60) = 0 AS lk FROM st JOIN tr ON tr.track_id = st.track_id AND tr.frame = start + 5),
