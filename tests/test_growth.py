@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trailmark import session as of_session
@@ -12,9 +13,10 @@ from trailmark.operators import filters as P
 from trailmark.operators import mapgraph as G
 from trailmark.operators import metrics as M
 from trailmark.operators import neighbors as N
+from trailmark.plans import formats
 from trailmark.plans.views import prediction_tables
 from trailmark.registry import QUERIES
-from trailmark.sources import maps
+from trailmark.sources import binary, maps
 from trailmark.streaming import metrics as stream
 
 
@@ -114,3 +116,35 @@ def test_predictions_meet_truths_where_they_lie(spark):
     scale = {"sx": F.lit(0.5), "sy": F.lit(0.8)}
     for metric in (M.nll(pred, truth, "normal", scale, prob), M.nll(pred, truth, "normal", scale, prob, masked=False), M.min_apde(pred, truth, "ML", prob)):
         assert not re.search(r"Exchange hashpartitioning\((?!user_id)", plan(metric)) and "Join" not in plan(metric)
+
+
+def test_nearest_by_product_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)] if i % 17 else None, i % 2) for i in range(80)]
+    e = spark.createDataFrame(rows, "id long, e array<float>, label int")
+    got = N.nearest_by_product(e.where("id % 5 = 0").selectExpr("id AS a", "e AS ea", "label"), e.selectExpr("id AS b", "e AS eb", "label"), 3, "label")
+    want = []
+    for a, u, label in rows[::5]:
+        product = lambda v: sum(p * q for p, q in zip(u, v)) if u and v else -math.inf  # noqa: B023, E731
+        near = sorted((-product(v), b) for b, v, other in rows if b != a and other == label)[:3]
+        want += [(a, b, i + 1) for i, (_, b) in enumerate(near)]
+    assert sorted(map(tuple, got.select("a", "b", "nbr_rank").collect())) == sorted(want)
+
+
+def test_files_of_formats_are_bounded(spark, tmp_path, monkeypatch):
+    """No format is one file of the whole table, and a partitioned folder has one file for each value."""
+    made = []
+    monkeypatch.setattr(formats, "fresh", lambda s, name: made.append(str(tmp_path / name)) or made[-1])
+    for name in ("msrc_layered_json", "src_token_tables", "src_scenario_parquet"):
+        QUERIES[name](spark, "/root/testdata/sf0.01")
+    files = lambda pattern: list(tmp_path.glob(pattern))
+    assert len(files("layers/*.json")) == 150  # a map has 100 orders
+    assert len(files("tokens/sample_annotation.json/*.json")) == 1  # a file has 100 recordings, and there are 15
+    assert len(files("scenarios/rec_id=*/*.parquet")) == len(files("scenarios/rec_id=*")) == 15
+
+
+def test_records_decode_what_is_asked_for():
+    payload = formats._scenario(pd.DataFrame({"rec_id": [7, 7], "track_id": [1, 1], "frame": [1, 3], "x": [1.0, 2.0], "y": [0.5, 0.25], "code": [1, 1]}))[12:-4]
+    name, tracks, points = binary.scenario_rows(payload)
+    assert [r[1:5] for r in tracks] == [(1, -1, 1.0, 0.5), (3, -1, 2.0, 0.25)] and len(points) == 9
+    assert binary.scenario_rows(payload, ("points",)) == (name, [], points) and binary.scenario_rows(payload, ("tracks",)) == (name, tracks, [])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes, geometry
@@ -214,6 +213,4 @@ def nearest_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label")
     b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label")
-    dot = F.aggregate(F.zip_with("ea", "eb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, "label").where("a <> b").withColumn("d", -F.round(dot, 9))
-    return pairs.withColumn("nbr_rank", F.row_number().over(W.partitionBy("a").orderBy("d", "b")).cast("int")).where("nbr_rank <= 3").select("a", "b", "nbr_rank")
+    return N.nearest_by_product(a, b, 3, "label").select("a", "b", "nbr_rank")
