@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import pieces
+
 
 def records(data: bytes) -> Iterator[bytes]:
     """Payloads of a record file: length (8 bytes), its checksum (4), payload, its checksum (4)."""
@@ -66,6 +68,8 @@ def packed(kind: int, value) -> list[int]:
     """The integers of a repeated field, which may be packed."""
     if kind != 2:
         return [value]
+    if value.isascii():  # a byte each
+        return list(value)
     out, at = [], 0
     while at < len(value):
         one, at = _varint(value, at)
@@ -79,15 +83,15 @@ OBJECTS = {1: "car", 2: "pedestrian", 3: "bicycle"}
 FEATURES = {3: "lane", 4: "road_line", 5: "road_edge", 7: "stop_sign", 8: "crosswalk", 9: "speed_bump", 10: "driveway"}
 
 
-def scenario_rows(payload: bytes) -> tuple[str, list[tuple], list[tuple]]:
-    """A scenario's id, its track rows and its map points."""
+def scenario_rows(payload: bytes, what: tuple[str, ...] = ("tracks", "points")) -> tuple[str, list[tuple], list[tuple]]:
+    """A scenario's id, its track rows and its map points; empty what is not asked for."""
     name, tracks, features, ego, interest = "", [], [], -1, []
     for number, kind, value in fields(payload):
         if number == 5:
             name = value.decode()
-        elif number == 2:
+        elif number == 2 and "tracks" in what:
             tracks.append(value)
-        elif number == 8:
+        elif number == 8 and "points" in what:
             features.append(value)
         elif number == 6:
             ego = value
@@ -137,30 +141,37 @@ def scenarios(spark: SparkSession, path: str, store: str | None = None) -> tuple
     """Tracks and map points of record files of protobuf scenarios.
 
     Files are read record by record.  With ``store``, a folder that all executors reach, decoded scenarios are written
-    there once and both tables come from it; without it each table decodes for itself.
+    there once and both tables come from it; without it each table decodes for itself, and nothing of the other.
     """
     from .rows import records_of
 
-    decoded = records_of(spark, path).mapInPandas(_decoded, f"tracks array<struct<{_struct(_TRACKS)}>>, points array<struct<{_struct(_POINTS)}>>")
+    kinds = {"tracks": _TRACKS, "points": _POINTS}
+    decode = lambda *what: records_of(spark, path).mapInPandas(_decoded(what), ", ".join(f"{k} array<struct<{_struct(kinds[k])}>>" for k in what))
     if store:
-        decoded.write.mode("errorifexists").parquet(store)
+        decode("tracks", "points").write.mode("errorifexists").parquet(store)
         decoded = spark.read.parquet(store)
-    return decoded.select(F.inline("tracks")), decoded.select(F.inline("points"))
+        return decoded.select(F.inline("tracks")), decoded.select(F.inline("points"))
+    return decode("tracks").select(F.inline("tracks")), decode("points").select(F.inline("points"))
 
 
 def _struct(schema: str) -> str:
     return ", ".join(f"{a}: {b}" for a, b in (c.strip().split(" ") for c in schema.split(",")))
 
 
-def _decoded(batches):
+def _decoded(what: tuple[str, ...]):
     names = {"tracks": _names(_TRACKS), "points": _names(_POINTS)}
-    for batch in batches:
-        out = {"tracks": [], "points": []}
-        for payload in batch["payload"]:
-            _, tracks, points = scenario_rows(payload)
-            for key, rows in (("tracks", tracks), ("points", points)):
-                out[key].append([dict(zip(names[key], r, strict=True)) for r in rows])
-        yield pd.DataFrame(out)
+
+    def run(batches):
+        for batch in batches:
+            out = {key: [] for key in what}
+            for payload in batch["payload"]:
+                _, tracks, points = scenario_rows(payload, what)
+                for key, rows in (("tracks", tracks), ("points", points)):
+                    if key in out:
+                        out[key].append([dict(zip(names[key], r, strict=True)) for r in rows])
+            yield pd.DataFrame(out)
+
+    return run
 
 
 # Field numbers of the semantic map's messages, and edge types of its boundaries' numbers.
@@ -188,23 +199,23 @@ def _signed(value: int) -> int:
     return (value >> 1) ^ -(value & 1)
 
 
-def _local_to_earth(p: np.ndarray, lat: float, lon: float) -> np.ndarray:
-    """Rows of east, north, up about a place on the ellipsoid (radians) as earth-centred rows."""
+def _local_to_earth(p: np.ndarray, lat, lon) -> np.ndarray:
+    """Rows of east, north, up about places on the ellipsoid (radians) as earth-centred rows."""
     a, flat = 6378137.0, 1 / 298.257223563
     e2 = flat * (2 - flat)
     s, c, sl, cl = np.sin(lat), np.cos(lat), np.sin(lon), np.cos(lon)
     curve = a / np.sqrt(1 - e2 * s * s)
-    origin = np.array([curve * c * cl, curve * c * sl, curve * (1 - e2) * s])
-    axes = np.array([[-sl, cl, 0.0], [-s * cl, -s * sl, c], [c * cl, c * sl, s]])
-    return origin + p @ axes
+    east, north, up = p.T
+    along = curve * c + c * up - s * north
+    return np.stack([along * cl - sl * east, along * sl + cl * east, curve * (1 - e2) * s + c * north + s * up], axis=1)
 
 
-def boundary_types(kinds: list[int], changes: list[float], points: np.ndarray) -> list[str]:
+def boundary_types(kinds: list[int], changes: list[float], steps: list[float]) -> list[str]:
     """The edge type from each point to the next: a boundary's next kind begins after the point at which the way since the last change reaches a change's distance."""
     if not kinds:
-        return ["NONE"] * max(len(points) - 1, 0)
+        return ["NONE"] * len(steps)
     out, way, at = [], 0.0, 0
-    for step in np.sqrt((np.diff(points, axis=0) ** 2).sum(axis=1)).tolist():
+    for step in steps:
         out.append(BOUNDARIES.get(kinds[at], "NONE"))
         way += step
         if at < min(len(changes), len(kinds) - 1) and way >= changes[at]:
@@ -212,43 +223,62 @@ def boundary_types(kinds: list[int], changes: list[float], points: np.ndarray) -
     return out
 
 
-def semantic_element(element: bytes, to_world: np.ndarray):
-    """``segment`` or ``junction`` with the ids of its lanes, or ``lane`` with its id and boundaries; None for others."""
-    name, body = _global_id(_one(element, 1)), _one(element, 2) or b""
+def _boundary(message: bytes) -> tuple[list[list[int]], list[int], list[float]]:
+    """Deltas along the three axes (none unless all are there), kinds and the distances of changes."""
+    deltas, kinds, changes = {1: [], 2: [], 3: []}, [], []
+    for n, k, v in fields(message):
+        if n in deltas:
+            deltas[n] += [_signed(d) for d in packed(k, v)]
+        elif n == 4:
+            kinds += packed(k, v)
+        elif n == 5:
+            changes += [d * 0.01 for d in packed(k, v)]
+    return (list(deltas.values()) if all(deltas.values()) else [[], [], []]), kinds, changes
+
+
+def semantic_element(element: bytes, lanes: bool = True, roles: bool = True):
+    """``segment`` or ``junction`` with the ids of its lanes, or ``lane`` with its id, place (degrees) and boundaries; None for others."""
+    body = _one(element, 2) or b""
     for number, _, value in fields(body):
         if number in (_SEGMENT, _JUNCTION):
-            return ("segment" if number == _SEGMENT else "junction"), [_global_id(v) for n, _, v in fields(value) if n == (12 if number == _SEGMENT else 3)]
+            return (("segment" if number == _SEGMENT else "junction"), [_global_id(v) for n, _, v in fields(value) if n == (12 if number == _SEGMENT else 3)]) if roles else None
         if number == _LANE:
+            if not lanes:
+                return None
             origin = _one(_one(value, 2) or b"", 1) or b""
             place = {n: struct.unpack("<i", v)[0] * 1e-7 for n, k, v in fields(origin) if n in (1, 2) and k == 5}
-            sides = []
-            for side in (3, 4):
-                deltas, kinds, changes = {1: [], 2: [], 3: []}, [], []
-                for n, k, v in fields(_one(value, side) or b""):
-                    if n in deltas:
-                        deltas[n] += [_signed(d) for d in packed(k, v)]
-                    elif n == 4:
-                        kinds += packed(k, v)
-                    elif n == 5:
-                        changes += [d * 0.01 for d in packed(k, v)]
-                points = np.zeros((0, 3))
-                if all(deltas.values()):
-                    local = np.cumsum(np.array([deltas[i] for i in (1, 2, 3)], float).T * 0.01, axis=0)
-                    earth = _local_to_earth(local, np.radians(place.get(1, 0.0)), np.radians(place.get(2, 0.0)))
-                    points = earth @ to_world[:3, :3].T + to_world[:3, 3]
-                sides.append((points, boundary_types(kinds, changes, points)))
-            return "lane", (name, sides)
+            return "lane", (_global_id(_one(element, 1)), (place.get(1, 0.0), place.get(2, 0.0)), [_boundary(_one(value, side) or b"") for side in (3, 4)])
     return None
 
 
+def lane_points(lanes: list, to_world: np.ndarray) -> pd.DataFrame:
+    """``lane, what (left or right), pos, x, y, edge_type`` of many lanes at once; centimetres add up as whole numbers."""
+    from ..functions.codes import EDGE_TYPES
+
+    sides = [(name, side, *place, *boundary) for name, place, both in lanes for side, boundary in zip(("left", "right"), both, strict=True)]
+    sizes = np.array([len(s[4][0]) for s in sides], int)
+    ends = np.cumsum(sizes)
+    sums = np.cumsum(np.array([[d for s in sides for d in s[4][axis]] for axis in range(3)], np.int64).reshape(3, -1), axis=1)
+    before = np.hstack([np.zeros((3, 1), np.int64), sums])[:, ends - sizes]
+    local = (sums - np.repeat(before, sizes, axis=1)).T * 0.01
+    at = np.repeat(np.radians(np.array([s[2:4] for s in sides], float).reshape(-1, 2)), sizes, axis=0)
+    points = _local_to_earth(local, at[:, 0], at[:, 1]) @ to_world[:3, :3].T + to_world[:3, 3]
+    steps = np.sqrt((np.diff(points, axis=0) ** 2).sum(axis=1)).tolist()
+    kinds = []
+    for (*_, marks, changes), end, n in zip(sides, ends.tolist(), sizes.tolist(), strict=True):
+        own = boundary_types(marks, changes, steps[end - n : end - 1] if n else [])
+        kinds += [EDGE_TYPES["VIRTUAL" if k == "NONE" else k] for k in (*own, "NONE")[:n]]
+    column = lambda i: np.repeat(np.array([s[i] for s in sides], object), sizes)
+    pos = np.arange(len(points)) - np.repeat(ends - sizes, sizes)
+    return pd.DataFrame({"lane": column(0), "what": column(1), "pos": pos, "x": points[:, 0], "y": points[:, 1], "edge_type": np.array(kinds, int)})
+
+
 def semantic_map(spark: SparkSession, path: str, world_to_ecef: list[list[float]], map_id: str = "map") -> DataFrame:
     """Typed polylines of a protobuf semantic map: both boundaries of the lanes of road segments, the left one of others in junctions.
 
     Each lane comes once; where a boundary has no type it is VIRTUAL.  Lanes in neither a segment nor a junction are
     left out.  Deltas are centimetres along the axes of each lane's frame.
     """
-    from ..functions.codes import EDGE_TYPES
-
     to_world = np.linalg.inv(np.array(world_to_ecef, float))
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -259,25 +289,21 @@ def semantic_map(spark: SparkSession, path: str, world_to_ecef: list[list[float]
                 for i in range(0, len(elements), 1000):
                     yield pd.DataFrame({"element": elements[i : i + 1000]})
 
+    def roles(batches):
+        for batch in batches:
+            found = [semantic_element(e, lanes=False) for e in batch["element"]]
+            yield pd.DataFrame([(lane, f[0]) for f in found if f for lane in f[1]], columns=["lane", "what"])
+
     def decode(batches):
         for batch in batches:
-            rows = []
-            for element in batch["element"]:
-                found = semantic_element(element, to_world)
-                if found and found[0] == "lane":
-                    name, sides = found[1]
-                    for side, (points, kinds) in zip(("left", "right"), sides, strict=True):
-                        for i, (x, y, _) in enumerate(points.tolist()):
-                            kind = kinds[i] if i < len(kinds) else "NONE"
-                            rows.append((name, side, i, x, y, EDGE_TYPES["VIRTUAL" if kind == "NONE" else kind]))
-                elif found:
-                    rows += [(lane, found[0], 0, None, None, None) for lane in found[1]]
-            yield pd.DataFrame(rows, columns=["lane", "what", "pos", "x", "y", "edge_type"]).astype({"edge_type": "Int32"})
-
-    elements = files.mapInPandas(split, "element binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+            for i in range(0, len(batch), 1000):
+                found = [semantic_element(e, roles=False) for e in batch["element"][i : i + 1000]]
+                yield lane_points([f[1] for f in found if f], to_world)
+
+    elements = files.mapInPandas(split, "element binary").repartition(max(pieces(files, 1), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    role = elements.mapInPandas(roles, "lane string, what string").groupBy("lane").agg((F.max("what") == "segment").alias("both"))
     found = elements.mapInPandas(decode, "lane string, what string, pos int, x double, y double, edge_type int")
-    role = found.where(F.col("what").isin("segment", "junction")).groupBy("lane").agg((F.max("what") == "segment").alias("both"))
-    lines = found.where(F.col("what").isin("left", "right")).join(role, "lane").where((F.col("what") == "left") | F.col("both"))
+    lines = found.join(role, "lane").where((F.col("what") == "left") | F.col("both"))
     return lines.select(F.lit(map_id).alias("map_id"), F.concat_ws("-", "lane", "what").alias("line_id"), "pos", "x", "y", "edge_type")
 
 
