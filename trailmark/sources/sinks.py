@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def write_samples(samples: DataFrame, path: str, overwrite: bool = False, resume: bool = False) -> None:
     """Samples as Parquet, a folder for each split; existing data is an error unless it is overwritten or resumed.
@@ -31,11 +33,11 @@ def read_samples(spark, path: str, split: str, small: bool = False) -> DataFrame
 
 
 def stage_scenes(tracks: DataFrame, lists: dict[str, list], path: str, scene: str = "scene_name") -> None:
-    """Scenes of published lists as CSV, by split and scene."""
+    """Scenes of published lists as CSV, by split and scene: a file for each, written by one task."""
     from ..operators.relations import with_split_lists
 
     out = with_split_lists(tracks, scene, lists).withColumn("_scene", F.col(scene))
-    out.write.partitionBy("split", "_scene").option("header", True).mode("errorifexists").csv(path)
+    spread(out, 0.4, "split", "_scene").write.partitionBy("split", "_scene").option("header", True).mode("errorifexists").csv(path)
 
 
 def write_metrics(rows: DataFrame, path: str) -> None:
