@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, geometry
 from ..operators import mapgraph as G
+from ..session import written
 from .binary import sqlite_tables
 
 POINTS = "map_id string, line_id string, pos int, x double, y double, edge_type int"
@@ -197,6 +198,7 @@ def layered_json(spark: SparkSession, path: str, ignore: tuple[str, ...] = (), l
     schema = "node array<struct<token:string,x:double,y:double>>, line array<struct<token:string,node_tokens:array<string>>>, polygon array<struct<token:string,exterior_node_tokens:array<string>>>"
     tables = {n: t for n, (t, _) in LAYERS.items()} | {"lane_divider": "lane_divider", "lane": "lane"}
     raw = spark.read.schema(schema + "".join(f", {t} {shape}" for t in tables.values())).option("multiLine", True).json(path)
+    raw = written(raw, "layers")  # parsed once, then read a layer at a time
     nodes = raw.select(F.explode("node").alias("n")).select(F.col("n.token").alias("node"), F.col("n.x").alias("x"), F.col("n.y").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     lines = raw.select(F.explode("line").alias("l")).select(F.concat(F.lit("line "), F.col("l.token")).alias("shape"), F.col("l.node_tokens").alias("tokens"))
     rings = raw.select(F.explode("polygon").alias("l")).select(F.concat(F.lit("polygon "), F.col("l.token")).alias("shape"), F.concat("l.exterior_node_tokens", F.slice("l.exterior_node_tokens", 1, 1)).alias("tokens"))
